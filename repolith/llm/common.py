@@ -52,12 +52,11 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, UTF-8 bytes, offsets) for runs of rows of about SLICE_BYTES.
+def array_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, UTF-8 bytes, offsets) for runs of rows of about ``limit`` bytes.
 
     A null text has no bytes.  Offsets are relative to the slice's bytes.
     """
-    col = batch.column(column)
     if not pa.types.is_large_string(col.type):
         col = col.cast(pa.large_string())
     n = len(col)
@@ -70,7 +69,34 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = int(np.searchsorted(offs, offs[first] + SLICE_BYTES, side="right")) - 1
+        last = int(np.searchsorted(offs, offs[first] + limit, side="right")) - 1
         last = min(n, max(first + 1, last))
         yield first, raw[offs[first] : offs[last]], offs[first : last + 1] - offs[first]
         first = last
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``array_slices`` of a column."""
+    return array_slices(batch.column(column), limit)
+
+
+def stopped_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand at most so many rows of long texts to a Python worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+FILTER_BITS = 1 << 23
+
+
+def reduced(df: DataFrame, ids: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be in ``ids``: a superset of the semi-join.
+
+    ``ids`` becomes a bitmap of a fixed number of hash bits (1 MB), which is
+    broadcast.  An exact join is to follow; this only spares it most of the rows.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits)) + 1
+    maps = ids.select(place(key).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("_bits"))
+    d = df.withColumn("_p", place(key)).withColumn("_bucket", F.expr("bitmap_bucket_number(_p)"))
+    d = d.join(F.broadcast(maps), "_bucket")
+    byte = F.conv(F.hex(F.substring("_bits", F.expr("cast(bitmap_bit_position(_p) div 8 as int)") + 1, F.lit(1))), 16, 10).cast("bigint")
+    return d.where(F.expr("1") == F.getbit(byte, F.expr("cast(bitmap_bit_position(_p) % 8 as int)")).cast("int")).select(*df.columns)

@@ -77,3 +77,32 @@ def runs(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray
     for k in range(width):
         out += hashes[first + k] * step[k + 1]
     return mix(out), begins
+
+
+def units(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and first bytes of all units, and where each row's units begin.
+
+    A unit is a run of white space and what follows up to the next one, so units
+    side by side are the text.  No unit begins where the byte before might belong to
+    white space outside ASCII.
+    """
+    if not len(raw):
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
+    begins = np.zeros(len(raw), bool)
+    sep = _SEP[raw]
+    solid = ~sep & (raw > 0x20) & (raw < 0x7F)
+    solid[1:] |= (raw[1:] >= 0x80) & (raw[:-1] == 0xC3)
+    begins[1:] = sep[1:] & solid[:-1]
+    begins[offs[:-1][offs[:-1] < len(raw)]] = True
+    starts = np.flatnonzero(begins)
+    sizes = np.diff(np.append(starts, len(raw)))
+    place = np.arange(len(raw)) - np.repeat(starts, sizes)
+    value = _BYTE[raw] * powers(int(sizes.max()) + 1)[place]
+    return mix(np.add.reduceat(value, starts)), starts, np.searchsorted(starts, offs)
+
+
+def gather(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[begins[k] : begins[k] + sizes[k]] for all k, one after another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.arange(total) + np.repeat(begins - (ends - sizes), sizes)]
