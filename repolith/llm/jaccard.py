@@ -1,9 +1,10 @@
 """Set-similarity join over word shingles with a token-group matrix.
 
-Documents with the same set are one node.  Similar nodes form groups (nodes linked
-to a common pivot); the matrix holds each group's token union.  A query's overlap
-with a union bounds its overlap with every member, so only groups that pass the
-bound are opened, and what is found there is verified on the whole texts.
+Documents with the same set are one node.  Nodes with the same rarest shared token
+form a group; the matrix holds each group's token union.  A query's overlap with a
+union bounds its overlap with every member, so only groups that pass the bound are
+opened, and what is found there is verified on the whole texts, block by block.
+Members that link to their group's pivot need no comparison with each other.
 
 Tokens are those of a node's prefix in one global order, frequent tokens last: two
 sets that link share at least ``need`` tokens of their prefixes.  The order reads a
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.llm import hashing
@@ -27,8 +28,11 @@ from repolith.llm.components import components
 WIDTH, PERCENT = 5, 80
 #: Hash buckets whose frequency orders the tokens; 256 kB once broadcast.
 BUCKET_BITS = 18
-#: A token among the first PIVOTS of a prefix makes a node a candidate of that token's group.
-PIVOTS = 3
+#: Nodes of a group that one task compares with as many others at once.
+BLOCK = 256
+#: Pairs of classes of a group's nodes to compare: members linked to the pivot (R) or not
+#: (U), queries from other groups that reach the pivot (E) or not (F).
+OPEN = ("UU", "UR", "RU", "FR", "RF", "FU", "UF", "EU", "UE")
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
@@ -90,7 +94,7 @@ def need(n: str) -> Column:
 
 
 def prefix_tokens(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(token, node, n, rank): each node's prefix; copies within a batch give it once."""
+    """(token, node, n, rank, hot): each node's prefix; copies within a batch give it once."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,44 +109,67 @@ def prefix_tokens(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                     seen.add(key)
                     order = np.argsort(held.value[_bucket(s)], kind="stable")
                     p = min(n, n - (PERCENT * n + 99) // 100 + 1 + n // 20)
-                    parts.append((s[order[:p]], np.full(p, key), np.full(p, n), np.arange(p)))
+                    parts.append((s[order[:p]], np.full(p, key), np.full(p, n), np.arange(p), held.value[_bucket(s[order[:p]])] > 0))
                 if parts:
-                    token, node, size, rank = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node.astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(rank.astype(np.int32))], ["token", "node", "n", "rank"])
+                    token, node, size, rank, hot = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node.astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(hot)], ["token", "node", "n", "rank", "hot"])
 
-    return docs.select(text_of().alias("text")).mapInArrow(step, "token long, node long, n int, rank int")
+    return docs.select(text_of().alias("text")).mapInArrow(step, "token long, node long, n int, rank int, hot boolean")
 
 
-def _own(texts: DataFrame) -> DataFrame:
-    """The rows whose text has the set that ``node`` names; another row may have the same doc_id."""
+def _compare(parts: DataFrame, docs: DataFrame, reps: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """Linked pairs (a, b) between blocks of a group whose classes are in ``allowed``.
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [_set_key(s) for _, raw, offs in text_slices(batch) for s in shingle_sets(raw, offs)]
-            yield batch.filter(pa.array(np.array(keys, np.int64) == batch.column("node").to_numpy()))
-
-    return texts.mapInArrow(step, texts.schema)
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that link, by their whole texts."""
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [[s for _, raw, offs in text_slices(batch, c) for s in shingle_sets(raw, offs)] for c in ("ta", "tb")]
-            ok = []
-            for x, y in zip(*sides, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    t = texts.select("node", "text")
-    full = pairs.join(t.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return full.select("a", "b", "ta", "tb").mapInArrow(step, "a long, b long")
-
-
-def _sizes_fit(x: str, y: str) -> Column:
-    return (100 * F.least(x, y) >= PERCENT * F.greatest(x, y)) & (F.col(x) > 0)
+    parts: (g, cls, node, comp); pairs of the same comp are skipped.  A class of
+    more than BLOCK nodes is split, so a task holds two blocks at a time.
+    """
+    sizes = parts.groupBy("g", "cls").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    placed = parts.join(sizes, ["g", "cls"]).withColumn("part", F.concat_ws(":", "cls", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("string")))
+    blocks = sizes.select("g", "cls", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("k")).select("g", "cls", F.concat_ws(":", "cls", F.col("k").cast("string")).alias("part"))
+    two = blocks.select("g", F.col("cls").alias("c"), F.col("part").alias("x")).join(blocks.select("g", F.col("cls").alias("d"), F.col("part").alias("y")), "g")
+    two = two.where((F.col("x") <= F.col("y")) & F.concat("c", "d").isin(*allowed)).withColumn("task", F.xxhash64("g", "x", "y"))
+    one = F.explode(F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("part"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("part"), F.lit(0).alias("side")), F.struct(F.col("y").alias("part"), F.lit(1).alias("side")))))
+    jobs = placed.join(two.select("g", "task", one.alias("s")).select("g", "task", "s.part", "s.side"), ["g", "part"]).select("task", "side", "node", "comp")
+    jobs = staged(jobs.join(reps, "node"), "jobs")
+    texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
+    rows = reduced(texts, jobs.select("doc_id").distinct(), "doc_id").join(jobs, "doc_id").select("task", "side", "node", "comp", "text")
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_meet, "a long, b long")
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each task's rows; they stand side by side, at most two blocks of them."""
+    task, held = None, []
+    for batch in batches:
+        sets = [s for _, raw, offs in text_slices(batch) for s in shingle_sets(raw, offs)]
+        rows = zip(batch.column("task").to_pylist(), batch.column("side").to_pylist(), batch.column("node").to_pylist(), batch.column("comp").to_pylist(), sets, strict=True)
+        for t, side, node, comp, s in rows:
+            if t != task and held:
+                yield _linked(held)
+                held = []
+            task = t
+            if _set_key(s) == node:  # another row may have the same doc_id
+                held.append((node, side, comp, s))
+    if held:
+        yield _linked(held)
+
+
+def _linked(rows: list[tuple]) -> pa.RecordBatch:
+    rows = list({(r[0], r[1]): r for r in rows}.values())
+    asked, given = [r for r in rows if r[1] != 1], [r for r in rows if r[1] != 0]
+    a, b = [], []
+    if asked and given:
+        sizes = np.array([len(r[3]) for r in given])
+        tokens, owner = np.concatenate([r[3] for r in given]), np.repeat(np.arange(len(given)), sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        comps, nodes = np.array([r[2] for r in given]), np.array([r[0] for r in given])
+        for node, side, comp, s in asked:
+            lo, hi = np.searchsorted(tokens, s, side="left"), np.searchsorted(tokens, s, side="right")
+            both = np.bincount(hashing.gather(owner, lo, hi - lo), minlength=len(given))
+            ok = (100 * both >= PERCENT * (len(s) + sizes - both)) & (comps != comp) & ((nodes > node) | (side != 2))
+            a += [node] * int(ok.sum())
+            b += nodes[ok].tolist()
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -154,38 +181,42 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = first.where(F.col("bucket").isNull()).drop("bucket")
     weights = token_order(first.where(F.col("bucket").isNotNull()))
     tokens = staged(prefix_tokens(docs, weights), "tokens")
-    shared = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
-    rows = staged(tokens.join(shared.hint("shuffle_hash"), "token").distinct(), "shared")
-
-    # groups: nodes linked to the pivot of one of their first tokens
-    firsts = rows.where(F.col("rank") < PIVOTS)
-    pivots = firsts.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "node").alias("h"), F.col("node").alias("node"), F.col("n").alias("n"))).alias("p"))
-    stars = firsts.join(pivots, "token").where((F.col("node") != F.col("p.node")) & _sizes_fit("n", "p.n"))
-    stars = staged(stars.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), "stars")
-
-    used = rows.select("node").distinct()
-    reps = nodes.join(used, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    reps = staged(reps, "reps")
-    texts = reduced(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")), reps, "doc_id").join(reps, "doc_id").select("node", "text")
-    texts = staged(_own(texts).dropDuplicates(["node"]), "texts")
-    edges = staged(verified(stars, texts), "links")
-
-    # the matrix: a token's groups, where it has more than one
+
+    # tokens of more than one node: rare ones side by side, frequent ones by a pre-aggregated join
+    rare, hot = tokens.where("not hot"), tokens.where("hot")
+    side = Window.partitionBy("token")
+    rare = rare.withColumn("lo", F.min("node").over(side)).withColumn("hi", F.max("node").over(side)).where("lo < hi").drop("lo", "hi")
+    several = hot.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
+    rows = staged(rare.unionByName(hot.join(several, "token")).drop("hot"), "shared")
+
+    # a node's group is its first shared token, the group's pivot the node of least hash
+    own = rows.groupBy("node").agg(F.min_by("token", "rank").alias("g"), F.first("n").alias("n"))
+    pivots = own.groupBy("g").agg(F.min_by("node", F.xxhash64("node")).alias("pivot"))
+    own = staged(own.join(pivots, "g"), "groups")
+    reps = staged(nodes.join(own.select("node"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "reps")
+    stars = own.select("g", F.when(F.col("node") == F.col("pivot"), "P").otherwise("M").alias("cls"), "node", F.col("node").alias("comp"))
+    edges = staged(_compare(stars, docs, reps, ("MP", "PM")), "links")
     member = components(edges, "a", "b")
-    rows = rows.join(member, "node", "left").withColumn("g", F.coalesce("component", "node")).select("token", "node", "n", "g")
-    rows = staged(rows, "rows")
-    matrix = rows.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    several = matrix.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
-    matrix = staged(matrix.join(several, "token"), "matrix")
-    met = rows.join(matrix.select("token", F.col("g").alias("to"), "least", "most"), "token").where((F.col("to") < F.col("g")) & (100 * F.col("n") >= PERCENT * F.col("least")) & (100 * F.col("most") >= PERCENT * F.col("n")))
-    opened = met.groupBy("node", "to").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= need("n")).select("node", "to")
-    opened = staged(opened, "opened")
-
-    # opened groups: members that share enough tokens are compared in full
-    asking = rows.join(opened, "node").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("to").alias("g"))
-    pairs = asking.join(rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), "g"), ["token", "g"]).where(_sizes_fit("na", "nb"))
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.least(F.first("na"), F.first("nb")).alias("n")).where(F.col("k") >= F.lit(1) + F.floor(F.col("n") / 20)).select("a", "b")
-    more = staged(verified(staged(pairs, "pairs"), texts), "links")
+    own = own.join(member, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    own = own.join(member.select(F.col("node").alias("pivot"), F.col("component").alias("pc")), "pivot", "left").withColumn("pc", F.coalesce("pc", "pivot"))
+    own = staged(own, "members")
+
+    # the matrix: each group's token union, with the sizes of its members
+    known = rows.select("token", "node", "n").join(own.select("node", "g", "comp"), "node")
+    known = staged(known.distinct(), "rows")
+    matrix = known.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    matrix = matrix.select("token", F.col("g").alias("to"), "least", "most", "lo", "hi")
+    met = known.join(matrix, "token").where((F.col("to") < F.col("g")) & (100 * F.col("n") >= PERCENT * F.col("least")) & (100 * F.col("most") >= PERCENT * F.col("n")))
+    met = met.groupBy("node", "to").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("comp").alias("comp"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    met = met.where((F.col("k") >= need("n")) & ((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))))
+
+    # opened groups
+    inside = own.select("g", F.when(F.col("comp") == F.col("pc"), "R").otherwise("U").alias("cls"), "node", "comp")
+    heads = own.groupBy("g").agg(F.first("pc").alias("pc"))
+    outside = met.select(F.col("to").alias("g"), "node", "comp").join(heads, "g").select("g", F.when(F.col("comp") == F.col("pc"), "E").otherwise("F").alias("cls"), "node", "comp")
+    parts = staged(inside.unionByName(outside), "parts")
+    live = parts.where(F.col("cls").isin("U", "F")).select("g").distinct()
+    more = staged(_compare(parts.join(live, "g", "left_semi"), docs, reps, OPEN), "links")
     return nodes, edges.unionByName(more)
 
 
