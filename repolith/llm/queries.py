@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import decontam, jaccard, langid, pieces, pii, quality
+from repolith.llm import decontam, jaccard, langid, lm, pieces, pii, quality, repeats, secret_scan, tokenids
 from repolith.llm.common import stopped_batches, table
 
 
@@ -36,6 +36,16 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = remainder("doc_id", 7) == 2
+    out = lm.score(_documents(spark, sf_dir), ~held)
+    return out.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_documents(spark, sf_dir))
 
@@ -44,6 +54,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.write_and_read(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held = remainder("doc_id", 5) == 0
@@ -58,14 +72,22 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), digest.alias("ids_crc32"), F.octet_length("decoded").cast("long").alias("n_bytes"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_documents(spark, sf_dir), secret_scan.fit(secret_scan.labelled_findings(spark)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op2_quality": op2_quality,
+        "op3_lm_score": op3_lm_score,
+        "op4_repeats": op4_repeats,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_decontamination": op6_decontamination,
+        "op7_token_ids": op7_token_ids,
         "op8_language_id": op8_language_id,
         "op9_pieces": op9_pieces,
+        "op10_secrets": op10_secrets,
     }
 
 

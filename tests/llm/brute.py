@@ -86,3 +86,24 @@ def near(docs):
 
 def crc(n, m):
     return zlib.crc32(str(n).encode()) % m
+
+
+def repeats(docs, length=50):
+    """(doc_id, bytes, removed, spans, kept) of distinct doc_ids."""
+    least = {}
+    for d, t in docs:
+        b = (t or "").encode()
+        for i in range(len(b) - length + 1):
+            s = b[i : i + length]
+            if least.get(s, d) >= d:
+                least[s] = d
+    out = []
+    for d, t in docs:
+        b = (t or "").encode()
+        gone = [False] * len(b)
+        for i in range(len(b) - length + 1):
+            if least[b[i : i + length]] < d:
+                gone[i : i + length] = [True] * length
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out.append((d, len(b), sum(gone), spans, bytes(c for c, g in zip(b, gone, strict=True) if not g)))
+    return sorted(out)
