@@ -36,16 +36,19 @@ def is_test(path: Column) -> Column:
     return b.rlike(r"(^|[./-])(test|spec)[./-]") | b.rlike(r"\.(test|spec)\.[a-z]+$") | b.rlike(r"^test_.*\.py$") | b.rlike(r"_test\.(py|go|rb)$") | p.rlike(r"(^|/)(tests?|__tests__|spec|e2e)(/|$)")
 
 
-def discover(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, max_files: int = MAX_FILES) -> DataFrame:
+def discover(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, max_files: int = MAX_FILES, hidden: tuple[str, ...] = ()) -> DataFrame:
     """(path, language, is_test, bytes, loc, content_hash, content) of the text files below ``root``.
 
     Ignored folders, lock files, binaries, files with a NUL in their first 8192
     bytes and files over ``max_bytes`` are left out; the first ``max_files`` by path stay.
+    Spark's readers skip names that begin with a dot: ``hidden`` names folders below
+    the root to read anyway.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    top = root.rstrip("/")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([top, *(f"{top}/{h}" for h in hidden)])
     base = root.rstrip("/").removeprefix("file:")
     d = raw.withColumn("path", F.regexp_replace("path", "^(file:)?/*", "/")).withColumn("path", F.expr(f"substring(path, {len(base) + 2})"))
-    return text_files(d.select("path", "content")).orderBy("path").limit(max_files)
+    return text_files(d.select("path", "content"), max_bytes).orderBy("path").limit(max_files)
 
 
 def text_files(d: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
