@@ -8,6 +8,8 @@ from a stable sort of the last round's by the new symbol (the Burrows-Wheeler st
 and the common prefix of neighbours is one more than the least common prefix between
 them before.  The symbols of a round are a column of a sequential file.  Neighbours
 that share LENGTH symbols are repeats; the least doc_id among them keeps its copy.
+Equal stretches enter the collection once, in the document of least doc_id; in any
+other document such a stretch is repeated throughout.
 """
 
 from __future__ import annotations
@@ -17,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolith.llm import hashing
 from repolith.llm.common import reduced, staged, text_of, text_slices
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 18
 #: Places of a GRAM-byte stretch in a string.
 PLACES = LENGTH - GRAM + 1
 #: Strings that are sorted together, more only where they share an anchor.
@@ -33,20 +36,28 @@ _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 
 
-def grams(raw: np.ndarray) -> np.ndarray:
-    """Hashes of all GRAM-byte stretches."""
+def sums_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of a polynomial over bytes, and the factors that make stretches comparable."""
     n = len(raw)
     up = np.cumprod(np.concatenate([[U(1)], np.full(n, _BASE, U)]))
-    sums = np.concatenate([[U(0)], np.cumsum((raw.astype(U) + U(1)) * up[:-1])])
-    down = np.cumprod(np.concatenate([[U(1)], np.full(max(0, n - GRAM), _INVERSE, U)]))
-    return hashing.mix((sums[GRAM:] - sums[:-GRAM]) * down) if n >= GRAM else np.zeros(0, U)
+    down = np.cumprod(np.concatenate([[U(1)], np.full(n, _INVERSE, U)]))
+    return np.concatenate([[U(0)], np.cumsum((raw.astype(U) + U(1)) * up[:-1])]), down
+
+
+def grams(sums: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """Hashes of all GRAM-byte stretches."""
+    return hashing.mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(sums) - GRAM]) if len(sums) > GRAM else np.zeros(0, U)
 
 
 def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, start, count, anchor, hash): runs of string starts with one anchor; places within the row."""
-    h = grams(raw)
+    """(row, start, count, anchor, hash, stretch): runs of string starts with one anchor.
+
+    Places are within the row; stretch is a hash of the text from the first string to the end of the last.
+    """
+    sums, down = sums_of(raw)
+    h = grams(sums, down)
     last = len(raw) - LENGTH
-    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, U),)
+    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, U), np.zeros(0, U))
     if last < 0:
         return none
     best, width = np.arange(len(h)), 1
@@ -63,44 +74,69 @@ def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         return none
     count = np.add.reduceat(ok.astype(np.int64), first)
     r, m = row[first], best[first]
-    return r, first - offs[r], count, m - offs[r], h[m]
+    whole = hashing.mix((sums[first + count + LENGTH - 1] - sums[first]) * down[first] + count.astype(U))
+    return r, first - offs[r], count, m - offs[r], h[m], whole
+
+
+#: Arrays of a packed row: four hash bytes, six of the stretch's, document (as differences), place, back and count.
+_KINDS = (("h", np.uint32), ("s", np.uint32), ("t", np.uint16), ("doc", np.int64), ("m", np.int32), ("back", np.int8), ("n", np.int8))
 
 
 def _spread(docs: DataFrame, shards: int) -> DataFrame:
-    """Per batch and shard a row of anchors, packed: four hash bytes, document, place, start and count."""
+    """Per batch and shard a row of anchors, packed and compressed."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             parts = []
             for at, raw, offs in text_slices(batch):
-                r, start, count, m, h = anchors(raw, offs)
-                parts.append((h, ids[at + r], m, m - start, count))
-            h, doc, m, back, count = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, U)] * 5
+                r, start, count, m, h, whole = anchors(raw, offs)
+                parts.append((h, whole, ids[at + r], m, m - start, count))
+            h, whole, doc, m, back, count = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, U)] * 6
             if len(h):
                 shard = (h >> U(40)).astype(np.int64) % shards
                 order = np.argsort(shard, kind="stable")
-                cut = np.flatnonzero(np.diff(shard[order])) + 1
-                packed = [[p.tobytes() for p in np.split(x[order], cut)] for x in (h.astype(np.uint32), doc.astype(np.int64), m.astype(np.int32), back.astype(np.int8), count.astype(np.int8))]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[order][np.concatenate([[0], cut])], pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["shard", "h", "doc", "m", "back", "n"])
-
-    return docs.mapInArrow(step, "shard int, h binary, doc binary, m binary, back binary, n binary")
+                bounds = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0, [True]]))
+                x = {"h": h, "s": whole, "t": whole >> U(32), "doc": doc, "m": m, "back": back, "n": count}
+                cols = [x[k][order].astype(t) for k, t in _KINDS]
+                rows = []
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                    packed = [np.diff(c[a:b], prepend=0) if k == "doc" else c[a:b] for (k, _), c in zip(_KINDS, cols, strict=True)]
+                    rows.append(press.compress(b"".join(c.tobytes() for c in packed)))
+                yield pa.RecordBatch.from_arrays([pa.array(shard[order][bounds[:-1]], pa.int32()), pa.array(np.diff(bounds), pa.int64()), pa.array(rows, pa.binary())], ["shard", "size", "packed"])
 
-
-_KINDS = {"h": np.uint32, "doc": np.int64, "m": np.int32, "back": np.int8, "n": np.int8}
+    return docs.mapInArrow(step, "shard int, size long, packed binary")
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """(doc_id, m, back, n) of anchors whose hash occurs in several documents."""
+    """(doc_id, m, back, n, whole) of anchors whose hash occurs in several documents.
+
+    whole: a document of smaller doc_id has the same stretch.  Of the others only
+    those stay whose anchor has several stretches.
+    """
 
-    def done(held: list[dict]) -> pa.RecordBatch:
-        x = {k: np.concatenate([np.frombuffer(r[k], t) for r in held]) for k, t in _KINDS.items()}
-        order = np.argsort(x["h"], kind="stable")
-        h, doc = x["h"][order], x["doc"][order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
-        on = order[np.repeat(several, np.diff(np.append(first, len(h))))]
-        return pa.RecordBatch.from_arrays([pa.array(x["doc"][on]), *(pa.array(x[k][on].astype(np.int32)) for k in ("m", "back", "n"))], ["doc_id", "m", "back", "n"])
+    def done(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        press, parts = zstandard.ZstdDecompressor(), []
+        for size, packed in held:
+            data, at, one = press.decompress(packed), 0, {}
+            for k, t in _KINDS:
+                one[k] = np.frombuffer(data, t, size, at)
+                at += size * np.dtype(t).itemsize
+            parts.append(one | {"doc": np.cumsum(one["doc"])})
+        x = {k: np.concatenate([p[k] for p in parts]) for k, _ in _KINDS}
+        stretch = x["s"].astype(U) | x["t"].astype(U) << U(32)
+        order = np.lexsort((stretch, x["h"]))
+        h, stretch, doc = x["h"][order], stretch[order], x["doc"][order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        inner = new | np.concatenate([[True], stretch[1:] != stretch[:-1]])
+        first, second = np.flatnonzero(new), np.flatnonzero(inner)
+        spread = lambda values, at: np.repeat(values, np.diff(np.append(at, len(h))))
+        several = spread((np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)) & (np.add.reduceat(inner.astype(np.int64), first) > 1), first)
+        whole = doc > spread(np.minimum.reduceat(doc, second), second)
+        on = np.flatnonzero(whole | several)
+        at = order[on]
+        return pa.RecordBatch.from_arrays([pa.array(doc[on]), *(pa.array(x[k][at].astype(np.int32)) for k in ("m", "back", "n")), pa.array(whole[on])], ["doc_id", "m", "back", "n", "whole"])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
@@ -110,11 +146,11 @@ def _met(rows: DataFrame) -> DataFrame:
                     yield done(held)
                     held = []
                 shard = r["shard"]
-                held.append(r)
+                held.append((r["size"], r["packed"]))
         if held:
             yield done(held)
 
-    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(step, "doc_id long, m int, back int, n int")
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(step, "doc_id long, m int, back int, n int, whole boolean")
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
@@ -137,7 +173,7 @@ def _contexts(rows: DataFrame) -> DataFrame:
                 place = offs[owner[fits]] + m[k]
                 size = n[k] + LENGTH - 1
                 data = hashing.gather(raw, place - back[k], size)
-                h = grams(raw)[place] if len(place) else np.zeros(0, U)
+                h = grams(*sums_of(raw))[place] if len(place) else np.zeros(0, U)
                 strings = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
                 ids = batch.column("doc_id").take(pa.array(at + owner[fits]))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, *(pa.array(x[k].astype(np.int32)) for x in (m, back, n)), strings], ["h", "doc_id", "m", "back", "n", "string"])
@@ -255,9 +291,11 @@ def remove(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = staged(_met(_spread(own.where("doc_id is not null"), shards)), "anchors")
-    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("m", "back", "n")).alias("found"))
-    strings = _contexts(reduced(own, found.select("doc_id"), "doc_id").join(lists, "doc_id").select("doc_id", "text", "found"))
-    bits = staged(_sorted(strings), "repeats")
+    ask = found.where("not whole")
+    lists = ask.groupBy("doc_id").agg(F.collect_list(F.struct("m", "back", "n")).alias("found"))
+    strings = _contexts(reduced(own, ask.select("doc_id"), "doc_id").join(lists, "doc_id").select("doc_id", "text", "found"))
+    every = found.where("whole").select("doc_id", (F.col("m") - F.col("back")).alias("start"), (F.expr("shiftleft(1L, n)") - 1).alias("bits"))
+    bits = staged(_sorted(strings), "repeats").unionByName(every)
     lists = bits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "bits")).alias("found"))
     hit = reduced(own, bits.select("doc_id"), "doc_id").join(lists, "doc_id", "left")
     rest = reduced(own, bits.select("doc_id"), "doc_id", rest=True).withColumn("found", F.lit(None).cast(hit.schema["found"].dataType))
