@@ -30,12 +30,17 @@ PLANES = 4
 CHUNK = 1 << 18
 END = 2
 #: Units whose ids a worker remembers; forgotten all at once beyond that, which costs time only.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+#: Text bytes encoded at once; the larger, the more units are equal.
+SLICE = 1 << 22
 CHUNK_SCHEMA = "part int, seq int, first long, doc_ids array<long>, sizes array<long>, planes binary, plane_sizes array<int>"
 
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -136,7 +141,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
 
         for batch in batches:
             ids_of = batch.column("key").to_pylist()
-            for at, raw, offs in text_slices(batch):
+            for at, raw, offs in text_slices(batch, limit=SLICE):
                 ids, sizes = encoder.encode(raw, offs)
                 ends = np.cumsum(sizes)
                 for k in range(len(sizes)):
