@@ -203,7 +203,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # the matrix: each group's token union, with the sizes of its members
     known = rows.select("token", "node", "n").join(own.select("node", "g", "comp"), "node")
-    known = staged(known.distinct(), "rows")
+    # a token that only one component has leads nowhere new
+    mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    known = staged(known.join(mixed, "token").distinct(), "rows")
     matrix = known.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     matrix = matrix.select("token", F.col("g").alias("to"), "least", "most", "lo", "hi")
     met = known.join(matrix, "token").where((F.col("to") < F.col("g")) & (100 * F.col("n") >= PERCENT * F.col("least")) & (100 * F.col("most") >= PERCENT * F.col("n")))
