@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from repolith.llm.common import text_of
 
-_ASSIGNED = re.compile(r"""(?i)[a-z0-9_.-]{0,30}?(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)["']?[ \t]*(?:=>|:=|=|:)[ \t]*["']?([^\s"'`,;<>]{8,200})""")
-_BARE = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*[0-9])(?=[0-9+/_=.-]*[A-Za-z])[A-Za-z0-9+/_=.-]{16,200}(?![A-Za-z0-9+/_=.-])")
+_ASSIGNED = re.compile(r"""(?i)(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)["']?[ \t]*(?:=>|:=|=|:)[ \t]*["']?([^\s"'`,;<>]{8,200})""")
+_BARE = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_=.-]{16})(?=[A-Za-z+/_=.-]*+[0-9])(?=[0-9+/_=.-]*+[A-Za-z])[A-Za-z0-9+/_=.-]{16,200}+(?![A-Za-z0-9+/_=.-])")
 _CUE = re.compile(r"(?i)token|secret|passw|pwd|api.?key|access.?key|credential|auth|bearer|private")
 _NOT = re.compile(r"(?i)sha\d*|md5|commit|hash|checksum|digest|uuid|revision|integrity|version|file|path|example|placeholder")
 _PATH = re.compile(r"[\w.-]+/[\w.-]+|\.[a-z]{1,4}$")
