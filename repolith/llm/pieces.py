@@ -63,9 +63,10 @@ class Pieces:
         self.longest = max((len(b) for b, _, _ in rows), default=1)
         self.heads, self.tables = [], []
         for size in range(1, self.longest + 1):
-            self.heads.append(np.unique(np.array([_hash(b[:size]) for b, _, _ in rows if len(b) >= size], U)))
-            own = sorted((_hash(b), i, w) for (b, i, _), w in zip(rows, logs, strict=True) if len(b) == size)
-            self.tables.append((np.array([x[0] for x in own], U), np.array([x[1] for x in own], np.int32), theta * np.array([x[2] for x in own])))
+            own = {_hash(b): (i, w) for (b, i, _), w in zip(rows, logs, strict=True) if len(b) == size}
+            heads = sorted({_hash(b[:size]) for b, _, _ in rows if len(b) >= size})
+            self.heads.append(np.array(heads, U))
+            self.tables.append((np.array([own.get(h, (-1, 0))[0] for h in heads], np.int32), theta * np.array([own.get(h, (-1, 0))[1] for h in heads], float)))
         self.byte_log = theta * BYTE_LOG
         self.raw = np.frombuffer(b"".join(content), np.uint8)
         self.sizes = np.array([len(b) for b in content], np.int64)
@@ -102,12 +103,10 @@ def _edges(p: Pieces, raw: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np
         heads = p.heads[size - 1]
         k = np.minimum(np.searchsorted(heads, h), len(heads) - 1)
         ok = heads[k] == h
-        alive, h = alive[ok], h[ok]
-        hashes, ids, logs = p.tables[size - 1]
-        if len(hashes) and len(alive):
-            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[k] == h
-            found.append((alive[hit], np.full(int(hit.sum()), size), ids[k[hit]], logs[k[hit]]))
+        alive, k = alive[ok], k[ok]
+        ids, logs = p.tables[size - 1]
+        hit = ids[k] >= 0  # a head of longer pieces need not be a piece
+        found.append((alive[hit], np.full(int(hit.sum()), size), ids[k[hit]], logs[k[hit]]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -124,7 +123,7 @@ class Lattice:
         local = np.arange(len(raw)) - starts[unit]
         at, size, piece, log = _edges(p, raw, sizes[unit] - local)
         source, target, column = at + unit[at], at + unit[at] + size, local[at] + size
-        order = np.lexsort((target, column))
+        order = np.argsort(column * (len(raw) + len(sizes)) + target, kind="stable")
         source, target, column, piece, log = source[order], target[order], column[order], piece[order], log[order]
         alpha = np.zeros(len(raw) + len(sizes))
         bounds = np.searchsorted(column, np.arange(1, int(sizes.max()) + 2))
@@ -143,7 +142,13 @@ class Lattice:
         self.end = self.begin + sizes
 
     def sample(self, unit: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(pieces of all occurrences in order, how many each has); keys: 64 random bits an occurrence."""
+        """(pieces of all occurrences in order, how many each has); keys: 64 random bits an occurrence.
+
+        Occurrences of a unit go through the lattice side by side, which keeps its
+        nodes in the processor's cache.
+        """
+        order = np.argsort(unit, kind="stable")
+        unit, keys = unit[order], keys[order]
         who, at, step, taken = np.arange(len(unit)), self.end[unit], 0, []
         counts = np.zeros(len(unit), np.int64)
         while len(who):
@@ -156,11 +161,13 @@ class Lattice:
             at = self.source[e]
             on = at > self.begin[unit[who]]
             who, at, step = who[on], at[on], step + 1
-        ends = np.cumsum(counts)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        given = np.empty_like(counts)
+        given[order] = counts
+        ends = np.cumsum(given)[order]
+        out = np.empty(int(counts.sum()), np.int32)
         for k, (w, x) in enumerate(taken):
             out[ends[w] - 1 - k] = x
-        return out, counts
+        return out, given
 
 
 def encode_slice(p: Pieces, raw: np.ndarray, offs: np.ndarray, row_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
