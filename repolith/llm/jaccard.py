@@ -28,8 +28,8 @@ from repolith.llm.components import components
 WIDTH, PERCENT = 5, 80
 #: Hash buckets whose frequency orders the tokens; 256 kB once broadcast.
 BUCKET_BITS = 18
-#: Nodes of a group that one task compares with as many others at once.
-BLOCK = 256
+#: Tokens of a group's nodes that one task compares with as many others at once; 2 MB of hashes.
+BLOCK = 1 << 18
 #: Pairs of classes of a group's nodes to compare: members linked to the pivot (R) or not
 #: (U), queries from other groups that reach the pivot (E) or not (F).
 OPEN = ("UU", "UR", "RU", "FR", "RF", "FU", "UF", "EU", "UE")
@@ -120,10 +120,11 @@ def prefix_tokens(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 def _compare(parts: DataFrame, docs: DataFrame, reps: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
     """Linked pairs (a, b) between blocks of a group whose classes are in ``allowed``.
 
-    parts: (g, cls, node, comp); pairs of the same comp are skipped.  A class of
-    more than BLOCK nodes is split, so a task holds two blocks at a time.
+    parts: (g, cls, node, comp, n); pairs of the same comp are skipped.  A class of
+    more than BLOCK tokens is split, so a task holds two blocks at a time, and a
+    text goes to as many tasks as its class has blocks.
     """
-    sizes = parts.groupBy("g", "cls").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    sizes = parts.groupBy("g", "cls").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     placed = parts.join(sizes, ["g", "cls"]).withColumn("part", F.concat_ws(":", "cls", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("string")))
     blocks = sizes.select("g", "cls", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("k")).select("g", "cls", F.concat_ws(":", "cls", F.col("k").cast("string")).alias("part"))
     two = blocks.select("g", F.col("cls").alias("c"), F.col("part").alias("x")).join(blocks.select("g", F.col("cls").alias("d"), F.col("part").alias("y")), "g")
@@ -194,7 +195,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pivots = own.groupBy("g").agg(F.min_by("node", F.xxhash64("node")).alias("pivot"))
     own = staged(own.join(pivots, "g"), "groups")
     reps = staged(nodes.join(own.select("node"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "reps")
-    stars = own.select("g", F.when(F.col("node") == F.col("pivot"), "P").otherwise("M").alias("cls"), "node", F.col("node").alias("comp"))
+    stars = own.select("g", F.when(F.col("node") == F.col("pivot"), "P").otherwise("M").alias("cls"), "node", F.col("node").alias("comp"), "n")
     edges = staged(_compare(stars, docs, reps, ("MP", "PM")), "links")
     member = components(edges, "a", "b")
     own = own.join(member, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
@@ -213,9 +214,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = met.where((F.col("k") >= need("n")) & ((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))))
 
     # opened groups
-    inside = own.select("g", F.when(F.col("comp") == F.col("pc"), "R").otherwise("U").alias("cls"), "node", "comp")
+    inside = own.select("g", F.when(F.col("comp") == F.col("pc"), "R").otherwise("U").alias("cls"), "node", "comp", "n")
     heads = own.groupBy("g").agg(F.first("pc").alias("pc"))
-    outside = met.select(F.col("to").alias("g"), "node", "comp").join(heads, "g").select("g", F.when(F.col("comp") == F.col("pc"), "E").otherwise("F").alias("cls"), "node", "comp")
+    outside = met.select(F.col("to").alias("g"), "node", "comp", "n").join(heads, "g").select("g", F.when(F.col("comp") == F.col("pc"), "E").otherwise("F").alias("cls"), "node", "comp", "n")
     parts = staged(inside.unionByName(outside), "parts")
     live = parts.where(F.col("cls").isin("U", "F")).select("g").distinct()
     more = staged(_compare(parts.join(live, "g", "left_semi"), docs, reps, OPEN), "links")

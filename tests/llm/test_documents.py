@@ -70,7 +70,7 @@ def test_near_duplicates(spark, odd, docs):
     assert {1, 2, 3, 6} <= kept and not {7, 8} & kept
 
 
-def test_near_duplicates_of_a_chain_and_a_crowd(spark):
+def test_near_duplicates_of_a_chain_and_a_crowd(spark, monkeypatch):
     import random
 
     rng = random.Random(3)
@@ -85,6 +85,7 @@ def test_near_duplicates_of_a_chain_and_a_crowd(spark):
     for i in range(30):
         texts.append((1000 + i, " ".join(chain)))
         chain = chain[4:] + [f"d{i}_{k}" for k in range(4)]
+    monkeypatch.setattr(jaccard, "BLOCK", 2_000)  # so groups are split
     df = spark.createDataFrame(texts, "doc_id long, text string")
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()} == brute.near(texts)
 
