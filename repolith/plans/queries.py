@@ -19,6 +19,8 @@ from repolith.operators import scoring as SC
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 AS_OF = "2024-01-31"
+#: Orders from this date on are the later state of ``whole_dependency_diff``.
+SPLIT = "1998-04-16"
 
 
 def query(sql: str | None = None):
@@ -225,6 +227,19 @@ def dependency_diff(spark, d):
     return changed(side(0), side(1)).select("name", "change")
 
 
+@query(
+    f"""WITH a AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderdate < TIMESTAMP '{SPLIT}' GROUP BY 1), b AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderdate >= TIMESTAMP '{SPLIT}' GROUP BY 1)
+ SELECT coalesce(a.k, b.k) AS name, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'updated' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v <> b.v"""
+)
+def whole_dependency_diff(spark, d):
+    """``dependency_diff`` of all orders, before a date and from it on."""
+    from repolith.sources.manifests import changed
+
+    o = read(spark, d, "orders")
+    side = lambda when: o.where(when).groupBy(F.lit("npm").alias("ecosystem"), F.col("o_custkey").alias("name")).agg(F.max("o_totalprice").alias("version"))
+    return changed(side(F.col("o_orderdate") < SPLIT), side(F.col("o_orderdate") >= SPLIT)).select("name", "change")
+
+
 @query(
     """WITH d AS (SELECT p_partkey, ['npm', 'PyPI'][1 + p_partkey % 2] AS eco, ['lodash', 'flask', 'axios', 'django'][1 + p_partkey % 4] AS name, p_size % 6 AS a, p_partkey % 30 AS b FROM part),
  k AS (SELECT * FROM (VALUES ('npm', 'lodash', 4, 17, 'high'), ('npm', 'axios', 0, 21, 'medium'), ('PyPI', 'flask', 2, 3, 'high'), ('PyPI', 'django', 3, 2, 'critical')) t(eco, name, x, y, severity))
@@ -287,6 +302,49 @@ def hotspots(spark, d):
     return G.hotspots(_links(spark, d))
 
 
+def _whole_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer to its orders, order to its parts, part to its suppliers, supplier to its nation."""
+    key = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    li, o, s = (read(spark, d, t) for t in ("lineitem", "orders", "supplier"))
+    e = o.select(key("c", "o_custkey").alias("src"), key("o", "o_orderkey").alias("dst"))
+    for rows, src, dst in ((li, ("o", "l_orderkey"), ("p", "l_partkey")), (li, ("p", "l_partkey"), ("s", "l_suppkey")), (s, ("s", "s_suppkey"), ("n", "s_nationkey"))):
+        e = e.unionByName(rows.select(key(*src).alias("src"), key(*dst).alias("dst")))
+    return e.distinct()
+
+
+_WHOLE = """e AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem
+ UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_WHOLE}, r AS (SELECT 'n' || n_nationkey AS origin, 'n' || n_nationkey AS node, 0 AS depth FROM nation UNION SELECT r.origin, e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node WHERE r.depth < 3),
+ m AS (SELECT origin, node, min(depth) AS depth FROM r GROUP BY 1, 2), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY depth, node) AS k FROM m WHERE depth > 0) WHERE k <= 200)
+ SELECT k.origin, k.node, k.depth, min(p.node) AS via FROM k JOIN e ON e.src = k.node JOIN m p ON p.node = e.dst AND p.origin = k.origin AND p.depth = k.depth - 1 GROUP BY ALL"""
+)
+def whole_reachable_dependents(spark, d):
+    """``reachable_dependents`` over all links, from every nation."""
+    o = read(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("origin"))
+    return G.reachable(_whole_links(spark, d), o)
+
+
+@query(
+    f"""WITH RECURSIVE {_WHOLE}, r AS (SELECT 'c' || c_custkey AS start, 'c' || c_custkey AS node, 0 AS hops FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT r.start, e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.node WHERE r.hops < 4)
+ SELECT start, node AS target, min(hops) AS hops FROM r WHERE node IN (SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal < 1000) GROUP BY start, node"""
+)
+def whole_attack_paths(spark, d):
+    """``attack_paths`` over all links, from a market segment's customers to all nations and to suppliers of a low balance."""
+    key = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string")).alias("node")
+    starts = read(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(key("c", "c_custkey"))
+    targets = read(spark, d, "nation").select(key("n", "n_nationkey")).unionByName(read(spark, d, "supplier").where("s_acctbal < 1000").select(key("s", "s_suppkey")))
+    return G.paths(_whole_links(spark, d), starts, targets, hops=4)
+
+
+@query(f"WITH {_WHOLE} SELECT dst AS node, count(DISTINCT src) AS dependents FROM e GROUP BY dst ORDER BY 2 DESC, 1 LIMIT 10")
+def whole_hotspots(spark, d):
+    """``hotspots`` over all links."""
+    return G.hotspots(_whole_links(spark, d))
+
+
 @query(
     f"""WITH x AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS direct, count(*) AS tr, count(*) FILTER (l_returnflag = 'R') AS routes, count(DISTINCT l_linestatus) AS areas, count(*) FILTER (l_quantity > 45) * 1.5 AS sp, bool_or(l_discount = 0) AS tested FROM lineitem GROUP BY 1),
  y AS (SELECT l_partkey, floor(greatest(0, least(100, {_LOG2.format(n="direct", k=10, m=30)} + {_LOG2.format(n="tr", k=4, m=15)} + least(15, routes * 5) + least(20, areas * 10) + least(15, sp) + CASE WHEN NOT tested AND direct > 0 THEN 8 ELSE 0 END)) + 0.5) AS s FROM x)
