@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from repolith.llm.common import text_of
 
-_ASSIGNED = re.compile(r"""(?i)(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)["']?[ \t]*(?:=>|:=|=|:)[ \t]*["']?([^\s"'`,;<>]{8,200})""")
-_BARE = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_=.-]{16})(?=[A-Za-z+/_=.-]*+[0-9])(?=[0-9+/_=.-]*+[A-Za-z])[A-Za-z0-9+/_=.-]{16,200}+(?![A-Za-z0-9+/_=.-])")
+_ASSIGNED = re.compile(r"""(?i)(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)["']?[ \t]*(?:=>|:=|=|:)[ \t]*["']?([^\s"'`,;<>]{8,}+)""")
+_BARE = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_=.-]{16})(?=[A-Za-z+/_=.-]*+[0-9])(?=[0-9+/_=.-]*+[A-Za-z])[A-Za-z0-9+/_=.-]{16,}+")
 _CUE = re.compile(r"(?i)token|secret|passw|pwd|api.?key|access.?key|credential|auth|bearer|private")
 _NOT = re.compile(r"(?i)sha\d*|md5|commit|hash|checksum|digest|uuid|revision|integrity|version|file|path|example|placeholder")
-_PATH = re.compile(r"[\w.-]+/[\w.-]+|\.[a-z]{1,4}$")
+_PATH = re.compile(r"[\w.-]/[\w.-]|\.[a-z]{1,4}$")
 #: Fixed list of words that tell names from keys.
 WORDS = "about access account action after array async base before block build button cache call change check class client close code column component config connect const content context control core count create data date default delete description device document download edit element email error event example export false field file filter find first folder format from function get global group handler header home html icon image import index info input insert into item json label last layout level library line link list load local login main manager master menu message method model module name network node number object open option order output package page param parent password path path place process project property provider public query read record remove render report request reset resource response result return route sample save schema script search section select server service session setting size source stack start state status step stop store string style submit system table task template test text that this time title token true type update upload user util value version view width window with word your".split()
 _WORDS = re.compile("|".join(sorted({w for w in WORDS if len(w) >= 4}, key=len, reverse=True)), re.I)
@@ -57,7 +57,10 @@ def features(value: str, before: str, after: str, assigned: bool) -> list[float]
 
 
 def candidates(text: str | None) -> list[tuple[int, int, str, list[float]]]:
-    """(start, end, rule, features) in a text by start; an assigned value hides what is bare within it."""
+    """(start, end, rule, features) in a text by start; an assigned value hides what is bare within it.
+
+    A candidate of any length is whole; only the feature of its length is bounded.
+    """
     if not text:
         return []
     spans = {m.span(1): "assigned" for m in _ASSIGNED.finditer(text)}

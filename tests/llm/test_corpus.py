@@ -110,3 +110,14 @@ def test_pipeline(spark):
     assert {d for d in out} <= firsts
     for name, stage in P.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns, name
+
+
+def test_long_secrets_are_whole(spark):
+    import hashlib
+
+    jwt, key = "eyJhbGciOiJIUzI1NiJ9." + "aB3dE6g" * 60 + ".c0ffee", "k3Zq9" * 50
+    text = f"é Authorization: Bearer {jwt} then token = \"{key}\", end"
+    assert [(text[a:b], rule) for a, b, rule, _ in secret_scan.candidates(text)] == [(jwt, "bare"), (key, "assigned")]
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = secret_scan.scan(one, secret_scan.fit(secret_scan.labelled_findings(spark))).orderBy("start").collect()
+    assert [r["value_sha256"] for r in got] == [hashlib.sha256(x.encode()).hexdigest() for x in (jwt, key)]
