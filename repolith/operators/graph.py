@@ -54,7 +54,7 @@ def merged_impact(reached: DataFrame) -> DataFrame:
     return reached.groupBy("node").agg(F.min("depth").alias("depth"), F.countDistinct("origin").alias("origins"))
 
 
-def paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, hops: int = 3) -> DataFrame:
+def paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, hops: int = 4) -> DataFrame:
     """(start, target, hops): least number of steps from each start to each target, up to ``hops``."""
     front = starts.select(F.col("node").alias("start"), "node")
     seen = front.withColumn("hops", F.lit(0))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.functions.scalars import fingerprint, round_confidence
+from repolith.operators import graph
+from repolith.sources import manifests
 from repolith.sources.files import basename, lines
 
 HITS = 5
@@ -158,10 +160,121 @@ def configuration(files: DataFrame) -> DataFrame:
     return _sign(hits(lines(d), CONFIG).unionByName(debug))
 
 
+def _cut(text: Column) -> Column:
+    t = F.btrim(text, F.lit(" \t\r\n\x0b\x0c"))
+    return F.when(F.length(t) > EVIDENCE, F.concat(F.left(t, F.lit(EVIDENCE)), F.lit("…"))).otherwise(t)
+
+
+def _row(rows: DataFrame, rule: str, severity: Column | str, confidence: Column | float, seed: Column, path: Column | str = "path", line: Column | str | int = 1, text: Column | str = "") -> DataFrame:
+    """Findings of one rule, signed by ``seed`` instead of by their evidence."""
+    of = lambda x: x if isinstance(x, Column) else F.lit(x)
+    path = F.col(path) if isinstance(path, str) else path
+    line = F.col(line) if isinstance(line, str) else of(line)
+    out = rows.select(path.alias("path"), F.lit(rule).alias("rule_id"), of(severity).alias("severity"), line.alias("line"), _cut(of(text)).alias("evidence"), of(confidence).alias("confidence"), seed.alias("_seed"))
+    return out.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("path"), F.col("_seed"))).drop("_seed")
+
+
+# Patterns of the quality and testing detectors.
+MONEY = r"(?i)(?:amount|price|total|cost|balance|refund|fee|salary)\w*\s*[*/]\s*\d|\*\s*100\b"
+BRANCHES = r"\b(?:if|else\s+if|elif|for|while|case|catch|except)\b|&&|\|\||\?\?|\?[^.:]"
+DECLARED = r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*="
+CASES = r"\b(?:it|test)\s*(?:\.\w+)*\s*(?:\([^()]*\)|`[^`]*`)?\s*\(\s*['\"`]|\bdef\s+test_\w+\s*\(|\bfunc\s+Test\w+\s*\("
+ASSERTS = r"\bexpect\s*\(|\bassert\b|\bshould\b|\bt\.(?:Error|Fatal)\b"
+IMPORTS = (r"require\(\s*['\"](\.[^'\"]+)['\"]\s*\)", r"import\s+[^'\"]*from\s+['\"](\.[^'\"]+)['\"]", r"import\s*\(\s*['\"](\.[^'\"]+)['\"]\s*\)", r"from\s+(\.[\w.]+)\s+import")
+ENDINGS = ("", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".py", "/index.js", "/index.ts", "/__init__.py")
+HIGH_RISK = r"(?i)payment|billing|charge|invoice|auth|login|session|token|password|crypto|permission|access|admin|security|migration|order|checkout|transaction"
+BRANCHES_MOST, LINES_LEAST = 25, 40
+
+
+def error_handling(files: DataFrame) -> DataFrame:
+    """Swallowed errors, unchecked chains, float currency and unbounded percentages, by line, in source files that are not tests.
+
+    An ``except`` counts as swallowed unless its very next line does something, as in the behaviour studied.
+    """
+    d = files.where(F.col("language").isin(*CODE) & ~F.col("is_test"))
+    guard = F.contains("content", F.lit("Math.min")) | F.contains("content", F.lit("Math.max")) | F.col("content").rlike(r"(?i)if\s*\([^)]*(?:percent|discount)[^)]*[<>]")
+    t = F.btrim("text", F.lit(" \t\r\n\x0b\x0c"))
+    after = Window.partitionBy("path").orderBy("line").rowsBetween(1, 5)
+    code = lines(d.withColumn("_guard", guard)).withColumn("t", t).withColumn("_after", F.collect_list("t").over(after))
+    end = F.array_position("_after", "}").cast("int")
+    body = F.when(end > 0, F.slice("_after", F.lit(1), end - 1)).otherwise(F.col("_after"))
+    body = F.when(F.col("language") == "python", F.slice(body, 1, 1)).otherwise(body)
+    does = F.exists(body, lambda x: (x != "") & ~x.rlike(r"^(?://|#|/\*|\*)") & ~x.rlike("^(?:pass|;)$"))
+    caught = F.col("t").rlike(r"\bcatch\s*(?:\([^)]*\))?\s*\{\s*$") | F.col("text").rlike(r"^\s*except[^:]*:\s*$")
+    chain = F.col("t").rlike(r"\breturn\s+\w+\.\w+\.\w+") & ~F.contains("t", F.lit("?.")) & ~F.col("t").rlike(r"\bthis\b|\bwindow\b|\bprocess\b|\bJSON\b|\bMath\b")
+    money = F.col("t").rlike(MONEY) & F.col("t").rlike("(?i)amount|price|total|cost|balance|refund|fee|cents|usd") & ~F.col("t").rlike(r"toFixed|Math\.round|Decimal|BigInt|Number\.isInteger")
+    share = F.col("t").rlike(r"(?i)function\s+\w*(?:discount|percent|rate|ratio)|(?:discount|percent)\w*\s*/\s*100") & ~F.col("_guard") & F.col("t").rlike(r"/\s*100")
+    one = lambda when, rule, severity, sure, seed: F.when(when, F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(sure).alias("confidence"), seed.alias("seed")))
+    met = F.array(
+        one(caught & ~does, "reliability/swallowed-error", "medium", 0.85, F.concat(F.lit("swallowed-error:"), "t", F.lit(":"), (F.col("line") - 1).cast("string"))),
+        one(chain, "bugs/unchecked-property-access", "medium", 0.6, _cut(F.col("t"))),
+        one(money, "bugs/float-currency-arithmetic", "medium", 0.55, _cut(F.col("t"))),
+        one(share, "bugs/missing-bounds-check", "low", 0.5, _cut(F.col("t"))),
+    )
+    found = code.select("path", "line", "t", F.explode(F.filter(met, lambda x: x.isNotNull())).alias("h"))
+    return found.select("path", "h.rule_id", "h.severity", "line", _cut(F.col("t")).alias("evidence"), "h.confidence", fingerprint(F.col("h.rule_id"), F.col("path"), F.col("h.seed")).alias("fingerprint"))
+
+
+def structure(files: DataFrame) -> DataFrame:
+    """Files of many branches, and variables of JavaScript and TypeScript that their file names once; nesting depth is not built."""
+    d = files.where(F.col("language").isin(*CODE) & ~F.col("is_test"))
+    branchy = d.where(F.regexp_count("content", F.lit(BRANCHES)) + 1 > BRANCHES_MOST)
+    rows = _row(branchy, "quality/high-complexity", "low", 0.7, F.concat(F.lit("high-complexity:"), "path"))
+    js = d.where(F.col("language").isin(*JS))
+    # a piece from each declaration to the next; the lines before it are those of the pieces before
+    pieces = js.select("path", F.posexplode(F.split("content", rf"(?=\b{DECLARED})")).alias("pos", "piece"))
+    before = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    named = F.regexp_extract("piece", f"^{DECLARED}", 1).alias("name")
+    line = (F.coalesce(F.sum(F.regexp_count("piece", F.lit("\n"))).over(before), F.lit(0)) + 1).cast("int").alias("line")
+    names = pieces.select("path", named, line).where((F.col("name") != "") & ~F.col("name").startswith("_"))
+    words = js.select("path", F.explode(F.regexp_extract_all("content", F.lit(r"\w+"), F.lit(0))).alias("name")).groupBy("path", "name").agg(F.count(F.lit(1)).alias("uses"))
+    plain = names.where(~F.contains("name", F.lit("$"))).join(words.where("uses <= 1").drop("uses"), ["path", "name"], "left_semi")
+    # a name with a dollar sign is no run of word characters: its file is searched for it
+    use = F.regexp_count("content", F.concat(F.lit(r"\b"), F.replace("name", F.lit("$"), F.lit(r"\$")), F.lit(r"\b")))
+    other = names.where(F.contains("name", F.lit("$"))).join(js.select("path", "content"), "path").where(use <= 1).select("path", "name", "line")
+    unused = plain.select("path", "name", "line").unionByName(other).join(lines(js).select("path", "line", "text"), ["path", "line"])
+    return rows.unionByName(_row(unused, "quality/unused-variable", "info", 0.75, F.concat(F.lit("unused-variable:"), "path", F.lit(":"), "name"), line="line", text=F.col("text")))
+
+
+def quality(files: DataFrame) -> DataFrame:
+    """Findings of error handling and of structure."""
+    return error_handling(files).unionByName(structure(files))
+
+
+def testing(files: DataFrame) -> DataFrame:
+    """Tests without assertions; one finding if there is no test at all, or else the modules that no test imports."""
+    tests, sources = files.where("is_test"), files.where("not is_test")
+    vain = tests.where((F.regexp_count("content", F.lit(CASES)) > 0) & ~F.col("content").rlike(ASSERTS))
+    rows = _row(vain, "testing/test-without-assertions", "medium", 0.8, F.concat(F.lit("test-without-assertions:"), "path"))
+    totals = F.broadcast(files.agg(F.count_if("is_test").alias("_tests"), F.count_if(~F.col("is_test")).alias("_sources")))
+    rows = rows.unionByName(_row(totals.where("_tests = 0 and _sources > 0"), "testing/no-tests", "high", 0.9, F.lit("no-tests"), path=F.lit(None).cast("string")))
+    found = F.concat(*[F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in IMPORTS])
+    specs = tests.select("path", F.explode(F.array_distinct(found)).alias("specifier"))
+    covered = graph.resolved_imports(specs, files.select("path"), ENDINGS).select(F.col("target").alias("path")).distinct()
+    trivial = (F.col("loc") < 10) | F.lower(basename(F.col("path"))).rlike(r"^(?:index|types?|constants?|config)\.[jt]sx?$") | ~F.col("language").isin(*JS, *PY)
+    risky = F.col("path").rlike(HIGH_RISK)
+    exports = F.col("content").rlike(r"(?m)module\.exports|export\s+(?:default|const|function|class)|^def\s")
+    alone = sources.where(~trivial & exports & (risky | (F.col("loc") >= LINES_LEAST))).join(covered, "path", "left_anti").crossJoin(totals.where("_tests > 0"))
+    return rows.unionByName(_row(alone, "testing/untested-module", F.when(risky, "high").otherwise("low"), F.when(risky, 0.85).otherwise(0.7), F.concat(F.lit("untested-module:"), "path")))
+
+
+def vulnerabilities(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """A finding for each dependency of a manifest to which advisories apply; the built-in ones unless ``known`` is given."""
+    deps = manifests.dependencies(files)
+    met = manifests.vulnerable(deps, manifests.advisories(files.sparkSession) if known is None else known)
+    keys = ("ecosystem", "name", "version", "manifest_path", "line")
+    said = deps.groupBy(*keys).agg(F.min("version_spec").alias("_spec")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_spec")
+    rows = met.join(said, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    evidence = F.concat(F.lit('"'), "name", F.lit('": "'), F.coalesce("_spec", F.lit("")), F.lit('"'))
+    return _row(rows, "dependency/vulnerable-package", F.col("severity"), 0.95, F.concat(F.lit("vulnerable-package:"), "ecosystem", F.lit(":"), "name"), path="manifest_path", line="line", text=evidence)
+
+
 def all_findings(files: DataFrame) -> DataFrame:
-    """Findings of every detector, before duplicates are merged."""
+    """Findings of every detector of this module, before duplicates are merged; no-tests has a null path."""
     out = security(files).drop("additional").withColumn("scanner", F.lit("security"))
-    for name, rows in (("secrets", secrets(files).drop("additional")), ("cicd", workflows(files)), ("infrastructure", dockerfiles(files)), ("config", configuration(files))):
+    rest = {"secrets": secrets(files).drop("additional"), "cicd": workflows(files), "infrastructure": dockerfiles(files), "config": configuration(files)}
+    rest |= {"quality": quality(files), "testing": testing(files), "dependencies": vulnerabilities(files)}
+    for name, rows in rest.items():
         out = out.unionByName(rows.withColumn("scanner", F.lit(name)))
     return out
 

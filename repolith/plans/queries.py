@@ -294,7 +294,7 @@ def reachable_dependents(spark, d):
 def attack_paths(spark, d):
     e = _links(spark, d)
     nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
-    return G.paths(e, spark.createDataFrame([(4,), (5,)], "node long"), nodes.where((F.col("node") % 5 == 0) & ~F.col("node").isin(4, 5)))
+    return G.paths(e, spark.createDataFrame([(4,), (5,)], "node long"), nodes.where((F.col("node") % 5 == 0) & ~F.col("node").isin(4, 5)), hops=3)
 
 
 @query(f"WITH {_EDGES} SELECT dst AS node, count(DISTINCT src) AS dependents FROM e GROUP BY dst ORDER BY 2 DESC, 1 LIMIT 10")
@@ -336,7 +336,7 @@ def whole_attack_paths(spark, d):
     key = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string")).alias("node")
     starts = read(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(key("c", "c_custkey"))
     targets = read(spark, d, "nation").select(key("n", "n_nationkey")).unionByName(read(spark, d, "supplier").where("s_acctbal < 1000").select(key("s", "s_suppkey")))
-    return G.paths(_whole_links(spark, d), starts, targets, hops=4)
+    return G.paths(_whole_links(spark, d), starts, targets)
 
 
 @query(f"WITH {_WHOLE} SELECT dst AS node, count(DISTINCT src) AS dependents FROM e GROUP BY dst ORDER BY 2 DESC, 1 LIMIT 10")
