@@ -134,9 +134,19 @@ def _compare(parts: DataFrame, docs: DataFrame, reps: DataFrame, allowed: tuple[
     jobs = staged(jobs.join(reps, "node"), "jobs")
     texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     rows = reduced(texts, jobs.select("doc_id").distinct(), "doc_id").join(jobs, "doc_id").select("task", "side", "node", "comp", "text")
+    # a node that only rows of null id have is found by its text
+    nameless = texts.where(F.col("doc_id").isNull()).select("text").mapInArrow(_named, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
+    rows = rows.unionByName(nameless.join(jobs.where(F.col("doc_id").isNull()), "node").select("task", "side", "node", "comp", "text"))
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(_meet, "a long, b long")
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts beside their nodes, null for those without words."""
+    for batch in batches:
+        keys = [_set_key(s) if len(s) else None for _, raw, offs in text_slices(batch) for s in shingle_sets(raw, offs)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("text")], ["node", "text"])
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within each task's rows; they stand side by side, at most two blocks of them."""
     task, held = None, []
@@ -229,7 +239,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents link from a Jaccard similarity of PERCENT / 100 up; component_id is the
     least doc_id that a document reaches.  Texts without words link with nothing, as
     does a null text.  Rows of one doc_id are told apart by their texts; other
-    columns are not read.  An empty table gives an empty result.
+    columns are not read.  A row of null doc_id links as any other and has the least
+    doc_id that it reaches, null if there is none.  An empty table gives an empty result.
     """
     nodes, edges = links(docs)
     member = staged(components(edges, "a", "b"), "member")
@@ -239,6 +250,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that of the least doc_id (with all its rows)."""
+    """``docs`` with one document of each component: that of the least doc_id (with all its rows).
+
+    All rows of null doc_id stay: no other row can be told to stand for them.
+    """
     keep = near_duplicates(docs).where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
+    return docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
