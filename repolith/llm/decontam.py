@@ -2,7 +2,7 @@
 
 A seed mask looks at four words of a short stretch and ignores the rest, so a
 substituted word breaks few seeds.  Hashes of the benchmark's seeds, at every word,
-are joined with those of the documents, at every STRIDE-th word; each hit names a
+are joined with those of the documents, also at every word; each hit names a
 document, an item and how they are aligned, and the aligned words are compared.
 """
 
@@ -15,11 +15,10 @@ from repolith.llm.common import reduced, staged, text_of
 
 #: Places within a stretch that a seed looks at.
 MASKS = ((0, 1, 2, 3), (0, 1, 4, 6))
-STRIDE = 2
 #: A window of so many aligned words (or a whole shorter item) of which SHARE percent are equal is a leak.
 WINDOW, SHARE = 20, 80
-#: An item of fewer words is no evidence and is not looked for.
-LEAST_WORDS = 8
+#: An item of fewer words than EXACT_BELOW must be there word for word; one below LEAST_WORDS is no evidence and is not looked for.
+EXACT_BELOW, LEAST_WORDS = 8, 4
 #: Most seeds of a benchmark that are broadcast (24 bytes each); beyond it the join shuffles.
 BROADCAST_SEEDS = 1_000_000
 PUNCTUATION = ".,;:!?\"'()[]{}"
@@ -31,14 +30,14 @@ def words(text: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "[ \t-\r]+"))
 
 
-def _seeds(df: DataFrame, keep: list[str], stride: int) -> DataFrame:
+def _seeds(df: DataFrame, keep: list[str]) -> DataFrame:
     """A row (mask, hash, place) for each seed of the words ``_w``; places count from 0."""
     none = F.array().cast("array<struct<hash:bigint,place:int>>")
 
     def part(k: int, mask: tuple[int, ...]) -> Column:
         last = F.size("_w") - mask[-1]
         seed = lambda i: F.struct(F.xxhash64(F.lit(k), *[F.get("_w", i + o) for o in mask]).alias("hash"), i.alias("place"))
-        return F.when(last > 0, F.transform(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0)), F.lit(stride)), seed)).otherwise(none)
+        return F.when(last > 0, F.transform(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))), seed)).otherwise(none)
 
     parts = [part(k, mask) for k, mask in enumerate(MASKS)]
     return df.select(*keep, F.explode(F.concat(*parts)).alias("_s")).select(*keep, "_s.hash", "_s.place")
@@ -49,14 +48,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str
 
     Of several places the one with the most equal words in a window counts, then the
     earliest.  Null, empty and short texts leak nothing; other columns are not read.
+    Items of 4 to 7 words leak only where all their words stand; shorter ones are not looked for.
     A repeated key counts once, with its best row.  Empty tables give an empty result.
     """
     items = benchmark.select(F.col(item).alias("item_id"), words(F.col("text").cast("string")).alias("_w")).where(F.size("_w") >= LEAST_WORDS)
     items = staged(items.groupBy("_w").agg(F.collect_set("item_id").alias("ids")).withColumn("item", F.xxhash64("_w")), "items")
-    seeds = staged(_seeds(items, ["item"], 1).select("item", "hash", F.col("place").alias("item_place")).distinct(), "seeds")
+    seeds = staged(_seeds(items, ["item"]).select("item", "hash", F.col("place").alias("item_place")).distinct(), "seeds")
     small = seeds.count() <= BROADCAST_SEEDS
     own = docs.select(F.col(key).cast("long").alias("doc_id"), text_of().alias("text"))
-    found = _seeds(own.select("doc_id", words(F.col("text")).alias("_w")), ["doc_id"], STRIDE)
+    found = _seeds(own.select("doc_id", words(F.col("text")).alias("_w")), ["doc_id"])
     hits = found.join(F.broadcast(seeds) if small else seeds, "hash")
     hits = hits.select("doc_id", "item", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
     hits = staged(hits, "hits")
@@ -69,7 +69,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str
     equal = F.transform(F.sequence(first, last), lambda i: F.when(F.get("_w", i) == F.get("_d", i + F.col("shift")), 1).otherwise(0))
     both = both.withColumn("_e", F.when(last >= first, equal)).withColumn("_n", F.least(F.lit(WINDOW), F.size("_w")))
     sums = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_e") - F.col("_n") + 1, F.lit(1))), lambda s: F.aggregate(F.slice("_e", s, F.col("_n")), F.lit(0), lambda a, x: a + x))
-    both = both.withColumn("best_window", F.when(F.size("_e") >= F.col("_n"), F.array_max(sums)).otherwise(0)).where(100 * F.col("best_window") >= SHARE * F.col("_n"))
+    both = both.withColumn("best_window", F.when(F.size("_e") >= F.col("_n"), F.array_max(sums)).otherwise(0)).where(100 * F.col("best_window") >= F.when(F.col("_n") < EXACT_BELOW, 100).otherwise(SHARE) * F.col("_n"))
     rows = both.select("doc_id", F.explode("ids").alias("item_id"), F.col("shift").alias("first_word"), F.size("_w").alias("n_item_words"), F.aggregate("_e", F.lit(0), lambda a, x: a + x).alias("n_matched"), "best_window")
     best = F.max_by(F.struct("first_word", "n_item_words", "n_matched", "best_window"), F.struct("best_window", "n_matched", -F.col("first_word"))).alias("b")
     return rows.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
