@@ -44,7 +44,6 @@ def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     t.no_truncation()
     t.no_padding()
     return t
@@ -55,10 +54,12 @@ class Encoder:
 
     The vocabulary's splitting never joins a word to the white space behind it, so a
     unit has the same ids alone as within its text; equal units are encoded once.
+    A row with an added token of the file in it is encoded whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.known = tokenizer(path), {}
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ids, self.begins, self.sizes, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
@@ -76,8 +77,34 @@ class Encoder:
         self.used += total
         self.known.update(zip(hashes.tolist(), range(k, k + n), strict=True))
 
+    def _with_added(self, data: bytes, offs: np.ndarray) -> list[int]:
+        """Rows that hold an added token."""
+        out = set()
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                k = int(np.searchsorted(offs, at, side="right")) - 1
+                if at + len(token) <= offs[k + 1]:
+                    out.add(k)
+                    at = data.find(token, int(offs[k + 1]))
+                else:
+                    at = data.find(token, at + 1)
+        return sorted(out)
+
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, how many each row has), without end ids."""
+        data = raw.tobytes()
+        whole = self._with_added(data, offs)
+        ids, sizes = self._by_units(raw, offs)
+        if not whole:
+            return ids, sizes
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
+        for k in whole:
+            parts[k] = np.array(self.tokenizer.encode(data[offs[k] : offs[k + 1]].decode(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def _by_units(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` of rows without added tokens."""
         hashes, starts, rows = hashing.units(raw, offs)
         if not len(hashes):
             return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
