@@ -108,20 +108,14 @@ def family(lang: str) -> str:
     return FAMILIES.get(lang, lang)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` rows a language; rows with null text or language or without letters don't count.
-
-    The sample is the rows of least hashed key, picked by a bounded aggregate, so a
-    frequent language costs no more than a rare one.  An empty table gives a model that knows no language.
-    """
+def sampled(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
+    """(lang, h, v): hashed key and vector of at most ``sample`` rows of each language, as ``fit`` takes them."""
     rows = docs.select(F.col(lang).cast("string").alias("lang"), text_of(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     least = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("n"))
-    bounds = {r["lang"]: float(r["p"]) for r in least.select("lang", share.alias("p")).orderBy("lang").limit(1000).collect()}
-    if not bounds:
-        return Model([], [], np.zeros((0, DIMS + 1)), np.zeros(0))
-    limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(p)) for k, p in bounds.items()], F.lit(0.0))
-    near = rows.where((F.col("h").cast("double") / float(2**63) + 1) / 2 <= limit)
+    # a row a language, whatever their number
+    shares = F.broadcast(least.select("lang", share.alias("p")))
+    near = rows.join(shares, "lang").where((F.col("h").cast("double") / float(2**63) + 1) / 2 <= F.col("p")).select("lang", "text", "h")
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The rows of least hash in this task, as feature vectors."""
@@ -136,7 +130,19 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     # at most sample rows a language and task reach the ranking below, as vectors of a fixed size
     ranked = near.mapInPandas(take, "lang string, h long, v binary").selectExpr("*", "row_number() over (partition by lang order by h, v) as k")
-    got = ranked.where(F.col("k") <= sample).orderBy("lang", "h", "v").collect()
+    return ranked.where(F.col("k") <= sample).drop("k")
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
+    """Fit on at most ``sample`` rows a language; rows with null text or language or without letters don't count.
+
+    The sample is the rows of least hashed key, picked by a bounded aggregate, so a
+    frequent language costs no more than a rare one.  All languages count, so the driver's
+    work grows with the square of their number.  An empty table gives a model that knows no language.
+    """
+    got = sampled(docs, text, lang, key, sample).orderBy("lang", "h", "v").collect()
+    if not got:
+        return Model([], [], np.zeros((0, DIMS + 1)), np.zeros(0))
     x = np.stack([np.frombuffer(r["v"], np.float16) for r in got]).astype(np.float32)
     y = np.array([r["lang"] for r in got])
     langs = sorted(set(y))
