@@ -23,11 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where that setting is missing (tests on one machine) a local folder is set.
+    Where that setting is missing a local folder is set, on one machine only: executors
+    elsewhere would write to their own disks.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="repolith-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
@@ -39,7 +42,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*staged_tables: DataFrame) -> None:
+    """Delete the files of tables that ``staged`` gave, once all that reads them is itself staged."""
+    for df in staged_tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with so many underscores before it that no frame has such a column."""
+    held = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.llm.common import staged
+from repolith.llm.common import discard, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,6 +36,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if (r["n"], r["x"], r["s"]) == seen or not r["n"]:
             break
         seen = (r["n"], r["x"], r["s"])
-        now = staged(_star(staged(_star(now, True), "edges"), False), "edges")
+        half = staged(_star(now, True), "edges")
+        old, now = now, staged(_star(half, False), "edges")
+        discard(old, half)
     top = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(top)

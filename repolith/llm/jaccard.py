@@ -1,7 +1,8 @@
 """Set-similarity join over word shingles with a token-group matrix.
 
-Documents with the same set are one node.  Nodes with the same rarest shared token
-form a group; the matrix holds each group's token union.  A query's overlap with a
+Documents with the same set are one node.  Nodes that share too few tokens with all
+others to link at all are taken out; nodes with the same most frequent token form a
+group; the matrix holds each group's token union.  A query's overlap with a
 union bounds its overlap with every member, so only groups that pass the bound are
 opened, and what is found there is verified on the whole texts, block by block.
 Members that link to their group's pivot need no comparison with each other.
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.llm import hashing
-from repolith.llm.common import reduced, staged, text_of, text_slices
+from repolith.llm.common import discard, fresh, reduced, staged, text_of, text_slices
 from repolith.llm.components import components
 
 WIDTH, PERCENT = 5, 80
@@ -30,6 +31,8 @@ WIDTH, PERCENT = 5, 80
 BUCKET_BITS = 18
 #: Tokens of a group's nodes that one task compares with as many others at once; 2 MB of hashes.
 BLOCK = 1 << 18
+#: Times that nodes which cannot link are taken out before groups are formed.
+ROUNDS = 2
 #: Pairs of classes of a group's nodes to compare: members linked to the pivot (R) or not
 #: (U), queries from other groups that reach the pivot (E) or not (F).
 OPEN = ("UU", "UR", "RU", "FR", "RF", "FU", "UF", "EU", "UE")
@@ -94,7 +97,7 @@ def need(n: str) -> Column:
 
 
 def prefix_tokens(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(token, node, n, rank, hot): each node's prefix; copies within a batch give it once."""
+    """(token, node, n, hot): each node's prefix; copies within a batch give it once."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,18 +112,35 @@ def prefix_tokens(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                     seen.add(key)
                     order = np.argsort(held.value[_bucket(s)], kind="stable")
                     p = min(n, n - (PERCENT * n + 99) // 100 + 1 + n // 20)
-                    parts.append((s[order[:p]], np.full(p, key), np.full(p, n), np.arange(p), held.value[_bucket(s[order[:p]])] > 0))
+                    parts.append((s[order[:p]], np.full(p, key), np.full(p, n), held.value[_bucket(s[order[:p]])] > 0))
                 if parts:
-                    token, node, size, rank, hot = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node.astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(hot)], ["token", "node", "n", "rank", "hot"])
+                    token, node, size, hot = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node.astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(hot)], ["token", "node", "n", "hot"])
 
-    return docs.select(text_of().alias("text")).mapInArrow(step, "token long, node long, n int, rank int, hot boolean")
+    return docs.select(text_of().alias("text")).mapInArrow(step, "token long, node long, n int, hot boolean")
+
+
+def _linkable(rows: DataFrame) -> DataFrame:
+    """(token, node, n): distinct rows of the nodes that still share ``need`` prefix tokens with others.
+
+    A node with fewer can link with nothing, and without it others may share less, so
+    this is done ROUNDS times; each round is an exact filter.
+    """
+    rows = staged(rows.select("token", "node", "n").distinct(), "shared")
+    for _ in range(ROUNDS):
+        able = rows.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= need("n")).select("node")
+        left = rows.join(able, "node", "left_semi")
+        shared = left.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
+        old, rows = rows, staged(left.join(shared, "token", "left_semi"), "shared")
+        discard(old)
+    return rows
 
 
 def _compare(parts: DataFrame, docs: DataFrame, reps: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
-    """Linked pairs (a, b) between blocks of a group whose classes are in ``allowed``.
+    """Links (a, b) between blocks of a group whose classes are in ``allowed``.
 
-    parts: (g, cls, node, comp, n); pairs of the same comp are skipped.  A class of
+    parts: (g, cls, node, comp, n); pairs of the same comp, and of nodes that a task
+    has joined already, are skipped.  A class of
     more than BLOCK tokens is split, so a task holds two blocks at a time, and a
     text goes to as many tasks as its class has blocks.
     """
@@ -165,6 +185,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(rows: list[tuple]) -> pa.RecordBatch:
+    """Links that join what the task's rows join: no more than there are components among them."""
     rows = list({(r[0], r[1]): r for r in rows}.values())
     asked, given = [r for r in rows if r[1] != 1], [r for r in rows if r[1] != 0]
     a, b = [], []
@@ -173,13 +194,21 @@ def _linked(rows: list[tuple]) -> pa.RecordBatch:
         tokens, owner = np.concatenate([r[3] for r in given]), np.repeat(np.arange(len(given)), sizes)
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
-        comps, nodes = np.array([r[2] for r in given]), np.array([r[0] for r in given])
-        for node, side, comp, s in asked:
+        nodes = np.array([r[0] for r in given])
+        label = np.unique([r[2] for r in asked + given], return_inverse=True)[1]
+        theirs = label[len(asked) :]
+        for k, (node, side, _, s) in enumerate(asked):
+            if (theirs == label[k]).all():
+                continue
             lo, hi = np.searchsorted(tokens, s, side="left"), np.searchsorted(tokens, s, side="right")
             both = np.bincount(hashing.gather(owner, lo, hi - lo), minlength=len(given))
-            ok = (100 * both >= PERCENT * (len(s) + sizes - both)) & (comps != comp) & ((nodes > node) | (side != 2))
-            a += [node] * int(ok.sum())
-            b += nodes[ok].tolist()
+            ok = (100 * both >= PERCENT * (len(s) + sizes - both)) & (theirs != label[k]) & ((nodes > node) | (side != 2))
+            hit = np.flatnonzero(ok)
+            if len(hit):
+                joined, first = np.unique(theirs[hit], return_index=True)
+                a += [node] * len(first)
+                b += nodes[hit[first]].tolist()
+                label[np.isin(label, joined)] = label[k]
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
@@ -198,10 +227,12 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     side = Window.partitionBy("token")
     rare = rare.withColumn("lo", F.min("node").over(side)).withColumn("hi", F.max("node").over(side)).where("lo < hi").drop("lo", "hi")
     several = hot.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
-    rows = staged(rare.unionByName(hot.join(several, "token")).drop("hot"), "shared")
+    rows = _linkable(rare.unionByName(hot.join(several, "token")).drop("hot"))
+    discard(tokens)
 
-    # a node's group is its first shared token, the group's pivot the node of least hash
-    own = rows.groupBy("node").agg(F.min_by("token", "rank").alias("g"), F.first("n").alias("n"))
+    # a node's group is its most frequent token, so near copies come to few groups; the pivot is the node of least hash
+    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+    own = rows.join(often, "token").groupBy("node").agg(F.max_by("token", F.struct("often", "token")).alias("g"), F.first("n").alias("n"))
     pivots = own.groupBy("g").agg(F.min_by("node", F.xxhash64("node")).alias("pivot"))
     own = staged(own.join(pivots, "g"), "groups")
     reps = staged(nodes.join(own.select("node"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "reps")
@@ -213,10 +244,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = staged(own, "members")
 
     # the matrix: each group's token union, with the sizes of its members
-    known = rows.select("token", "node", "n").join(own.select("node", "g", "comp"), "node")
+    known = rows.join(own.select("node", "g", "comp"), "node")
     # a token that only one component has leads nowhere new
     mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    known = staged(known.join(mixed, "token").distinct(), "rows")
+    known = staged(known.join(mixed, "token", "left_semi"), "rows")
     matrix = known.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     matrix = matrix.select("token", F.col("g").alias("to"), "least", "most", "lo", "hi")
     met = known.join(matrix, "token").where((F.col("to") < F.col("g")) & (100 * F.col("n") >= PERCENT * F.col("least")) & (100 * F.col("most") >= PERCENT * F.col("n")))
@@ -254,5 +285,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     All rows of null doc_id stay: no other row can be told to stand for them.
     """
-    keep = near_duplicates(docs).where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    name = fresh("_keep", docs)
+    keep = near_duplicates(docs).where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(keep, F.col("doc_id") == F.col(name), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
