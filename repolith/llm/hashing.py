@@ -1,7 +1,8 @@
 """64-bit hashes of words and of runs of words over a slice of texts, in numpy.
 
-Equal words have equal hashes in every task.  Two different words share one with
-a chance of about 2**-64 a pair, which the operators take as never.
+Equal words have equal hashes in every task.  A word's hash sums a scrambled value
+of each byte and its place, so no pattern of bytes cancels out; two different words
+share one with a chance of about 2**-64 a pair, which the operators take as never.
 """
 
 from __future__ import annotations
@@ -24,7 +25,16 @@ with np.errstate(over="ignore"):
     _BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
-_BYTE_FOLDED = _BYTE[_FOLD]
+#: Places whose values of all bytes are kept in a table (128 kB).
+_PLACES = 64
+
+
+def _value(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix(mix((place.astype(U) + U(1)) * U(0xA24BAED4963EE407)) ^ _BYTE[byte])
+
+
+_TABLE = _value(np.tile(np.arange(256), _PLACES), np.repeat(np.arange(_PLACES), 256))
+_TABLE_FOLDED = _TABLE.reshape(_PLACES, 256)[:, _FOLD].ravel()
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = U(0x2545F4914F6CDD1D)
@@ -41,6 +51,15 @@ def powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+def _values(raw: np.ndarray, place: np.ndarray, fold: bool) -> np.ndarray:
+    """A scrambled value of each byte and its place in the word."""
+    out = (_TABLE_FOLDED if fold else _TABLE)[(np.minimum(place, _PLACES - 1) << 8) | raw]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        out[far] = _value(_FOLD[raw[far]] if fold else raw[far], place[far])
+    return out
+
+
 def words(raw: np.ndarray, offs: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and, for each row, where its words begin (rows + 1 values).
 
@@ -60,7 +79,7 @@ def words(raw: np.ndarray, offs: np.ndarray, fold: bool = True) -> tuple[np.ndar
         return np.zeros(0, U), np.zeros(rows + 1, np.int64)
     at = np.repeat(starts, np.diff(np.append(starts, len(raw))))
     place = np.arange(starts[0], len(raw)) - at
-    value = (_BYTE_FOLDED if fold else _BYTE)[raw[starts[0] :]] * powers(int(place.max()) + 1)[place]
+    value = _values(raw[starts[0] :], place, fold)
     value[sep[starts[0] :]] = U(0)
     return mix(np.add.reduceat(value, starts - starts[0])), np.searchsorted(starts, offs)
 
@@ -79,26 +98,52 @@ def runs(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray
     return mix(out), begins
 
 
-def units(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unit_begins(raw: np.ndarray) -> np.ndarray:
+    begins = np.zeros(len(raw), bool)
+    sep = _SEP[raw]
+    solid = ~sep & (raw > 0x20) & (raw < 0x7F)
+    solid[1:] |= (raw[1:] >= 0x80) & (raw[:-1] == 0xC3)
+    begins[1:] = sep[1:] & solid[:-1]
+    return begins
+
+
+def cuts(raw: np.ndarray, limit: int, forced: bool = False) -> list[int]:
+    """Where a text falls into stretches of about ``limit`` bytes, its two ends included.
+
+    Cuts stand between units; forced: also every ``limit`` bytes within a longer unit.
+    They depend on the text alone, and memory on ``limit`` (and the longest unit).
+    """
+    out, at, width = [0], 0, limit
+    while len(raw) - at > width:
+        spots = np.flatnonzero(_unit_begins(raw[at : at + width + 1]))
+        if not len(spots) and not forced:
+            width *= 2
+            continue
+        at, width = at + (int(spots[-1]) if len(spots) else width), limit
+        out.append(at)
+    return [*out, len(raw)]
+
+
+def units(raw: np.ndarray, offs: np.ndarray, longest: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and first bytes of all units, and where each row's units begin.
 
     A unit is a run of white space and what follows up to the next one, so units
     side by side are the text.  No unit begins where the byte before might belong to
-    white space outside ASCII.
+    white space outside ASCII.  longest: a longer unit falls into units of so many bytes.
     """
     if not len(raw):
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    begins = np.zeros(len(raw), bool)
-    sep = _SEP[raw]
-    solid = ~sep & (raw > 0x20) & (raw < 0x7F)
-    solid[1:] |= (raw[1:] >= 0x80) & (raw[:-1] == 0xC3)
-    begins[1:] = sep[1:] & solid[:-1]
+    begins = _unit_begins(raw)
     begins[offs[:-1][offs[:-1] < len(raw)]] = True
     starts = np.flatnonzero(begins)
     sizes = np.diff(np.append(starts, len(raw)))
+    if longest and sizes.max() > longest:
+        for a, n in zip(starts[sizes > longest].tolist(), sizes[sizes > longest].tolist(), strict=True):
+            begins[a : a + n : longest] = True
+        starts = np.flatnonzero(begins)
+        sizes = np.diff(np.append(starts, len(raw)))
     place = np.arange(len(raw)) - np.repeat(starts, sizes)
-    value = _BYTE[raw] * powers(int(sizes.max()) + 1)[place]
-    return mix(np.add.reduceat(value, starts)), starts, np.searchsorted(starts, offs)
+    return mix(np.add.reduceat(_values(raw, place, False), starts)), starts, np.searchsorted(starts, offs)
 
 
 def gather(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:

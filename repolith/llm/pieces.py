@@ -8,6 +8,10 @@ then all occurrences are sampled backwards at once.  Random numbers are hashes o
 the row key, the unit's number in the row and the step: a row has the same pieces
 in any partitioning and after any retry.
 
+A unit longer than LONGEST is cut every LONGEST bytes, which no piece crosses, and a
+text longer than SLICE is taken stretch by stretch, cut between units.  So memory is
+bounded whatever the texts are, and where cuts fall depends on the text alone.
+
 A piece's bytes are its characters with U+2581 as a space; the 256 byte pieces cover
 what else a text may hold, U+2581 itself included.  So joining the bytes of the
 pieces gives the text back exactly.
@@ -31,7 +35,10 @@ BASE = U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U(pow(int(BASE), -1, 1 << 64))
 #: Log-probability of a byte piece before scaling, far below any other.
 BYTE_LOG = -25.0
-SLICE = 1 << 22
+#: Text bytes whose lattice is held at once; a longer text is taken in such stretches.
+SLICE = 1 << 20
+#: A word of more bytes is cut every so many bytes.
+LONGEST = 1 << 12
 
 
 class Pieces:
@@ -92,9 +99,8 @@ def _edges(p: Pieces, raw: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np
     up = np.cumprod(np.concatenate([[U(1)], np.full(n, BASE, U)]))
     down = np.cumprod(np.concatenate([[U(1)], np.full(n, _INVERSE, U)]))
     sums = np.concatenate([[U(0)], np.cumsum((raw.astype(U) + U(1)) * up[:-1])])
-    at = [np.arange(n)]
-    found = [(at[0], np.ones(n, np.int64), p.byte_ids[raw], np.full(n, p.byte_log))]
-    alive = at[0]
+    alive = np.arange(n, dtype=np.int32)
+    found = [(alive, np.ones(n, np.uint8), p.byte_ids[raw], np.full(n, p.byte_log))]
     for size in range(1, p.longest + 1):
         alive = alive[room[alive] >= size]
         if not len(alive):
@@ -106,7 +112,7 @@ def _edges(p: Pieces, raw: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np
         alive, k = alive[ok], k[ok]
         ids, logs = p.tables[size - 1]
         hit = ids[k] >= 0  # a head of longer pieces need not be a piece
-        found.append((alive[hit], np.full(int(hit.sum()), size), ids[k[hit]], logs[k[hit]]))
+        found.append((alive[hit], np.full(int(hit.sum()), size, np.uint8), ids[k[hit]], logs[k[hit]]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -118,12 +124,15 @@ class Lattice:
     """
 
     def __init__(self, p: Pieces, raw: np.ndarray, sizes: np.ndarray):
-        starts = np.cumsum(sizes) - sizes
-        unit = np.repeat(np.arange(len(sizes)), sizes)
-        local = np.arange(len(raw)) - starts[unit]
-        at, size, piece, log = _edges(p, raw, sizes[unit] - local)
-        source, target, column = at + unit[at], at + unit[at] + size, local[at] + size
-        order = np.argsort(column * (len(raw) + len(sizes)) + target, kind="stable")
+        sizes = sizes.astype(np.int32)
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        unit = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        local = np.arange(len(raw), dtype=np.int32) - starts[unit]
+        source, size, piece, log = _edges(p, raw, sizes[unit] - local)
+        column = local[source] + size
+        source += unit[source]
+        target = source + size
+        order = np.argsort(column.astype(np.int64) << 32 | target, kind="stable")
         source, target, column, piece, log = source[order], target[order], column[order], piece[order], log[order]
         alpha = np.zeros(len(raw) + len(sizes))
         bounds = np.searchsorted(column, np.arange(1, int(sizes.max()) + 2))
@@ -138,7 +147,7 @@ class Lattice:
         self.piece, self.source = piece[order], source
         self.cum = np.concatenate([[0.0], np.cumsum(np.exp(alpha[source] + log[order] - alpha[target]))])
         self.first = np.searchsorted(target, np.arange(len(alpha) + 1))
-        self.begin = starts + np.arange(len(sizes))
+        self.begin = starts + np.arange(len(sizes), dtype=np.int32)
         self.end = self.begin + sizes
 
     def sample(self, unit: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,20 +179,41 @@ class Lattice:
         return out, given
 
 
-def encode_slice(p: Pieces, raw: np.ndarray, offs: np.ndarray, row_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pieces, how many each row has) of the texts of a slice."""
-    hashes, starts, rows = hashing.units(raw, offs)
+def encode_slice(p: Pieces, raw: np.ndarray, offs: np.ndarray, row_keys: np.ndarray, before: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """(pieces, how many each row has, units) of the texts of a slice; before: units of the row in earlier slices."""
+    hashes, starts, rows = hashing.units(raw, offs, LONGEST)
     if not len(hashes):
-        return np.zeros(0, np.int32), np.zeros(len(offs) - 1, np.int64)
+        return np.zeros(0, np.int32), np.zeros(len(offs) - 1, np.int64), 0
     _, first, unit = np.unique(hashes, return_index=True, return_inverse=True)
     sizes = np.diff(np.append(starts, len(raw)))
     lattice = Lattice(p, hashing.gather(raw, starts[first], sizes[first]), sizes[first])
     per = np.diff(rows)
-    number = np.arange(len(unit)) - np.repeat(rows[:-1], per)
+    number = np.arange(before, before + len(unit)) - np.repeat(rows[:-1], per)
     keys = hashing.mix(np.repeat(row_keys, per) + hashing.mix(number.astype(U)))
     ids, counts = lattice.sample(unit, keys)
     ends = np.concatenate([[0], np.cumsum(counts)])
-    return ids, np.diff(ends[rows])
+    return ids, np.diff(ends[rows]), len(unit)
+
+
+def encode_texts(p: Pieces, texts: pa.Array, row_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, how many each row has) of a column of texts."""
+    ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for first, raw, offs in array_slices(texts, SLICE):
+        key = row_keys[first : first + len(offs) - 1]
+        if len(offs) > 2 or len(raw) <= SLICE:
+            x, n, _ = encode_slice(p, raw, offs, key)
+            ids.append(x)
+            counts.append(n)
+            continue
+        places, units = hashing.cuts(raw, SLICE, forced=True), 0
+        parts = []
+        for a, b in zip(places[:-1], places[1:], strict=True):
+            x, _, k = encode_slice(p, raw[a:b], np.array([0, b - a]), key, units)
+            parts.append(x)
+            units += k
+        ids += parts
+        counts.append(np.array([sum(len(x) for x in parts)]))
+    return np.concatenate(ids), np.concatenate(counts)
 
 
 def row_keys(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -203,12 +233,8 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc
         p = pieces(model_path, theta)
         for texts, keys in batches:
             k = row_keys(keys.to_numpy(zero_copy_only=False), seed)
-            ids, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-            for first, raw, offs in array_slices(texts, SLICE):
-                x, n = encode_slice(p, raw, offs, k[first : first + len(offs) - 1])
-                ids.append(x)
-                counts.append(n)
-            yield pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), pa.array(np.concatenate(ids)))
+            ids, counts = encode_texts(p, texts, k)
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
 
     return docs.withColumn(out, run(text_of(text), F.xxhash64(F.col(key).cast("string"))))
 

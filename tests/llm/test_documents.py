@@ -153,7 +153,7 @@ def test_piece_samples_follow_the_lattice():
     exact = {ids: math.exp(w) for ids, w in paths(0)}
     total = sum(exact.values())
     n = 20_000
-    ids, counts = pieces.encode_slice(p, np.tile(raw, n), np.arange(n + 1) * len(raw), pieces.row_keys(np.arange(n), 1))
+    ids, counts, _ = pieces.encode_slice(p, np.tile(raw, n), np.arange(n + 1) * len(raw), pieces.row_keys(np.arange(n), 1))
     ends = np.cumsum(counts)
     seen = Counter(tuple(ids[e - k : e].tolist()) for e, k in zip(ends, counts, strict=True))
     for path, w in exact.items():
