@@ -8,25 +8,29 @@ prediction is a pass over the rows with the small weight matrix broadcast.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.llm.common import text_of
+from repolith.llm.common import fresh, text_of
+from repolith.llm.hashing import gather
 
 #: At most so many labelled rows a language are used for fitting, those with the least hash of their id.
 SAMPLE = 600
 DIMS = 1 << 13
+#: What a sparse row has for each of its values: the bucket and the value.
+ENTRY = np.dtype([("at", "<u2"), ("value", "<f4")])
 EPOCHS = 12
+BIAS = 0.3
 UNKNOWN = "und"
 #: Public genealogy of languages; a language not listed is a family of its own.
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance", "pl": "slavic", "cs": "slavic", "ru": "slavic", "uk": "slavic"}
 
-_LETTERS = re.compile(r"[^\W\d_]")
+_LETTERS = regex.compile(r"\p{L}")
 _CLASS = np.zeros(256, np.uint32)
 _CLASS[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _CLASS[ord("A") : ord("Z") + 1] = np.arange(1, 27)
@@ -49,21 +53,51 @@ def features(text: str) -> np.ndarray:
     return v / max(float(np.linalg.norm(v)), 1e-9)
 
 
-def svm(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, lam: float = 1e-4, seed: int = 7) -> np.ndarray:
-    """Weights and bias of a linear SVM (hinge loss, averaged stochastic subgradient) for labels -1, 1."""
-    x = np.hstack([x, np.full((len(x), 1), 0.3, x.dtype)])
-    w, mean, t, rng = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0, np.random.default_rng(seed)
+def sparse(text: str) -> bytes:
+    """The entries of ``features`` other than 0."""
+    v = features(text)
+    out = np.empty(np.count_nonzero(v), ENTRY)
+    out["at"] = np.flatnonzero(v)
+    out["value"] = v[out["at"]]
+    return out.tobytes()
+
+
+class Rows:
+    """Sparse rows one after another; a few of them at a time are made dense."""
+
+    def __init__(self, rows: list[bytes]):
+        flat = np.frombuffer(b"".join(rows), ENTRY)
+        self.at, self.value = flat["at"].astype(np.int32), np.ascontiguousarray(flat["value"])
+        self.ends = np.cumsum([0, *(len(r) // ENTRY.itemsize for r in rows)])
+
+    def dense(self, part: np.ndarray) -> np.ndarray:
+        """Rows ``part`` with a last column for the bias."""
+        sizes = self.ends[part + 1] - self.ends[part]
+        out = np.zeros((len(part), DIMS + 1), np.float32)
+        out[np.repeat(np.arange(len(part)), sizes), gather(self.at, self.ends[part], sizes)] = gather(self.value, self.ends[part], sizes)
+        out[:, -1] = BIAS
+        return out
+
+
+def svm(x: Rows, on: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, lam: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights (the bias last) of a linear SVM for rows ``on`` with labels ``y`` of -1 or 1, and the median margin.
+
+    Hinge loss, averaged stochastic subgradient.
+    """
+    w, mean, t, rng = np.zeros(DIMS + 1), np.zeros(DIMS + 1), 0, np.random.default_rng(seed)
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // 32)):
             t += 1
-            bad = part[y[part] * (x[part] @ w) < 1]
+            rows = x.dense(on[part])
+            bad = y[part] * (rows @ w) < 1
             step = 1 / (lam * (t + 1000))
             w *= 1 - step * lam
-            if len(bad):
-                w += step * ((y[bad] * weight[bad]) @ x[bad]) / len(part)
+            if bad.any():
+                w += step * ((y[part] * weight[part])[bad] @ rows[bad]) / len(part)
             mean += (w - mean) / t if t > 1 else w
-    return mean
+    margins = [np.abs(x.dense(part) @ mean) for part in np.array_split(on, max(1, len(on) // 32))]
+    return mean, float(np.median(np.concatenate(margins)))
 
 
 class Model:
@@ -98,7 +132,7 @@ class Model:
         if not text or not self.langs or not _LETTERS.search(text):
             return UNKNOWN, 0.0
         v = features(text)
-        m = (self.weights[:, :-1] @ v + 0.3 * self.weights[:, -1]) * self.scales if len(self.pairs) else np.zeros(0)
+        m = (self.weights[:, :-1] @ v + BIAS * self.weights[:, -1]) * self.scales if len(self.pairs) else np.zeros(0)
         fam, p = self._vote(None, self.families, m)
         lang, q = self._vote(fam, sorted(x for x in self.langs if family(x) == fam), m)
         return lang, p * q
@@ -109,7 +143,7 @@ def family(lang: str) -> str:
 
 
 def sampled(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """(lang, h, v): hashed key and vector of at most ``sample`` rows of each language, as ``fit`` takes them."""
+    """(lang, h, v): hashed key and sparse vector of at most ``sample`` rows of each language, as ``fit`` takes them."""
     rows = docs.select(F.col(lang).cast("string").alias("lang"), text_of(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     least = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("n"))
@@ -122,13 +156,13 @@ def sampled(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
         kept: dict[str, list] = {}
         for b in batches:
             for r in b.itertuples(index=False):
-                kept.setdefault(r.lang, []).append((r.h, features(r.text).astype(np.float16).tobytes()))
+                kept.setdefault(r.lang, []).append((r.h, sparse(r.text)))
             for k, v in kept.items():
                 kept[k] = sorted(v)[:sample]
         for k, v in kept.items():
             yield pd.DataFrame({"lang": k, "h": [x[0] for x in v], "v": [x[1] for x in v]})
 
-    # at most sample rows a language and task reach the ranking below, as vectors of a fixed size
+    # at most sample rows a language and task reach the ranking below, as sparse vectors of at most DIMS entries
     ranked = near.mapInPandas(take, "lang string, h long, v binary").selectExpr("*", "row_number() over (partition by lang order by h, v) as k")
     return ranked.where(F.col("k") <= sample).drop("k")
 
@@ -136,14 +170,14 @@ def sampled(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` rows a language; rows with null text or language or without letters don't count.
 
-    The sample is the rows of least hashed key, picked by a bounded aggregate, so a
+    Rows travel and stay sparse; 32 at a time are made dense.  The sample is the rows of least hashed key, picked by a bounded aggregate, so a
     frequent language costs no more than a rare one.  All languages count, so the driver's
     work grows with the square of their number.  An empty table gives a model that knows no language.
     """
     got = sampled(docs, text, lang, key, sample).orderBy("lang", "h", "v").collect()
     if not got:
         return Model([], [], np.zeros((0, DIMS + 1)), np.zeros(0))
-    x = np.stack([np.frombuffer(r["v"], np.float16) for r in got]).astype(np.float32)
+    x = Rows([bytes(r["v"]) for r in got])
     y = np.array([r["lang"] for r in got])
     langs = sorted(set(y))
     fams = np.array([family(k) for k in y])
@@ -153,18 +187,19 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     weights, scales = [], []
     for level, a, b in pairs:
         names = fams if level is None else y
-        on = (names == a) | (names == b)
-        sign = np.where(names[on] == a, 1.0, -1.0)
-        w = svm(x[on], sign)
-        m = np.abs(x[on] @ w[:-1] + 0.3 * w[-1])
-        weights.append(w)
-        scales.append(6.0 / max(1e-6, float(np.median(m))))
+        on = np.flatnonzero((names == a) | (names == b))
+        w, margin = svm(x, on, np.where(names[on] == a, 1.0, -1.0))
+        weights.append(w.astype(np.float32))
+        scales.append(6.0 / max(1e-6, margin))
     return Model(langs, pairs, np.array(weights).reshape(len(pairs), DIMS + 1).astype(np.float32), np.array(scales))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1), from the text alone; all rows stay.
 
+    Null and empty texts and those without a letter (Unicode class L) are UNKNOWN with score 0.
+    Columns named ``lang_pred`` or ``score`` are replaced, all others stay; an empty table stays empty.
+
     The model (a few hundred kB, set by the number of languages) is broadcast.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -174,5 +209,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([held.value.predict(x) for x in texts], columns=["lang", "score"])
 
-    out = docs.withColumn("_guess", guess(F.col(text).cast("string")))
-    return out.withColumn("lang_pred", F.col("_guess.lang")).withColumn("score", F.col("_guess.score")).drop("_guess")
+    name = fresh("_guess", docs)
+    out = docs.withColumn(name, guess(F.col(text).cast("string")))
+    return out.withColumn("lang_pred", F.col(f"{name}.lang")).withColumn("score", F.col(f"{name}.score")).drop(name)
