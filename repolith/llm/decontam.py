@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repolith.llm.common import reduced, staged, text_of
+from repolith.llm.common import fresh, reduced, staged, text_of
 
 #: Places within a stretch that a seed looks at.
 MASKS = ((0, 1, 2, 3), (0, 1, 4, 6))
@@ -76,6 +76,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that leak an item of the benchmark."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    """``docs`` without the documents that leak an item of the benchmark.
+
+    All rows of a leaking doc_id go; rows of null doc_id, and null, empty and short texts, stay.
+    """
+    name = fresh("_bad", docs)
+    bad = leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id") == F.col(name), "left_anti")
