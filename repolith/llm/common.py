@@ -109,11 +109,10 @@ def stopped_batches(spark: SparkSession, rows: int = 2000) -> None:
 FILTER_BITS = 1 << 23
 
 
-def reduced(df: DataFrame, ids: DataFrame, key: str, bits: int = FILTER_BITS, rest: bool = False) -> DataFrame:
-    """The rows of ``df`` whose ``key`` may be in ``ids``: a superset of the semi-join.  rest: all other rows.
+def maybe_in(df: DataFrame, ids: DataFrame, key: str, out: str, bits: int = FILTER_BITS) -> DataFrame:
+    """``df`` with a column ``out``: false only where ``key`` is not in ``ids``.
 
-    ``ids`` becomes a bitmap of a fixed number of hash bits (1 MB), which is
-    broadcast.  An exact join is to follow; this only spares it most of the rows.
+    ``ids`` becomes a bitmap of a fixed number of hash bits (1 MB), which is broadcast.
     """
     place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits)) + 1
     maps = ids.select(place(key).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("_bits"))
@@ -121,4 +120,12 @@ def reduced(df: DataFrame, ids: DataFrame, key: str, bits: int = FILTER_BITS, re
     d = d.join(F.broadcast(maps), "_bucket", "left")
     byte = F.conv(F.hex(F.substring("_bits", F.expr("cast(bitmap_bit_position(_p) div 8 as int)") + 1, F.lit(1))), 16, 10).cast("bigint")
     hit = F.coalesce(F.getbit(byte, F.expr("cast(bitmap_bit_position(_p) % 8 as int)")).cast("int"), F.lit(0))
-    return d.where(hit == (0 if rest else 1)).select(*df.columns)
+    return d.select(*df.columns, (hit == 1).alias(out))
+
+
+def reduced(df: DataFrame, ids: DataFrame, key: str, bits: int = FILTER_BITS, rest: bool = False) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be in ``ids``: a superset of the semi-join.  rest: all other rows.
+
+    An exact join is to follow; this only spares it most of the rows.
+    """
+    return maybe_in(df, ids, key, "_in", bits).where("not _in" if rest else "_in").drop("_in")

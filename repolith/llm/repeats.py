@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolith.llm import hashing
-from repolith.llm.common import reduced, staged, text_of, text_slices
+from repolith.llm.common import maybe_in, reduced, staged, text_of, text_slices
 
 LENGTH, GRAM = 50, 18
 #: Places of a GRAM-byte stretch in a string.
@@ -78,8 +78,8 @@ def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return r, first - offs[r], count, m - offs[r], h[m], whole
 
 
-#: Arrays of a packed row: four hash bytes, six of the stretch's, document (as differences), place, back and count.
-_KINDS = (("h", np.uint32), ("s", np.uint32), ("t", np.uint16), ("doc", np.int64), ("m", np.int32), ("back", np.int8), ("n", np.int8))
+#: Arrays of a packed row: four hash bytes, six of the stretch's, document (as differences), row (0 but for repeated ids), place, back and count.
+_KINDS = (("h", np.uint32), ("s", np.uint32), ("t", np.uint16), ("doc", np.int64), ("row", np.int64), ("m", np.int32), ("back", np.int8), ("n", np.int8))
 
 
 def _spread(docs: DataFrame, shards: int) -> DataFrame:
@@ -88,17 +88,17 @@ def _spread(docs: DataFrame, shards: int) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids, own = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
             parts = []
             for at, raw, offs in text_slices(batch):
                 r, start, count, m, h, whole = anchors(raw, offs)
-                parts.append((h, whole, ids[at + r], m, m - start, count))
-            h, whole, doc, m, back, count = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, U)] * 6
+                parts.append((h, whole, ids[at + r], own[at + r], m, m - start, count))
+            h, whole, doc, row, m, back, count = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, U)] * 7
             if len(h):
                 shard = (h >> U(40)).astype(np.int64) % shards
                 order = np.argsort(shard, kind="stable")
                 bounds = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0, [True]]))
-                x = {"h": h, "s": whole, "t": whole >> U(32), "doc": doc, "m": m, "back": back, "n": count}
+                x = {"h": h, "s": whole, "t": whole >> U(32), "doc": doc, "row": row, "m": m, "back": back, "n": count}
                 cols = [x[k][order].astype(t) for k, t in _KINDS]
                 rows = []
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -110,7 +110,7 @@ def _spread(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """(doc_id, m, back, n, whole) of anchors whose hash occurs in several documents.
+    """(doc_id, row, m, back, n, whole) of anchors whose hash occurs in several documents.
 
     whole: a document of smaller doc_id has the same stretch.  Of the others only
     those stay whose anchor has several stretches.
@@ -136,7 +136,7 @@ def _met(rows: DataFrame) -> DataFrame:
         whole = doc > spread(np.minimum.reduceat(doc, second), second)
         on = np.flatnonzero(whole | several)
         at = order[on]
-        return pa.RecordBatch.from_arrays([pa.array(doc[on]), *(pa.array(x[k][at].astype(np.int32)) for k in ("m", "back", "n")), pa.array(whole[on])], ["doc_id", "m", "back", "n", "whole"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[on]), pa.array(x["row"][at]), *(pa.array(x[k][at].astype(np.int32)) for k in ("m", "back", "n")), pa.array(whole[on])], ["doc_id", "row", "m", "back", "n", "whole"])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
@@ -150,11 +150,11 @@ def _met(rows: DataFrame) -> DataFrame:
         if held:
             yield done(held)
 
-    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(step, "doc_id long, m int, back int, n int, whole boolean")
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(step, "doc_id long, row long, m int, back int, n int, whole boolean")
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
-    """(h, doc_id, m, back, n, string): the text around each anchor, from its first string to the end of its last."""
+    """(h, doc_id, row, m, back, n, string): the text around each anchor, from its first string to the end of its last."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,18 +167,16 @@ def _contexts(rows: DataFrame) -> DataFrame:
                 rows = len(offs) - 1
                 a, b = begin[at] - at0, begin[at + rows] - at0
                 owner = np.repeat(np.arange(rows), np.diff(begin[at : at + rows + 1]))
-                # a row of the same doc_id with another text has none of these anchors
-                fits = offs[owner] + m[a:b] - back[a:b] + n[a:b] + LENGTH - 1 <= offs[owner + 1]
-                k = np.arange(a, b)[fits]
-                place = offs[owner[fits]] + m[k]
+                k = np.arange(a, b)
+                place = offs[owner] + m[k]
                 size = n[k] + LENGTH - 1
                 data = hashing.gather(raw, place - back[k], size)
                 h = grams(*sums_of(raw))[place] if len(place) else np.zeros(0, U)
                 strings = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-                ids = batch.column("doc_id").take(pa.array(at + owner[fits]))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, *(pa.array(x[k].astype(np.int32)) for x in (m, back, n)), strings], ["h", "doc_id", "m", "back", "n", "string"])
+                ids = [batch.column(c).take(pa.array(at + owner)) for c in ("doc_id", "row")]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *ids, *(pa.array(x[k].astype(np.int32)) for x in (m, back, n)), strings], ["h", "doc_id", "row", "m", "back", "n", "string"])
 
-    return rows.mapInArrow(step, "h long, doc_id long, m int, back int, n int, string binary")
+    return rows.mapInArrow(step, "h long, doc_id long, row long, m int, back int, n int, string binary")
 
 
 class Minima:
@@ -237,17 +235,17 @@ def sort_columns(strings: np.ndarray, begins: np.ndarray, sizes: np.ndarray, bac
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
-    """(doc_id, start, bits) of strings with repeats; all strings of an anchor are in one collection."""
+    """(doc_id, row, start, bits) of strings with repeats; all strings of an anchor are in one collection."""
 
     def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         col = t.column("string").cast(pa.large_binary())
         begins = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
         raw = np.frombuffer(col.buffers()[2], np.uint8)
-        doc, m, back, n = (t.column(k).to_numpy() for k in ("doc_id", "m", "back", "n"))
+        doc, row, m, back, n = (t.column(k).to_numpy() for k in ("doc_id", "row", "m", "back", "n"))
         flags = sort_columns(raw, begins[:-1], np.diff(begins), back.astype(np.int64), n.astype(np.int64), doc)
         on = np.flatnonzero(flags)
-        return pa.RecordBatch.from_arrays([pa.array(doc[on]), pa.array((m - back)[on]), pa.array(flags[on])], ["doc_id", "start", "bits"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[on]), pa.array(row[on]), pa.array((m - back)[on]), pa.array(flags[on])], ["doc_id", "row", "start", "bits"])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, last = [], 0, None
@@ -267,7 +265,7 @@ def _sorted(rows: DataFrame) -> DataFrame:
         if held:
             yield done(held)
 
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(step, "doc_id long, start int, bits long")
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(step, "doc_id long, row long, start int, bits long")
 
 
 def _covered(size: int, starts: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -289,16 +287,19 @@ def remove(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
+    # rows of one doc_id are told apart by a hash of their texts
+    repeated = staged(own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "repeated")
+    own = maybe_in(own, repeated, "doc_id", "_several").select("doc_id", "text", F.when(F.col("_several"), F.xxhash64("text")).otherwise(0).alias("row"))
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = staged(_met(_spread(own.where("doc_id is not null"), shards)), "anchors")
     ask = found.where("not whole")
-    lists = ask.groupBy("doc_id").agg(F.collect_list(F.struct("m", "back", "n")).alias("found"))
-    strings = _contexts(reduced(own, ask.select("doc_id"), "doc_id").join(lists, "doc_id").select("doc_id", "text", "found"))
-    every = found.where("whole").select("doc_id", (F.col("m") - F.col("back")).alias("start"), (F.expr("shiftleft(1L, n)") - 1).alias("bits"))
+    lists = ask.groupBy("doc_id", "row").agg(F.collect_list(F.struct("m", "back", "n")).alias("found"))
+    strings = _contexts(reduced(own, ask.select("doc_id"), "doc_id").join(lists, ["doc_id", "row"]).select("doc_id", "row", "text", "found"))
+    every = found.where("whole").select("doc_id", "row", (F.col("m") - F.col("back")).alias("start"), (F.expr("shiftleft(1L, n)") - 1).alias("bits"))
     bits = staged(_sorted(strings), "repeats").unionByName(every)
-    lists = bits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "bits")).alias("found"))
-    hit = reduced(own, bits.select("doc_id"), "doc_id").join(lists, "doc_id", "left")
-    rest = reduced(own, bits.select("doc_id"), "doc_id", rest=True).withColumn("found", F.lit(None).cast(hit.schema["found"].dataType))
+    lists = bits.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "bits")).alias("found"))
+    hit = reduced(own, bits.select("doc_id"), "doc_id").join(lists, ["doc_id", "row"], "left").drop("row")
+    rest = reduced(own, bits.select("doc_id"), "doc_id", rest=True).drop("row").withColumn("found", F.lit(None).cast(hit.schema["found"].dataType))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
