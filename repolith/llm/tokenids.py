@@ -95,7 +95,13 @@ class Encoder:
         """(ids of all rows, how many each row has), without end ids."""
         data = raw.tobytes()
         whole = self._with_added(data, offs)
-        ids, sizes = self._by_units(raw, offs)
+        if len(offs) == 2:  # a long text goes stretch by stretch
+            places = hashing.cuts(raw, SLICE)
+            parts = [self._by_units(raw[a:b], np.array([0, b - a]))[0] for a, b in zip(places[:-1], places[1:], strict=True)]
+            ids = np.concatenate(parts)
+            sizes = np.array([len(ids)])
+        else:
+            ids, sizes = self._by_units(raw, offs)
         if not whole:
             return ids, sizes
         parts = np.split(ids, np.cumsum(sizes)[:-1])
