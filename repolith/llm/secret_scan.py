@@ -64,9 +64,11 @@ def candidates(text: str | None) -> list[tuple[int, int, str, list[float]]]:
     if not text:
         return []
     spans = {m.span(1): "assigned" for m in _ASSIGNED.finditer(text)}
-    taken = sorted(spans)
+    taken, k = sorted(spans), 0
     for m in _BARE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in taken):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if k == len(taken) or taken[k][0] >= m.end():
             spans[m.span()] = "bare"
     return [(a, b, rule, features(text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR], rule == "assigned")) for (a, b), rule in sorted(spans.items())]
 
