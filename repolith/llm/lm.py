@@ -162,8 +162,8 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", broadcast_byte
     total = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"])
 
-    # exact counts of the most frequent words, as many as FREQUENT holds
-    steps = words.groupBy(F.floor(8 * F.log2("c")).alias("s")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("s")).limit(1000).collect()
+    # exact counts of the most frequent words, as many as FREQUENT holds; a step for each eighth of a power of two
+    steps = words.groupBy(F.floor(8 * F.log2("c")).alias("s")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("s")).collect()
     least, room = float("inf"), FREQUENT
     for r in steps:
         room -= r["k"]
