@@ -76,6 +76,69 @@ def redact_evidence(evidence: Column, secret: Column) -> Column:
     return F.when(F.length(secret) >= 4, F.replace(evidence, secret, mask_secret(secret))).otherwise(evidence)
 
 
+# What marks a credential (its value is group 1), and values that are none.
+CREDENTIALS = (
+    r"\b((?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16})\b",
+    r"\b((?:ghp|gho|ghu|ghs|ghr|github_pat)_[A-Za-z0-9_]{16,})\b",
+    r"\b(xox[abposr]-[A-Za-z0-9-]{10,})\b",
+    r"\b((?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{10,})\b",
+    r"\b(AIza[0-9A-Za-z_-]{35})\b",
+    r"\b(sk-(?:proj-)?[A-Za-z0-9_-]{20,})\b",
+    r"\b(SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,})\b",
+    r"\b(npm_[A-Za-z0-9]{30,})\b",
+    r"\b(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})\b",
+    r"(-----BEGIN[ A-Z]*PRIVATE KEY-----[\s\S]*?-----END[ A-Z]*PRIVATE KEY-----)",
+    r"(?i)(?:https?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s:/@]+:([^\s@/]{4,})@",
+    r"(?i)\b(?:password|passwd|pwd|secret|api[_-]?key|apikey|access[_-]?token|auth[_-]?token|client[_-]?secret|private[_-]?key|encryption[_-]?key|session[_-]?secret|webhook[_-]?secret|credential)s?\b\s*[:=]\s*[\"'`]?([^\s\"'`,;)}\]]{6,})[\"'`]?",
+)
+PLACEHOLDER = (
+    r"(?i)^(?:x{3,}|\*{3,}|\.{3,}|<[^>]*>?|\$\{[^}]*\}?|%[a-z_]+%|process\.env\.[a-z_0-9.\[\]'\"]+|null|none|undefined|true|false|changeme|change[_-]?me|example|examples?|sample|placeholder"
+    r"|redacted|dummy|test|testing|fake|foo|bar|baz|your[_-].*|my[_-]?secret|todo|tbd|abc123|123456\d*)$"
+)
+
+
+def _masked(pattern: str):
+    """A function of a text that masks what ``pattern`` finds in it."""
+    block = F.lit("-----BEGIN PRIVATE KEY-----\n[redacted]\n-----END PRIVATE KEY-----")
+    mask = (lambda v: block) if "BEGIN" in pattern else mask_secret
+
+    def one(text: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+        return F.aggregate(found, text, lambda a, v: F.when(F.trim(v).rlike(PLACEHOLDER), a).otherwise(F.replace(a, v, mask(v))))
+
+    return one
+
+
+def redact_secrets(text: Column) -> Column:
+    """``text`` with credentials masked, rule by rule; a value is masked wherever it stands.
+
+    Placeholders stay.  Of a private key's block nothing but its two end lines is kept.
+    """
+    for pattern in CREDENTIALS:
+        text = F.transform(F.array(text), _masked(pattern))[0]  # evaluated once, used twice
+    return text
+
+
+def neutralize_injection(text: Column) -> Column:
+    """Role markers, attempts to override instructions and prompt tags replaced by what they were."""
+    t = F.regexp_replace(text, r"(?im)^\s*(?:system|assistant|developer)\s*:", "[role-marker]:")
+    t = F.regexp_replace(t, r"(?i)\b(?:ignore|disregard|forget|override)\s+(?:all\s+|any\s+|the\s+)?(?:previous|prior|earlier|above|system)\s+(?:instructions?|prompts?|rules?|directions?)", "[instruction-override-attempt-removed]")
+    return F.regexp_replace(t, r"(?i)</?(?:system|instructions?|prompt)>", "[tag-removed]")
+
+
+def complexity_of(text: Column) -> Column:
+    """One more than the branch words of a file; an operator counts only between word characters."""
+    edge = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+    return 1 + F.regexp_count(text, F.lit(edge + r"(?:if|else\s+if|for|while|case|catch|elif|and|or|&&|\|\||\?\.|\?)" + edge + r"|\?\?"))
+
+
+def file_risk(complexity: Column, loc: Column, findings: Column, is_test: Column, covered: Column) -> Column:
+    """0 to 1 from branch density, findings and the lack of a test."""
+    density = F.least(F.lit(1.0), complexity / F.greatest(loc, F.lit(20)))
+    score = density * 0.35 + F.least(F.lit(1.0), findings / 5) * 0.4 + F.when(is_test | covered, 0.0).otherwise(0.25)
+    return F.floor(F.least(F.lit(1.0), score) * 100 + 0.5) / 100
+
+
 def size_allowance(loc: Column) -> Column:
     """1 to 3: larger code bases are allowed more findings."""
     return F.when(loc <= 0, 1.0).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(3.0), F.log10(F.greatest(loc, F.lit(100)) / 50))))
@@ -159,12 +222,15 @@ def median_rounded(col: str) -> Column:
 
 
 # Fixed value: words that don't count as keywords.
-STOPWORDS = "the and for with that this from are was were what when where which who how why does did can could should would about into have has had not you your our their its but all any".split()
+STOPWORDS = (
+    "the a an is are was were do does did how what why where when which who this that these those and or but for with from into about in on at to of it its "
+    "my our we i you can could should would there here any all not have has had been being code codebase repo repository project app application"
+).split()
 
 
 def keywords(col: Column, most: int = 12) -> Column:
-    """The first ``most`` distinct words of three or more letters, digits or underscores."""
-    words = F.split(F.lower(col), r"[^a-z0-9_]+")
+    """The first ``most`` distinct words of three or more characters (letters, digits and ``_ / . -``)."""
+    words = F.split(F.regexp_replace(F.lower(col), r"[^a-z0-9_/.\-\s]", " "), r"\s+")
     kept = F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*STOPWORDS))
     return F.slice(F.array_distinct(kept), 1, most)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from repolith.functions import scalars as S
 from repolith.functions.scalars import SEVERITIES, severity_at, severity_rank
 
 
@@ -54,21 +55,35 @@ def first_seen(history: DataFrame) -> DataFrame:
     return history.groupBy("fingerprint").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("sightings"))
 
 
-# Areas that findings are grouped by, first match wins.
-TRIAGE = (("secret", "secrets"), ("injection|xss|eval", "injection"), ("jwt|auth|timing", "authentication"), ("hash|random|tls", "cryptography"), ("docker|cicd|config", "infrastructure"), ("package|depend", "dependencies"))
+# Areas that findings are grouped by, first match wins: name, title, pattern, columns it reads.
+AREAS = (
+    ("auth", "Authentication and authorization", r"(?i)auth|session|login|permission|csrf", ("path", "rule_id", "title")),
+    ("secrets", "Committed credentials", "^secrets$", ("category",)),
+    ("injection", "Injection and unsafe execution", r"(?i)inject|eval|exec|command|sql|xss", ("rule_id", "title")),
+    ("dependencies", "Dependency risk", "^dependencies$", ("category",)),
+    ("tests", "Testing gaps", "^testing$", ("category",)),
+)
+INFRASTRUCTURE = ("infra", "Infrastructure and CI", r"(?i)workflow|docker|cicd|config/")
 
 
-def triage_area(rule: Column) -> Column:
+def triage_area() -> Column:
+    """The area of a finding (path, rule_id, title, category), null for none."""
     out = F.when(F.lit(False), F.lit(None))
-    for pattern, name in TRIAGE:
-        out = out.when(rule.rlike(pattern), name)
-    return out.otherwise(rule)
+    for name, _, pattern, cols in AREAS:
+        out = out.when(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in cols]).rlike(pattern), name)
+    return out.when((F.col("category") == "infrastructure") | F.col("rule_id").rlike(INFRASTRUCTURE[2]), INFRASTRUCTURE[0])
 
 
-def triage(d: DataFrame) -> DataFrame:
-    """Groups of findings by area with worst severity and size, most urgent first."""
-    g = d.groupBy(triage_area(F.col("rule_id")).alias("area")).agg(F.min(severity_rank("severity")).alias("r"), F.count(F.lit(1)).alias("n"))
-    return g.select("area", severity_at(F.col("r")).alias("severity"), "n").orderBy(severity_rank("severity"), F.desc("n"), "area")
+def triage(d: DataFrame, key: str = "fingerprint") -> DataFrame:
+    """(area, title, severity, n), most severe first, then largest; a finding of no area is a group of its own.
+
+    d: (key, path, rule_id, title, category, severity).
+    """
+    titles = {n: t for n, t, *_ in (*AREAS, INFRASTRUCTURE)}
+    area = triage_area()
+    named = d.select(F.coalesce(area, F.concat(F.lit("solo:"), F.col(key).cast("string"))).alias("area"), F.coalesce(S.lookup(area, titles), F.col("title")).alias("title"), "severity")
+    g = named.groupBy("area").agg(F.min("title").alias("title"), F.min(severity_rank("severity")).alias("r"), F.count(F.lit(1)).alias("n"))
+    return g.select("area", "title", severity_at(F.col("r")).alias("severity"), "n").orderBy(severity_rank("severity"), F.desc("n"), "area")
 
 
 def recurring(d: DataFrame, least: int = 3) -> DataFrame:
@@ -76,12 +91,29 @@ def recurring(d: DataFrame, least: int = 3) -> DataFrame:
     return d.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
+# The rules of a repository without its own: name, trigger, least severity, risk, action.
+DEFAULT_POLICIES = (
+    ("Critical findings must request changes", "new_finding", "critical", None, "request_changes"),
+    ("High findings warn", "new_finding", "high", None, "warn"),
+    ("Secrets block", "secret_detected", None, None, "request_changes"),
+    ("High dependency risk warns", "dependency_change", None, "high", "warn"),
+)
+
+
+def default_policies(spark: SparkSession) -> DataFrame:
+    rows = [(name, True, trigger, least, risk, None, action) for name, trigger, least, risk, action in DEFAULT_POLICIES]
+    return spark.createDataFrame(rows, "rule string, enabled boolean, trigger string, least_severity string, wanted_risk string, wanted_category string, action string")
+
+
 def policy_matches(rules: DataFrame, events: DataFrame) -> DataFrame:
-    """Enabled rules whose trigger is equal and whose severity and category hold for an event.
+    """Events beside the enabled rules whose trigger is equal and whose severity, risk and category hold.
 
-    rules: (rule, enabled, trigger, least_severity, wanted_category), a small table.
+    rules: as ``default_policies``, a small table; events: (trigger, severity, risk,
+    category, ...).  A rule that asks for changes blocks the check.
     """
     on = (rules["trigger"] == events["trigger"]) & rules["enabled"]
-    severe = rules["least_severity"].isNull() | (severity_rank(events["severity"]) <= severity_rank(rules["least_severity"]))
-    same = rules["wanted_category"].isNull() | (rules["wanted_category"] == events["category"])
-    return events.join(F.broadcast(rules), on & severe & same).drop(rules["trigger"])
+    severe = rules["least_severity"].isNull() | F.coalesce(severity_rank(events["severity"]) <= severity_rank(rules["least_severity"]), F.lit(False))
+    for want, has in (("wanted_risk", "risk"), ("wanted_category", "category")):
+        severe &= rules[want].isNull() | (rules[want] == events[has])
+    met = events.join(F.broadcast(rules), on & severe).drop(rules["trigger"])
+    return met.withColumn("blocks", F.col("action") == "request_changes")

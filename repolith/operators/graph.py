@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repolith.shared import cut
+
 
 def key_kind(key: Column) -> Column:
     """package, route, table, symbol or file of an edge key."""
@@ -36,14 +38,15 @@ def reachable(edges: DataFrame, origins: DataFrame, depth: int = 3, most: int =
 
     edges: (src, dst), src depends on dst; origins: (origin).  A node's depth is its
     least, ``via`` the least-named node of the step before; the first ``most`` nodes by
-    depth and name stay.  Steps are joins, as many as ``depth``, whatever the graph's size.
+    depth and name stay.  Steps are joins, as many as ``depth``, whatever the graph's
+    size, and each step's nodes are written once.
     """
-    back = edges.select(F.col("dst").alias("via"), F.col("src").alias("node")).distinct()
+    back = cut(edges.select(F.col("dst").alias("via"), F.col("src").alias("node")).distinct())
     front = origins.select("origin", F.col("origin").alias("node"))
     seen = front.select("origin", "node", F.lit(0).alias("depth"), F.lit(None).cast(front.schema["node"].dataType).alias("via"))
     for k in range(1, depth + 1):
         step = front.withColumnRenamed("node", "via").join(back, "via").groupBy("origin", "node").agg(F.min("via").alias("via"))
-        new = step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").select("origin", "node", F.lit(k).alias("depth"), "via")
+        new = cut(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").select("origin", "node", F.lit(k).alias("depth"), "via"))
         seen, front = seen.unionByName(new), new.select("origin", "node")
     rank = F.row_number().over(Window.partitionBy("origin").orderBy("depth", "node"))
     return seen.where("depth > 0").withColumn("_k", rank).where(F.col("_k") <= most).drop("_k")
@@ -56,19 +59,22 @@ def merged_impact(reached: DataFrame) -> DataFrame:
 
 def paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, hops: int = 4) -> DataFrame:
     """(start, target, hops): least number of steps from each start to each target, up to ``hops``."""
-    front = starts.select(F.col("node").alias("start"), "node")
+    edges, front = cut(edges.select("src", "dst").distinct()), starts.select(F.col("node").alias("start"), "node")
     seen = front.withColumn("hops", F.lit(0))
     for k in range(1, hops + 1):
         new = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("start", F.col("dst").alias("node")).distinct()
-        new = new.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        new = cut(new.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
         seen, front = seen.unionByName(new.withColumn("hops", F.lit(k))), new
     return seen.join(targets.select("node"), "node", "left_semi").where("hops > 0").select("start", F.col("node").alias("target"), "hops")
 
 
-def component_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b, n): links between components; both ends must belong to one, not the same."""
+def component_edges(edges: DataFrame, members: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(a, b, n): links between components; both ends must belong to one, not the same.
+
+    ``targets``: members that links point at, where they are a table of their own.
+    """
     s = members.select(F.col("node").alias("src"), F.col("component").alias("a"))
-    d = members.select(F.col("node").alias("dst"), F.col("component").alias("b"))
+    d = (members if targets is None else targets).select(F.col("node").alias("dst"), F.col("component").alias("b"))
     return edges.join(s, "src").join(d, "dst").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 

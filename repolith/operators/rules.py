@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolith.functions.scalars import fingerprint, round_confidence
+from repolith.functions.scalars import fingerprint, redact_evidence, redact_secrets, round_confidence
 from repolith.operators import graph
 from repolith.sources import manifests
-from repolith.sources.files import basename, lines
+from repolith.sources.files import basename, lines, lines_around
 
 HITS = 5
 EVIDENCE = 240
@@ -18,6 +18,8 @@ EVIDENCE = 240
 USER_INPUT = r"\breq(?:uest)?\.(?:body|query|params|headers|cookies)\b|\bctx\.request\b|\bevent\.(?:body|queryStringParameters)\b|\bprocess\.argv\b|\binput\(\)|\brequest\.(?:GET|POST|form|args|json)\b"
 DYNAMIC = r"\+\s*[A-Za-z_$][\w$.\[\]]*|\$\{[^}]+\}|%s|\.format\(|f[\"']"
 JS, PY = ("javascript", "typescript"), ("python",)
+# Fixed value: what joins values to a string.
+JOINS = r"['\"`]\s*\+|\$\{|%s|\.format\("
 CODE = (*JS, *PY, "ruby", "go", "php", "java")
 
 
@@ -31,6 +33,8 @@ class Rule:
     requires: str | None = None
     unless: str | None = None
     two_lines: bool = False
+    #: Group 1 is a value that evidence must not show.
+    secret: str | None = None
 
 
 SECURITY = (
@@ -50,7 +54,7 @@ SECURITY = (
     Rule("security/tls-verification-disabled", "high", 0.85, r"rejectUnauthorized\s*:\s*false|verify\s*=\s*False|NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*['\"]?0|InsecureSkipVerify\s*:\s*true"),
 )
 SECRETS = (  # a reconstruction: only the ids' prefix is known
-    Rule("secret/assigned", "critical", 0.85, r"(?i)\b(?:api[_-]?key|secret|access[_-]?token|auth[_-]?token|password|passwd)\b[\"']?\s*[:=]\s*[\"'][^\"'\s]{8,}[\"']"),
+    Rule("secret/assigned", "critical", 0.85, r"(?i)\b(?:api[_-]?key|secret|access[_-]?token|auth[_-]?token|password|passwd)\b[\"']?\s*[:=]\s*[\"'][^\"'\s]{8,}[\"']", secret=r"[:=]\s*[\"']([^\"'\s]{8,})[\"']"),
     Rule("secret/private-key", "critical", 0.95, r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"),
     Rule("secret/provider-token", "critical", 0.95, r"\bgh[pousr]_[A-Za-z0-9]{36,}\b|\bAKIA[0-9A-Z]{16}\b|\bsk_live_[A-Za-z0-9]{16,}\b"),
 )
@@ -65,12 +69,12 @@ EOL_IMAGES = r"(?i)^FROM\s+(?:node:(?:[0-9]|1[0-7])(?:[.\-\s]|$)|python:(?:2(?:\
 DOCKER = (
     Rule("infra/docker-unpinned-base-image", "low", 0.9, r"(?i)^FROM\s+(?:\S+:latest|[^\s:]+)(?:\s|$)", ("dockerfile",)),
     Rule("infra/docker-eol-base-image", "high", 0.95, EOL_IMAGES, ("dockerfile",)),
-    Rule("infra/docker-secret-in-env", "critical", 0.9, r"(?i)^(?:ENV|ARG)\s+\w*(?:password|passwd|secret|token|api[_-]?key|apikey|access[_-]?key|credential|private[_-]?key)\w*[\s=]+[\"']?(?!\$\{?\w+\}?[\"']?$|changeme|example|placeholder|<)[^\s\"']{8,}", ("dockerfile",)),
+    Rule("infra/docker-secret-in-env", "critical", 0.9, r"(?i)^(?:ENV|ARG)\s+\w*(?:password|passwd|secret|token|api[_-]?key|apikey|access[_-]?key|credential|private[_-]?key)\w*[\s=]+[\"']?(?!\$\{?\w+\}?[\"']?$|changeme|example|placeholder|<)[^\s\"']{8,}", ("dockerfile",), secret=r"(?i)^(?:ENV|ARG)\s+\w+[\s=]+[\"']?([^\s\"']{8,})"),
     Rule("infra/docker-remote-script-execution", "high", 0.85, r"(?i)^RUN\b.*(?:curl|wget)[^|]*\|\s*(?:ba)?sh", ("dockerfile",)),
     Rule("infra/docker-unsafe-perm", "medium", 0.85, r"(?i)--unsafe-perm", ("dockerfile",)),
 )
 CONFIG = (
-    Rule("config/dotenv-secret", "critical", 0.9, r"^[A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|PRIVATE|API_KEY|ACCESS_KEY|CREDENTIAL)[A-Z0-9_]*\s*=\s*[\"']?(?!(?i)change-?me|example|placeholder|your[_-]|xxx|<|\$\{)[^\"'\s]{8,}", ("dotenv",)),
+    Rule("config/dotenv-secret", "critical", 0.9, r"^[A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|PRIVATE|API_KEY|ACCESS_KEY|CREDENTIAL)[A-Z0-9_]*\s*=\s*[\"']?(?!(?i)change-?me|example|placeholder|your[_-]|xxx|<|\$\{)[^\"'\s]{8,}", ("dotenv",), secret=r"=\s*[\"']?([^\"'\s]{8,})"),
     Rule("config/privileged-container", "high", 0.85, r"(?i)privileged:\s*true|hostNetwork:\s*true", ("yaml",)),
 )
 
@@ -83,12 +87,13 @@ def _comment(text: Column, language: Column) -> Column:
 def hits(code: DataFrame, rules: tuple[Rule, ...], key: str = "path") -> DataFrame:
     """One row for each line and rule that meet: (key, rule_id, severity, line, evidence, confidence).
 
-    code: (key, language, line, text).  Input from users waives ``requires`` and, in
-    the lines around a hit, raises its confidence.  The rules are one array per line.
+    code: (key, language, line, text) and, where rules look at neighbours, (next,
+    around).  Input from users waives ``requires`` and, in the lines around a hit,
+    raises its confidence.  Credentials in evidence are masked.  The rules are one array per line.
     """
-    side = Window.partitionBy(key).orderBy("line")
-    d = code.withColumn("_next", F.lead("text").over(side)).withColumn("_around", F.array_join(F.collect_list("text").over(side.rowsBetween(-3, 1)), "\n"))
-    both = F.concat_ws("\n", "text", "_next")
+    for name in {"next", "around"} - set(code.columns):
+        code = code.withColumn(name, F.lit(None).cast("string"))
+    both = F.concat_ws("\n", "text", "next")
 
     def one(r: Rule) -> Column:
         hay = both if r.two_lines else F.col("text")
@@ -97,14 +102,24 @@ def hits(code: DataFrame, rules: tuple[Rule, ...], key: str = "path") -> DataFra
             ok &= hay.rlike(r.requires) | hay.rlike(USER_INPUT)
         if r.unless:
             ok &= ~hay.rlike(r.unless)
-        sure = F.least(F.lit(0.98), F.lit(r.confidence) + F.when(F.col("_around").rlike(USER_INPUT), 0.1).otherwise(0.0))
-        return F.when(ok, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), round_confidence(sure).alias("confidence")))
-
-    live = d.where((F.trim("text") != "") & ~_comment(F.col("text"), F.col("language")))
-    found = live.select(key, "line", "text", F.explode(F.filter(F.array(*[one(r) for r in rules]), lambda x: x.isNotNull())).alias("h"))
-    t = F.trim("text")
-    evidence = F.when(F.length(t) > EVIDENCE, F.concat(F.left(t, F.lit(EVIDENCE)), F.lit("…"))).otherwise(t)
-    return found.select(key, "h.rule_id", "h.severity", "line", evidence.alias("evidence"), "h.confidence")
+        sure = F.least(F.lit(0.98), F.lit(r.confidence) + F.when(F.col("around").rlike(USER_INPUT), 0.1).otherwise(0.0))
+        later = F.lit(False)
+        if r.two_lines:  # the line that joins values, whole if it can be, else the first that does
+            joins = [F.coalesce(x.rlike(JOINS), F.lit(False)) for x in (F.col("text"), F.col("next"))]
+            whole = [j & x.rlike(r.match) for j, x in zip(joins, (F.col("text"), F.col("next")), strict=True)]
+            later = F.when(whole[0], False).when(whole[1], True).otherwise(~joins[0] & joins[1])
+        return F.when(ok, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), round_confidence(sure).alias("confidence"), F.lit(r.two_lines).alias("two"), later.alias("later"), (F.regexp_extract("text", r.secret, 1) if r.secret else F.lit("")).alias("value")))
+
+    live = code.where((F.trim("text") != "") & ~_comment(F.col("text"), F.col("language")))
+    found = live.select(key, "line", "text", "next", F.explode(F.filter(F.array(*[one(r) for r in rules]), lambda x: x.isNotNull())).alias("h"))
+    if any(r.two_lines for r in rules):
+        # a statement over two lines is found from both: of lines in a run, every second is left out
+        side = Window.partitionBy(key, "h.rule_id").orderBy("line")
+        found = found.withColumn("_run", F.col("line") - F.row_number().over(side))
+        found = found.withColumn("_at", F.row_number().over(Window.partitionBy(key, "h.rule_id", "_run").orderBy("line"))).where(~F.col("h.two") | (F.col("_at") % 2 == 1))
+    text = F.when(F.col("h.later"), F.col("next")).otherwise(F.col("text"))
+    line = F.col("line") + F.col("h.later").cast("int")
+    return found.select(key, "h.rule_id", "h.severity", line.alias("line"), _cut(redact_secrets(redact_evidence(text, F.col("h.value")))).alias("evidence"), "h.confidence")
 
 
 def capped(found: DataFrame, key: str = "path", most: int = HITS) -> DataFrame:
@@ -121,7 +136,7 @@ def _sign(d: DataFrame) -> DataFrame:
 
 def security(files: DataFrame) -> DataFrame:
     """Security findings of source files that are not tests."""
-    return _sign(capped(hits(lines(files.where("not is_test")), SECURITY)))
+    return _sign(capped(hits(lines_around(files.where("not is_test")), SECURITY)))
 
 
 def secrets(files: DataFrame) -> DataFrame:
@@ -133,7 +148,9 @@ def secrets(files: DataFrame) -> DataFrame:
 def workflows(files: DataFrame) -> DataFrame:
     """Findings of CI workflow files; a file without any ``permissions`` gives one more."""
     d = files.where(F.col("path").rlike(r"(?i)(^|/)\.github/workflows/.+\.ya?ml$"))
+    runs = F.col("content").rlike(r"\b(?:run|script)\s*:")
     rows = hits(lines(d), WORKFLOW)
+    rows = rows.join(d.where(~runs).select("path", F.lit("cicd/untrusted-context-interpolation").alias("rule_id")), ["path", "rule_id"], "left_anti")
     return _sign(rows.unionByName(d.where(~F.col("content").rlike(r"permissions\s*:")).select("path", F.lit("cicd/missing-permissions").alias("rule_id"), F.lit("low").alias("severity"), F.lit(1).alias("line"), F.lit("").alias("evidence"), F.lit(0.8).alias("confidence"))))
 
 
@@ -156,7 +173,7 @@ def configuration(files: DataFrame) -> DataFrame:
     """Findings of environment and configuration files."""
     d = files.where(~F.col("path").endswith(".example"))
     debug = lines(d.where(F.lower("path").contains("prod"))).where(F.col("text").rlike(r"(?i)DEBUG\s*[:=]\s*(true|1|yes)"))
-    debug = debug.select("path", F.lit("config/debug-in-production").alias("rule_id"), F.lit("medium").alias("severity"), "line", F.trim("text").alias("evidence"), F.lit(0.75).alias("confidence"))
+    debug = debug.select("path", F.lit("config/debug-in-production").alias("rule_id"), F.lit("medium").alias("severity"), "line", _cut(redact_secrets(F.col("text"))).alias("evidence"), F.lit(0.75).alias("confidence"))
     return _sign(hits(lines(d), CONFIG).unionByName(debug))
 
 
@@ -170,7 +187,7 @@ def _row(rows: DataFrame, rule: str, severity: Column | str, confidence: Column
     of = lambda x: x if isinstance(x, Column) else F.lit(x)
     path = F.col(path) if isinstance(path, str) else path
     line = F.col(line) if isinstance(line, str) else of(line)
-    out = rows.select(path.alias("path"), F.lit(rule).alias("rule_id"), of(severity).alias("severity"), line.alias("line"), _cut(of(text)).alias("evidence"), of(confidence).alias("confidence"), seed.alias("_seed"))
+    out = rows.select(path.alias("path"), F.lit(rule).alias("rule_id"), of(severity).alias("severity"), line.alias("line"), _cut(redact_secrets(of(text))).alias("evidence"), of(confidence).alias("confidence"), seed.alias("_seed"))
     return out.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("path"), F.col("_seed"))).drop("_seed")
 
 
@@ -212,7 +229,7 @@ def error_handling(files: DataFrame) -> DataFrame:
         one(share, "bugs/missing-bounds-check", "low", 0.5, _cut(F.col("t"))),
     )
     found = code.select("path", "line", "t", F.explode(F.filter(met, lambda x: x.isNotNull())).alias("h"))
-    return found.select("path", "h.rule_id", "h.severity", "line", _cut(F.col("t")).alias("evidence"), "h.confidence", fingerprint(F.col("h.rule_id"), F.col("path"), F.col("h.seed")).alias("fingerprint"))
+    return found.select("path", "h.rule_id", "h.severity", "line", _cut(redact_secrets(F.col("t"))).alias("evidence"), "h.confidence", fingerprint(F.col("h.rule_id"), F.col("path"), F.col("h.seed")).alias("fingerprint"))
 
 
 def structure(files: DataFrame) -> DataFrame:
@@ -280,13 +297,27 @@ def all_findings(files: DataFrame) -> DataFrame:
 
 
 # Which changed paths call for which detectors.
-SCAN_RULES = ((r"(?i)(^|/)dockerfile|\.tf$", "infrastructure"), (r"(?i)\.github/workflows/", "cicd"), (r"(?i)package\.json$|requirements.*\.txt$|pyproject\.toml$", "dependencies"), (r"(?i)\.env|\.ya?ml$|\.config\.", "config"), (r"(?i)\.(js|jsx|ts|tsx|py|rb|go|php|java)$", "security"))
+SCANNERS = ("security", "secrets", "dependencies", "testing", "quality", "infrastructure", "cicd", "config")
+SCAN_RULES = (
+    (r"(?i)(^|/)(\.env|secrets?|credentials?)", None, ("secrets", "config", "security")),
+    (r"(?i)(^|/)(auth|session|login|permission|token)", None, ("security", "secrets", "testing", "quality")),
+    (r"package\.json$|requirements.*\.txt$|pyproject\.toml$", None, ("dependencies", "security")),
+    (r"(^|/)\.github/workflows/", None, ("cicd", "secrets", "config")),
+    (r"(?i)dockerfile|docker-compose", None, ("infrastructure", "secrets", "config")),
+    (r"(?i)\.(ya?ml|toml|ini|json)$", r"package\.json$", ("config", "cicd", "secrets")),
+    (r"\.(test|spec)\.|(^|/)tests?/", None, ("testing", "quality")),
+    (r"\.(ts|tsx|js|jsx|mjs|cjs|py)$", None, ("security", "quality", "testing", "secrets")),
+)
 
 
-def scanners_for(changed: DataFrame, path: str = "path") -> DataFrame:
-    """(scanner) to run for changed paths; ``full`` if any path matches no rule."""
-    hit = F.filter(F.array(*[F.when(F.col(path).rlike(p), F.lit(s)) for p, s in SCAN_RULES]), lambda x: x.isNotNull())
-    return changed.select(F.explode(F.when(F.size(hit) > 0, hit).otherwise(F.array(F.lit("full")))).alias("scanner")).distinct()
+def scanners_for(changed: DataFrame, *keys: str, path: str = "path") -> DataFrame:
+    """(keys, scanner): the detectors to run for changed paths; all if any path matches no rule.
+
+    Without keys and without rows no detector is named: a scan of unknown changes runs them all.
+    """
+    calls = F.flatten(F.array(*[F.when(F.col(path).rlike(p) & (~F.col(path).rlike(no) if no else F.lit(True)), F.array(*[F.lit(x) for x in ids])).otherwise(F.array().cast("array<string>")) for p, no, ids in SCAN_RULES]))
+    every = F.array(*[F.lit(x) for x in SCANNERS])
+    return changed.select(*keys, F.explode(F.when(F.size(calls) == 0, every).otherwise(F.array_distinct(calls))).alias("scanner")).distinct()
 
 
 def config_files(files: DataFrame) -> DataFrame:

@@ -122,16 +122,20 @@ def regression_risk(d: DataFrame) -> DataFrame:
 
 
 def test_relevance(d: DataFrame) -> DataFrame:
-    """``d`` with relevance: nearer tests first, more cases and targets count; at most 25 without assertions."""
+    """``d`` with relevance from depth, direct, total, cases and asserts: nearer tests first.
+
+    Beyond three steps it is 0; without assertions at most 25.
+    """
     near = F.when(F.col("depth") == 0, 55.0).when(F.col("depth") == 1, 35.0).when(F.col("depth") == 2, 20.0).otherwise(10.0)
-    score = near + log2_points(F.col("covered"), 6, 25) + log2_points(F.col("cases"), 3, 15)
-    score = F.when(F.col("asserts"), score).otherwise(F.least(F.lit(25.0), score))
-    return d.withColumn("relevance", F.floor(F.least(F.lit(100.0), score) + 0.5))
+    score = F.floor(near + log2_points(F.col("direct"), 10, 20) + log2_points(F.col("total"), 4, 10) + log2_points(F.col("cases"), 3, 10) + 0.5)
+    score = F.when(F.col("asserts"), F.least(F.lit(100), score)).otherwise(F.least(F.lit(25), score))
+    return d.withColumn("relevance", F.when(F.col("depth").between(0, 3), score).otherwise(0))
 
 
 def gap_severity(d: DataFrame) -> DataFrame:
-    """``d`` with severity of a test gap from dependents, complexity, sensitive and findings."""
-    points = F.when(F.col("sensitive"), 2).otherwise(0) + F.when(F.col("dependents") >= 5, 2).when(F.col("dependents") >= 2, 1).otherwise(0) + F.when(F.col("complexity") >= 15, 1).otherwise(0) + F.when(F.col("findings") > 0, 1).otherwise(0)
+    """``d`` with severity of a test gap from complexity, dependents, route, database and sensitive."""
+    points = F.when(F.col("complexity") >= 6, 2).when(F.col("complexity") >= 3, 1).otherwise(0) + F.when(F.col("dependents") >= 3, 2).when(F.col("dependents") >= 1, 1).otherwise(0)
+    points = points + F.when(F.col("route"), 2).otherwise(0) + F.when(F.col("database"), 1).otherwise(0) + F.when(F.col("sensitive"), 2).otherwise(0)
     return d.withColumn("severity", F.when(points >= 4, "high").when(points >= 2, "medium").otherwise("low"))
 
 

@@ -19,7 +19,7 @@ from repolith.operators import scoring as SC
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 AS_OF = "2024-01-31"
-#: Orders from this date on are the later state of ``whole_dependency_diff``.
+#: Orders from this date on are the later state of ``dependency_diff``.
 SPLIT = "1998-04-16"
 
 
@@ -203,10 +203,9 @@ def component_risk(spark, d):
  (SELECT p_partkey, p_brand AS b FROM part) WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey GROUP BY a, b"""
 )
 def component_edges(spark, d):
-    e = read(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
-    s = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"), F.col("n_name").alias("component"))
-    p = read(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"), F.col("p_brand").alias("component"))
-    return G.component_edges(e, s.unionByName(p))
+    e = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    s = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("node"), F.col("n_name").alias("component"))
+    return G.component_edges(e, s, read(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("component")))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -215,23 +214,11 @@ def untested_files(spark, d):
     return G.untested(c, read(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("node"))).withColumnRenamed("node", "c_custkey")
 
 
-@query(
-    """WITH a AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), b AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderkey % 3 = 1 GROUP BY 1)
- SELECT coalesce(a.k, b.k) AS name, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'updated' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v <> b.v"""
-)
-def dependency_diff(spark, d):
-    from repolith.sources.manifests import changed
-
-    o = read(spark, d, "orders")
-    side = lambda k: o.where(F.col("o_orderkey") % 3 == k).groupBy(F.lit("npm").alias("ecosystem"), F.col("o_custkey").alias("name")).agg(F.max("o_totalprice").alias("version"))
-    return changed(side(0), side(1)).select("name", "change")
-
-
 @query(
     f"""WITH a AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderdate < TIMESTAMP '{SPLIT}' GROUP BY 1), b AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderdate >= TIMESTAMP '{SPLIT}' GROUP BY 1)
  SELECT coalesce(a.k, b.k) AS name, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'updated' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v <> b.v"""
 )
-def whole_dependency_diff(spark, d):
+def dependency_diff(spark, d):
     """``dependency_diff`` of all orders, before a date and from it on."""
     from repolith.sources.manifests import changed
 
@@ -257,52 +244,16 @@ def vulnerable_packages(spark, d):
 
 @query(
     FINDINGS
-    + """, r AS (SELECT * FROM (VALUES ('errors', 'error', 'critical', 0, NULL), ('clicks', 'click', 'high', 1, NULL), ('views', 'view', 'info', 4, 'security'), ('all-views', 'view', NULL, NULL, NULL)) t(rule, trigger, sev, rk, cat))
- SELECT event_id, rule FROM f JOIN r ON event_type = trigger AND (rk IS NULL OR sr <= rk) AND (cat IS NULL OR cat = category)"""
+    + """, r AS (SELECT * FROM (VALUES ('errors', 'error', 0, NULL, NULL, 'request_changes'), ('clicks', 'click', 1, NULL, NULL, 'warn'), ('views', 'view', 4, NULL, 'security', 'warn'), ('all-views', 'view', NULL, NULL, NULL, 'comment'), ('risky', 'purchase', NULL, 'high', NULL, 'request_changes')) t(rule, trigger, rk, risk, cat, action))
+ SELECT event_id, rule, action, action = 'request_changes' AS blocks FROM f JOIN r ON event_type = trigger AND (rk IS NULL OR sr <= rk) AND (cat IS NULL OR cat = category) AND (risk IS NULL OR risk = CASE WHEN value > 50 THEN 'high' ELSE 'low' END)"""
 )
 def policy_matches(spark, d):
-    r = spark.createDataFrame([("errors", True, "error", "critical", None), ("clicks", True, "click", "high", None), ("views", True, "view", "info", "security"), ("all-views", True, "view", None, None), ("off", False, "view", None, None)], "rule string, enabled boolean, trigger string, least_severity string, wanted_category string")
-    return FI.policy_matches(r, findings(spark, d).withColumnRenamed("event_type", "trigger")).select("event_id", "rule")
+    rows = [("errors", True, "error", "critical", None, None, "request_changes"), ("clicks", True, "click", "high", None, None, "warn"), ("views", True, "view", "info", None, "security", "warn"), ("all-views", True, "view", None, None, None, "comment"), ("risky", True, "purchase", None, "high", None, "request_changes"), ("off", False, "view", None, None, None, "warn")]
+    e = findings(spark, d).withColumn("trigger", F.col("event_type")).withColumn("risk", F.when(F.col("value") > 50, "high").otherwise("low"))
+    return FI.policy_matches(spark.createDataFrame(rows, FI.default_policies(spark).schema), e).select("event_id", "rule", "action", "blocks")
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
-    """A part depends on its supplier, a supplier on the parts it mostly delivers."""
-    li = read(spark, d, "lineitem")
-    a = li.where(F.col("l_linenumber") == 1).select((F.col("l_partkey") + 1_000_000).alias("src"), F.col("l_suppkey").alias("dst"))
-    b = li.where((F.col("l_linenumber") == 2) & (F.col("l_partkey") % 7 == 0)).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst"))
-    return a.unionByName(b).distinct()
-
-
-_EDGES = """e AS (SELECT DISTINCT l_partkey + 1000000 AS src, l_suppkey AS dst FROM lineitem WHERE l_linenumber = 1 UNION SELECT DISTINCT l_suppkey, l_partkey + 1000000 FROM lineitem WHERE l_linenumber = 2 AND l_partkey % 7 = 0)"""
-
-
-@query(
-    f"""WITH RECURSIVE {_EDGES}, o AS (SELECT * FROM (VALUES (1), (2), (3)) t(origin)),
- r AS (SELECT origin, origin AS node, 0 AS depth FROM o UNION SELECT r.origin, e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node WHERE r.depth < 3),
- m AS (SELECT origin, node, min(depth) AS depth FROM r GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY depth, node) AS k FROM m WHERE depth > 0)
- SELECT CAST(k.origin AS BIGINT) AS origin, CAST(k.node AS BIGINT) AS node, k.depth, (SELECT CAST(min(p.node) AS BIGINT) FROM m p JOIN e ON e.dst = p.node AND e.src = k.node WHERE p.origin = k.origin AND p.depth = k.depth - 1) AS via FROM k WHERE k.k <= 200"""
-)
-def reachable_dependents(spark, d):
-    o = spark.createDataFrame([(1,), (2,), (3,)], "origin long")
-    return G.reachable(_links(spark, d), o)
-
-
-@query(
-    f"""WITH RECURSIVE {_EDGES}, r AS (SELECT s AS start, s AS node, 0 AS hops FROM (VALUES (4), (5)) t(s) UNION SELECT r.start, e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.node WHERE r.hops < 3)
- SELECT CAST(start AS BIGINT) AS start, CAST(node AS BIGINT) AS target, min(hops) AS hops FROM r WHERE node % 5 = 0 AND node NOT IN (4, 5) GROUP BY start, node"""
-)
-def attack_paths(spark, d):
-    e = _links(spark, d)
-    nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
-    return G.paths(e, spark.createDataFrame([(4,), (5,)], "node long"), nodes.where((F.col("node") % 5 == 0) & ~F.col("node").isin(4, 5)), hops=3)
-
-
-@query(f"WITH {_EDGES} SELECT dst AS node, count(DISTINCT src) AS dependents FROM e GROUP BY dst ORDER BY 2 DESC, 1 LIMIT 10")
-def hotspots(spark, d):
-    return G.hotspots(_links(spark, d))
-
-
-def _whole_links(spark: SparkSession, d: str) -> DataFrame:
     """Every customer to its orders, order to its parts, part to its suppliers, supplier to its nation."""
     key = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
     li, o, s = (read(spark, d, t) for t in ("lineitem", "orders", "supplier"))
@@ -312,37 +263,36 @@ def _whole_links(spark: SparkSession, d: str) -> DataFrame:
     return e.distinct()
 
 
-_WHOLE = """e AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem
+_EDGES = """e AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem
  UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"""
 
 
 @query(
-    f"""WITH RECURSIVE {_WHOLE}, r AS (SELECT 'n' || n_nationkey AS origin, 'n' || n_nationkey AS node, 0 AS depth FROM nation UNION SELECT r.origin, e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node WHERE r.depth < 3),
+    f"""WITH RECURSIVE {_EDGES}, r AS (SELECT 'n' || n_nationkey AS origin, 'n' || n_nationkey AS node, 0 AS depth FROM nation UNION SELECT r.origin, e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node WHERE r.depth < 3),
  m AS (SELECT origin, node, min(depth) AS depth FROM r GROUP BY 1, 2), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY depth, node) AS k FROM m WHERE depth > 0) WHERE k <= 200)
  SELECT k.origin, k.node, k.depth, min(p.node) AS via FROM k JOIN e ON e.src = k.node JOIN m p ON p.node = e.dst AND p.origin = k.origin AND p.depth = k.depth - 1 GROUP BY ALL"""
 )
-def whole_reachable_dependents(spark, d):
-    """``reachable_dependents`` over all links, from every nation."""
+def reachable_dependents(spark, d):
+    """What leads to each nation within three links."""
     o = read(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("origin"))
-    return G.reachable(_whole_links(spark, d), o)
+    return G.reachable(_links(spark, d), o)
 
 
 @query(
-    f"""WITH RECURSIVE {_WHOLE}, r AS (SELECT 'c' || c_custkey AS start, 'c' || c_custkey AS node, 0 AS hops FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT r.start, e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.node WHERE r.hops < 4)
+    f"""WITH RECURSIVE {_EDGES}, r AS (SELECT 'c' || c_custkey AS start, 'c' || c_custkey AS node, 0 AS hops FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT r.start, e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.node WHERE r.hops < 4)
  SELECT start, node AS target, min(hops) AS hops FROM r WHERE node IN (SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal < 1000) GROUP BY start, node"""
 )
-def whole_attack_paths(spark, d):
-    """``attack_paths`` over all links, from a market segment's customers to all nations and to suppliers of a low balance."""
+def attack_paths(spark, d):
+    """Over all links, from a market segment's customers to all nations and to suppliers of a low balance."""
     key = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string")).alias("node")
     starts = read(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(key("c", "c_custkey"))
     targets = read(spark, d, "nation").select(key("n", "n_nationkey")).unionByName(read(spark, d, "supplier").where("s_acctbal < 1000").select(key("s", "s_suppkey")))
-    return G.paths(_whole_links(spark, d), starts, targets)
+    return G.paths(_links(spark, d), starts, targets)
 
 
-@query(f"WITH {_WHOLE} SELECT dst AS node, count(DISTINCT src) AS dependents FROM e GROUP BY dst ORDER BY 2 DESC, 1 LIMIT 10")
-def whole_hotspots(spark, d):
-    """``hotspots`` over all links."""
-    return G.hotspots(_whole_links(spark, d))
+@query(f"WITH {_EDGES} SELECT dst AS node, count(DISTINCT src) AS dependents FROM e GROUP BY dst ORDER BY 2 DESC, 1 LIMIT 10")
+def hotspots(spark, d):
+    return G.hotspots(_links(spark, d))
 
 
 @query(
@@ -442,7 +392,7 @@ def search_scores(spark, d):
 
 
 @query(
-    f"""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 3 AND NOT list_contains([{", ".join(repr(x) for x in S.STOPWORDS)}], x)) AS l FROM conversations),
+    f"""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_/.\\-\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) >= 3 AND NOT list_contains([{", ".join(repr(x) for x in S.STOPWORDS)}], x)) AS l FROM conversations),
  e AS (SELECT conv_id, turn, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM w), k AS (SELECT conv_id, turn, x, min(i) AS i FROM e GROUP BY 1, 2, 3)
  SELECT conv_id, turn, string_agg(x, ' ' ORDER BY i) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS k FROM k) WHERE k <= 12 GROUP BY 1, 2"""
 )
@@ -456,10 +406,10 @@ def keywords(spark, d):
  SELECT left(sha256('line/repeat' || chr(0) || '' || chr(0) || s), 32) AS fingerprint, count(*) AS n, count(DISTINCT doc_id) AS docs FROM n WHERE s <> '' GROUP BY s HAVING count(*) > 1"""
 )
 def repeated_lines(spark, d):
-    lines = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("t"))
-    print_ = S.fingerprint(F.lit("line/repeat"), F.lit(None).cast("string"), F.col("t"))
-    g = lines.where(S.normalize_snippet(F.col("t")) != "").groupBy(print_.alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
-    return g.where("n > 1")
+    lines = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("t")).select("doc_id", S.normalize_snippet(F.col("t")).alias("s")).where("s <> ''")
+    # a row a line and document before the groups meet, so a very common line stays small
+    g = lines.groupBy("s", "doc_id").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("docs")).where("n > 1")
+    return g.select(S.fingerprint(F.lit("line/repeat"), F.lit(None).cast("string"), F.col("s")).alias("fingerprint"), "n", "docs")
 
 
 @query("SELECT c_custkey, CASE WHEN length(c_name) <= 8 THEN repeat('•', 8) ELSE left(c_name, 4) || repeat('•', greatest(4, least(12, length(c_name) - 8))::INTEGER) || right(c_name, 4) END AS masked FROM customer")
@@ -477,12 +427,17 @@ def deduped_events(spark, d):
 
 @query(
     FINDINGS
-    + """, a AS (SELECT *, CASE WHEN regexp_matches(rule_id, 'error') THEN 'errors' ELSE rule_id END AS area FROM f), g AS (SELECT area, min(sr) AS r, count(*) AS n FROM a GROUP BY area)
- SELECT area, ['critical', 'high', 'medium', 'low', 'info'][1 + r] AS severity, n FROM g"""
+    + """, t AS (SELECT event_id, severity, sr, ['src/login/a.py', 'src/m.py', 'docker/x'][1 + event_id % 3] AS path, ['security/sql-injection', 'quality/x', 'cicd/y', 'bugs/z'][1 + event_id % 4] AS rule_id,
+ ['secrets', 'dependencies', 'testing', 'quality', 'infrastructure'][1 + user_id % 5] AS category, 'Finding of ' || event_type AS title FROM f),
+ a AS (SELECT *, CASE WHEN path LIKE '%login%' THEN 'auth' WHEN category = 'secrets' THEN 'secrets' WHEN rule_id LIKE '%inject%' THEN 'injection' WHEN category = 'dependencies' THEN 'dependencies' WHEN category = 'testing' THEN 'tests'
+ WHEN category = 'infrastructure' OR rule_id LIKE 'cicd%' THEN 'infra' ELSE 'solo:' || event_id END AS area FROM t), g AS (SELECT area, min(sr) AS r, count(*) AS n, min(title) AS title FROM a GROUP BY area)
+ SELECT area, CASE area WHEN 'auth' THEN 'Authentication and authorization' WHEN 'secrets' THEN 'Committed credentials' WHEN 'injection' THEN 'Injection and unsafe execution' WHEN 'dependencies' THEN 'Dependency risk' WHEN 'tests' THEN 'Testing gaps'
+ WHEN 'infra' THEN 'Infrastructure and CI' ELSE title END AS title, ['critical', 'high', 'medium', 'low', 'info'][1 + r] AS severity, n FROM g"""
 )
 def triage_groups(spark, d):
-    f = findings(spark, d).withColumn("rule_id", F.when(F.col("rule_id").contains("error"), "errors").otherwise(F.col("rule_id")))
-    return FI.triage(f)
+    pick = lambda c, *x: F.get(F.array(*[F.lit(v) for v in x]), (c % len(x)).cast("int"))
+    f = findings(spark, d).select("event_id", "severity", pick(F.col("event_id"), "src/login/a.py", "src/m.py", "docker/x").alias("path"), pick(F.col("event_id"), "security/sql-injection", "quality/x", "cicd/y", "bugs/z").alias("rule_id"), pick(F.col("user_id"), "secrets", "dependencies", "testing", "quality", "infrastructure").alias("category"), F.concat(F.lit("Finding of "), "event_type").alias("title"))
+    return FI.triage(f, "event_id")
 
 
 @query(
@@ -522,21 +477,23 @@ def repository_installations(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS depth, count(DISTINCT event_type) AS covered, count(*) AS cases, bool_or(event_type = 'error') AS asserts FROM events GROUP BY 1),
- r AS (SELECT *, CASE depth WHEN 0 THEN 55 WHEN 1 THEN 35 WHEN 2 THEN 20 ELSE 10 END + least(25, log2(covered + 1) * 6) + least(15, log2(cases + 1) * 3) AS x FROM s)
- SELECT user_id, CAST(floor(least(100, CASE WHEN asserts THEN x ELSE least(25, x) END) + 0.5) AS BIGINT) AS relevance FROM r"""
+    """WITH s AS (SELECT user_id, count(*) FILTER (event_type = 'signup') AS depth, count(*) FILTER (event_type = 'error') AS direct, count(DISTINCT event_type) AS total, count(*) AS cases, bool_or(event_type = 'error') AS asserts FROM events GROUP BY 1),
+ r AS (SELECT *, floor(CASE depth WHEN 0 THEN 55 WHEN 1 THEN 35 WHEN 2 THEN 20 ELSE 10 END + least(20, log2(direct + 1) * 10) + least(10, log2(total + 1) * 4) + least(10, log2(cases + 1) * 3) + 0.5) AS x FROM s)
+ SELECT user_id, CAST(CASE WHEN depth > 3 THEN 0 WHEN asserts THEN least(100, x) ELSE least(25, x) END AS BIGINT) AS relevance FROM r"""
 )
 def relevant_tests(spark, d):
-    s = read(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("depth"), F.countDistinct("event_type").alias("covered"), F.count(F.lit(1)).alias("cases"), F.bool_or(F.col("event_type") == "error").alias("asserts"))
+    of = lambda kind: F.count_if(F.col("event_type") == kind)
+    s = read(spark, d, "events").groupBy("user_id").agg(of("signup").alias("depth"), of("error").alias("direct"), F.countDistinct("event_type").alias("total"), F.count(F.lit(1)).alias("cases"), F.bool_or(F.col("event_type") == "error").alias("asserts"))
     return SC.test_relevance(s).select("user_id", F.col("relevance").cast("long").alias("relevance"))
 
 
 @query(
-    """WITH c AS (SELECT p_partkey, p_size > 40 AS sens, coalesce(n, 0) AS dep, p_size % 20 AS cx, coalesce(r, 0) AS fi FROM part LEFT JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1) ON l_partkey = p_partkey),
- p AS (SELECT p_partkey, CASE WHEN sens THEN 2 ELSE 0 END + CASE WHEN dep >= 5 THEN 2 WHEN dep >= 2 THEN 1 ELSE 0 END + CASE WHEN cx >= 15 THEN 1 ELSE 0 END + CASE WHEN fi > 0 THEN 1 ELSE 0 END AS x FROM c)
+    """WITH c AS (SELECT p_partkey, p_size > 40 AS sens, p_size % 7 = 0 AS route, p_size % 5 = 0 AS db, coalesce(n, 0) AS dep, p_size % 10 AS cx FROM part LEFT JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) % 5 AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey),
+ p AS (SELECT p_partkey, CASE WHEN cx >= 6 THEN 2 WHEN cx >= 3 THEN 1 ELSE 0 END + CASE WHEN dep >= 3 THEN 2 WHEN dep >= 1 THEN 1 ELSE 0 END + CASE WHEN route THEN 2 ELSE 0 END + CASE WHEN db THEN 1 ELSE 0 END + CASE WHEN sens THEN 2 ELSE 0 END AS x FROM c)
  SELECT p_partkey, CASE WHEN x >= 4 THEN 'high' WHEN x >= 2 THEN 'medium' ELSE 'low' END AS severity FROM p"""
 )
 def gap_severities(spark, d):
-    n = read(spark, d, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("dependents"), F.count_if(F.col("l_returnflag") == "R").alias("findings"))
-    p = read(spark, d, "part").join(n, F.col("l_partkey") == F.col("p_partkey"), "left").fillna(0, ["dependents", "findings"])
-    return SC.gap_severity(p.withColumn("sensitive", F.col("p_size") > 40).withColumn("complexity", F.col("p_size") % 20)).select("p_partkey", "severity")
+    n = read(spark, d, "lineitem").groupBy("l_partkey").agg((F.countDistinct("l_suppkey") % 5).alias("dependents"))
+    p = read(spark, d, "part").join(n, F.col("l_partkey") == F.col("p_partkey"), "left").fillna(0, ["dependents"])
+    size = F.col("p_size")
+    return SC.gap_severity(p.withColumns({"sensitive": size > 40, "complexity": size % 10, "route": size % 7 == 0, "database": size % 5 == 0})).select("p_partkey", "severity")

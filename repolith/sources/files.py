@@ -48,7 +48,9 @@ def discover(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, max_fil
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([top, *(f"{top}/{h}" for h in hidden)])
     base = root.rstrip("/").removeprefix("file:")
     d = raw.withColumn("path", F.regexp_replace("path", "^(file:)?/*", "/")).withColumn("path", F.expr(f"substring(path, {len(base) + 2})"))
-    return text_files(d.select("path", "content"), max_bytes).orderBy("path").limit(max_files)
+    kept = text_files(d.select("path", "content"), max_bytes)
+    # the first paths are picked without their contents
+    return kept.join(kept.select("path").orderBy("path").limit(max_files), "path", "left_semi")
 
 
 def text_files(d: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -56,7 +58,7 @@ def text_files(d: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     folders = F.split("path", "/")
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     keep = ~F.arrays_overlap(folders, F.array(*[F.lit(x) for x in IGNORED_DIRECTORIES])) & ~basename(F.col("path")).isin(*IGNORED_FILES) & ~ext.isin(*BINARY_EXTENSIONS)
-    d = d.where(keep & (F.length("content") <= max_bytes) & (F.instr(F.hex(F.substring("content", 1, 8192)), "00") % 2 == 0))
+    d = d.where(keep & (F.length("content") <= max_bytes) & ~F.hex(F.substring("content", 1, 8192)).rlike("^(?:..)*?00"))
     text = F.decode("content", "UTF-8")
     return d.select("path", language(F.col("path")).alias("language"), is_test(F.col("path")).alias("is_test"), F.length("content").alias("bytes"), F.size(F.split(text, "\r?\n")).alias("loc"), content_hash(F.col("content")).alias("content_hash"), text.alias("content"))
 
@@ -67,6 +69,14 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select(*rest, F.posexplode(F.split("content", "\r?\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
+def lines_around(files: DataFrame) -> DataFrame:
+    """``lines`` with the ``next`` line and the five lines ``around`` it, taken within a file's own row."""
+    rest = [c for c in files.columns if c != "content"]
+    d = files.select(*rest, F.split("content", "\r?\n").alias("_all"))
+    one = lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"), F.get("_all", i + 1).alias("next"), F.array_join(F.slice("_all", F.greatest(i - 3, F.lit(0)) + 1, F.lit(5)), "\n").alias("around"))
+    return d.select(*rest, F.inline(F.transform("_all", one)))
+
+
 def repository_stats(files: DataFrame) -> DataFrame:
     """(language, files, loc) with totals on each row, largest language first."""
     return files.groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.sum("loc").alias("loc"), F.count_if("is_test").alias("tests")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("loc"), "language")))

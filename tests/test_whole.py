@@ -36,15 +36,15 @@ def walk(start, step, depth):
 
 def test_whole_tables(spark, tables):
     e = links()
-    assert {tuple(r) for r in P._whole_links(spark, tables).collect()} == e
+    assert {tuple(r) for r in P._links(spark, tables).collect()} == e
     into = {n: sum(b == n for _, b in e) for n in {b for _, b in e}}
-    assert [tuple(r) for r in P.whole_hotspots(spark, tables).collect()] == sorted(into.items(), key=lambda x: (-x[1], x[0]))[:10]
+    assert [tuple(r) for r in P.hotspots(spark, tables).collect()] == sorted(into.items(), key=lambda x: (-x[1], x[0]))[:10]
     want = set()
     for n in ("n1", "n2", "n3"):
         seen = walk(n, lambda x: {a for a, b in e if b == x}, 3)
         want |= {(n, x, k, min(b for a, b in e if a == x and seen.get(b) == k - 1)) for x, k in seen.items() if k}
-    assert {tuple(r) for r in P.whole_reachable_dependents(spark, tables).collect()} == want
+    assert {tuple(r) for r in P.reachable_dependents(spark, tables).collect()} == want
     ends = {"n1", "n2", "n3", "s1"}
     want = {(c, x, k) for c in ("c1", "c2") for x, k in walk(c, lambda x: {b for a, b in e if a == x}, 4).items() if x in ends}
-    assert {tuple(r) for r in P.whole_attack_paths(spark, tables).collect()} == want and max(k for _, _, k in want) == 4
-    assert {tuple(r) for r in P.whole_dependency_diff(spark, tables).collect()} == {(1, "updated"), (2, "removed"), (3, "added")}
+    assert {tuple(r) for r in P.attack_paths(spark, tables).collect()} == want and max(k for _, _, k in want) == 4
+    assert {tuple(r) for r in P.dependency_diff(spark, tables).collect()} == {(1, "updated"), (2, "removed"), (3, "added")}
