@@ -25,7 +25,8 @@ U = np.uint64
 BITS, PROBES, LEVELS = 8, 5, 40
 #: N-grams a shard is planned for.
 SHARD = 1 << 20
-BROADCAST_BYTES = 256 << 20
+#: Largest filter that is broadcast; measured up to 67 MB, which takes a driver of 1.3 GB.
+BROADCAST_BYTES = 96 << 20
 #: Most frequent words whose exact counts are broadcast (16 bytes each); the rest is joined.
 FREQUENT = 1 << 17
 #: Weight of the unigram distribution in the bigram's (Dirichlet smoothing).

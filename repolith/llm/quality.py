@@ -14,11 +14,10 @@ from pyspark.sql import functions as F
 from repolith.llm.common import staged, text_of
 
 WINDOW = 3
-ITERATIONS = 12
-#: Bounds of the estimates.  Junk comes in unrelated kinds, so one rule finds a part
-#: of the bad documents: more than MAX_B would let good votes of the rules for other
-#: kinds outweigh a sure bad vote.  a: P(vote good | good), b: P(vote bad | bad).
-MAX_A, MIN_B, MAX_B = 0.999, 0.1, 0.3
+ITERATIONS = 25
+#: Bounds that keep the estimates of a, P(vote good | good), and b, P(vote bad | bad),
+#: off 0 and 1; a stays on the better side of a coin, so good and bad don't change places.
+LEAST_A, MAX_A, MIN_B, MAX_B = 0.6, 0.999, 0.01, 0.95
 
 
 #: Space and 0x09-0x0D, which separate words.
@@ -124,7 +123,7 @@ def estimate(votes: DataFrame, names: list[str], iterations: int = ITERATIONS) -
             break
         prior = min(0.99, max(0.01, (r["good"] + 8) / (r["all"] + 10)))
         right = {x: ((r[f"{x}_g1"] + 1) / (r[f"{x}_g1"] + r[f"{x}_g0"] + 1), (r[f"{x}_b0"] + 1) / (r[f"{x}_b0"] + r[f"{x}_b1"] + 4)) for x in names}
-        acc = {x: (min(MAX_A, max(0.6, a)), min(MAX_B, max(MIN_B, b))) for x, (a, b) in right.items()}
+        acc = {x: (min(MAX_A, max(LEAST_A, a)), min(MAX_B, max(MIN_B, b))) for x, (a, b) in right.items()}
     return prior, acc
 
 

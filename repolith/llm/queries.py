@@ -91,5 +91,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CLEAN = """regexp_extract_all(translate(lower(coalesce(text, '')), '.,;:!?"''()[]{}', ''), '[^\\x20\\x09-\\x0D]+')"""
+
+NEAR_DUPLICATES = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+ t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS x, any_value(b.n) AS y FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (x + y - k) UNION ALL SELECT b, a FROM p WHERE 100 * k >= 80 * (x + y - k)),
+ r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b), m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+ SELECT doc_id, len(s) AS n_shingles, least AS component_id FROM s JOIN m ON m.a = s.doc_id"""
+
+LEAKS = f"""WITH items AS (SELECT item_id, {_CLEAN} AS w FROM benchmark), docs AS (SELECT doc_id, {_CLEAN} AS w FROM documents),
+ i AS (SELECT item_id, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS j FROM items WHERE len(w) >= 4), d AS (SELECT doc_id, len(w) AS dn, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS k FROM docs),
+ m AS (SELECT doc_id, item_id, k - j AS shift, j, n, dn FROM d JOIN i USING (w)), g AS (SELECT doc_id, item_id, shift FROM m GROUP BY ALL HAVING 100 * count(*) >= 80 * least(20, any_value(n))),
+ x AS (SELECT m.*, count(*) OVER (PARTITION BY doc_id, item_id, shift) AS n_matched, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j RANGE BETWEEN CURRENT ROW AND (least(20, n) - 1) FOLLOWING) AS window_ FROM m JOIN g USING (doc_id, item_id, shift)),
+ y AS (SELECT doc_id, item_id, shift AS first_word, n AS n_item_words, n_matched, max(window_) AS best_window FROM x WHERE least(n, dn - shift) - greatest(0, -shift) >= least(20, n) GROUP BY ALL HAVING 100 * max(window_) >= CASE WHEN n < 8 THEN 100 ELSE 80 END * least(20, n))
+ SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY best_window DESC, n_matched DESC, first_word) = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the two operators that it can express in full, by plain joins of all words."""
+    return {"op5_jaccard_join": NEAR_DUPLICATES, "op6_decontamination": LEAKS}
