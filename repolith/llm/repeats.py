@@ -78,8 +78,8 @@ def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return r, first - offs[r], count, m - offs[r], h[m], whole
 
 
-#: Arrays of a packed row: four hash bytes, six of the stretch's, document (as differences), row (0 but for repeated ids), place, back and count.
-_KINDS = (("h", np.uint32), ("s", np.uint32), ("t", np.uint16), ("doc", np.int64), ("row", np.int64), ("m", np.int32), ("back", np.int8), ("n", np.int8))
+#: Arrays of a packed row: four hash bytes, eight of the stretch's, document (as differences), row (0 but for repeated ids), place, back and count.
+_KINDS = (("h", np.uint32), ("s", np.uint32), ("t", np.uint32), ("doc", np.int64), ("row", np.int64), ("m", np.int32), ("back", np.int8), ("n", np.int8))
 
 
 def _spread(docs: DataFrame, shards: int) -> DataFrame:
