@@ -126,6 +126,27 @@ def neutralize_injection(text: Column) -> Column:
     return F.regexp_replace(t, r"(?i)</?(?:system|instructions?|prompt)>", "[tag-removed]")
 
 
+#: Fixed value: what ends a cut text.
+CUT_NOTE = "\n\n[... evidence truncated to fit the context budget ...]"
+
+
+def truncate(text: Column, most: int) -> Column:
+    """At most ``most`` characters and a note, cut at the last line break if that is in the second half."""
+    head = F.left(text, F.lit(most))
+    back = F.instr(F.reverse(head), "\n")
+    at = F.length(head) - back
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.when((back > 0) & (at > most * 0.5), F.left(head, at)).otherwise(head), F.lit(CUT_NOTE)))
+
+
+def excerpt(text: Column, line: Column, radius: int = 25) -> Column:
+    """(text, first_line, last_line): numbered lines around a line, or around the first one for a null line."""
+    all_, centre = F.split(text, "\n"), F.coalesce(line, F.lit(1))
+    first, last = F.greatest(F.lit(1), centre - radius), F.least(F.size(all_), centre + radius)
+    number = lambda n: F.when(F.length(n) >= 5, n).otherwise(F.lpad(n, 5, " "))
+    rows = F.transform(F.slice(all_, first, F.greatest(last - first + 1, F.lit(0))), lambda x, i: F.concat(number((first + i).cast("string")), F.lit(" | "), x))
+    return F.struct(F.array_join(rows, "\n").alias("text"), first.alias("first_line"), last.alias("last_line"))
+
+
 def complexity_of(text: Column) -> Column:
     """One more than the branch words of a file; an operator counts only between word characters."""
     edge = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"

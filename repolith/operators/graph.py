@@ -94,3 +94,47 @@ def resolved_imports(specs: DataFrame, known: DataFrame, extensions: tuple[str,
     cand = specs.select("path", "specifier", F.posexplode(F.array(*[F.concat(base, F.lit(e)) for e in extensions])).alias("pos", "target"))
     met = cand.join(known.select(F.col("path").alias("target")), "target", "left_semi")
     return met.groupBy("path", "specifier").agg(F.min_by("target", "pos").alias("target"))
+
+
+#: Endings that a relative import may leave out.
+IMPORT_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.js", "/__init__.py")
+
+
+def package_of(specifier: Column, language: Column) -> Column:
+    """The package of an import from outside, null for one from within (``.``, ``@/`` and ``~/``)."""
+    scoped = F.when(specifier.startswith("@"), F.substring_index(specifier, "/", 2)).otherwise(F.substring_index(specifier, "/", 1))
+    inner = specifier.rlike(r"^(?:\.|[@~]/)") | (specifier == "")
+    return F.when(~inner, F.when(language == "python", F.substring_index(specifier, ".", 1)).otherwise(scoped))
+
+
+def built_edges(files: DataFrame, imports: DataFrame, routes: DataFrame, uses: DataFrame, calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Edges (type, from_key, to_key, confidence, line) from what parsers found; of equal ones the first by line.
+
+    files: (path, language, is_test); imports: (path, specifier, line, names); routes:
+    (path, method, route, line); uses: (path, target, via, line); calls: (path, enclosing,
+    receiver, callee, line); symbols: (path, name).  A call goes to an imported name, or to
+    an imported receiver's member (probable), or to a symbol of its own file; else it is no
+    edge.  Of several imports that bring one name the first by target counts.
+    """
+    own = imports.join(files.select("path", "language"), "path").withColumn("package", package_of(F.col("specifier"), F.col("language")))
+    edge = lambda d, kind, source, target, confidence="certain": d.select(F.lit(kind).alias("type"), source.alias("from_key"), target.alias("to_key"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).alias("confidence"), "line")
+    path = F.col("path")
+    out = edge(own.where("package is not null"), "depends_on", path, F.concat(F.lit("pkg:"), "package"))
+    inner = own.where("package is null")
+    found = inner.join(resolved_imports(inner.select("path", "specifier").distinct(), files.select("path"), IMPORT_ENDINGS), ["path", "specifier"])
+    out = out.unionByName(edge(found, "imports", path, F.col("target")))
+    plain = files.where("not is_test").select(F.col("path").alias("target"))
+    tests = found.join(files.where("is_test").select("path"), "path", "left_semi").join(plain, "target", "left_semi")
+    out = out.unionByName(edge(tests, "tests", path, F.col("target")))
+    out = out.unionByName(edge(routes, "exposes_api", path, F.concat(F.lit("api:"), "method", F.lit(" "), "route")))
+    out = out.unionByName(edge(uses, "uses_database", path, F.concat(F.lit("db:"), "target"), F.when(F.col("via") == "client", "probable").otherwise("certain")))
+    brought = found.select("path", "target", F.explode("names").alias("name")).groupBy("path", "name").agg(F.min("target").alias("target"))
+    by = lambda name, target: brought.select("path", F.col("name").alias(name), F.col("target").alias(target))
+    local = symbols.select("path", F.col("name").alias("callee"), F.lit(True).alias("_local")).distinct()
+    c = calls.join(by("receiver", "_member"), ["path", "receiver"], "left").join(by("callee", "_called"), ["path", "callee"], "left").join(local, ["path", "callee"], "left")
+    at = F.coalesce("_member", "_called", F.when(F.col("receiver").isNull() & F.col("_local"), F.col("path")))
+    source = F.when(F.col("enclosing").isNotNull(), F.concat("path", F.lit("#"), "enclosing")).otherwise(F.col("path"))
+    c = c.withColumn("_at", at).where("_at is not null")
+    out = out.unionByName(edge(c, "calls", source, F.concat("_at", F.lit("#"), "callee"), F.when(F.col("_member").isNotNull(), "probable").otherwise("certain")))
+    first = F.min_by(F.struct("confidence", "line"), F.struct("line", "confidence"))
+    return out.groupBy("type", "from_key", "to_key").agg(first.alias("_f")).select("type", "from_key", "to_key", "_f.*")

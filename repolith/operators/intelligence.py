@@ -162,6 +162,80 @@ def finding_states(stored: DataFrame, found: DataFrame) -> DataFrame:
     return old.select("fingerprint", status.alias("status"), "first_seen", F.lit(False).alias("is_new")).unionByName(new)
 
 
+def affected(reached: DataFrame, origins: DataFrame, typed: DataFrame, files: DataFrame) -> DataFrame:
+    """(origin, part, label, file, direct): the routes, databases, tests, components and untested files that a change reaches.
+
+    reached: (origin, node, ...); typed: edges (type, from_key, to_key); files: (path).
+    An entry is direct where it belongs to the origin itself; of a component the label is
+    its key and ``file`` its least file, and it is direct if the origin is in it.
+    """
+    hit = origins.select("origin", F.col("origin").alias("node")).unionByName(reached.select("origin", "node")).distinct()
+    own = F.col("node") == F.col("origin")
+    out = None
+    for part, kind in (("route", "exposes_api"), ("database", "uses_database")):
+        links = typed_links(typed, kind).withColumnRenamed("file", "node")
+        rows = hit.join(links, "node").select("origin", F.lit(part).alias("part"), "label", F.col("node").alias("file"), own.alias("direct"))
+        out = rows if out is None else out.unionByName(rows)
+    tests = typed_links(typed, "tests").select(F.col("file").alias("test"), F.col("label").alias("node"))
+    met = hit.join(tests, "node")
+    rows = met.groupBy("origin", F.lit("test").alias("part"), F.col("test").alias("label")).agg(F.min("node").alias("file"), F.bool_or(own).alias("direct"))
+    known = files.select(F.col("path").alias("node"), P.component_key(P.component_root(F.col("path"))).alias("component"), (P.role(F.col("path")) == "test").alias("_test"))
+    named = hit.join(known, "node")
+    parts = named.groupBy("origin", F.lit("component").alias("part"), F.col("component").alias("label")).agg(F.min("node").alias("file"), F.bool_or(own).alias("direct"))
+    bare = named.where("not _test").join(tests.select("node").distinct(), "node", "left_anti").select("origin", F.lit("untested").alias("part"), F.col("node").alias("label"), F.col("node").alias("file"), own.alias("direct"))
+    return out.unionByName(rows).unionByName(parts).unionByName(bare)
+
+
+def history_signals(origins: DataFrame, commits: DataFrame, findings: DataFrame, last: int = 500, churn: int = 5, bad: int = 3) -> DataFrame:
+    """(origin, commits, findings, high_churn, recurring): what the last ``last`` commits and open findings say of files.
+
+    commits: (sha, authored, paths); findings: (path, severity).
+    """
+    recent = commits.orderBy(F.desc("authored"), F.desc("sha")).limit(last).select("sha", F.explode(F.array_distinct("paths")).alias("origin"))
+    a = recent.groupBy("origin").agg(F.count(F.lit(1)).alias("commits"))
+    b = findings.groupBy(F.col("path").alias("origin")).agg(F.count(F.lit(1)).alias("findings"))
+    d = origins.join(a, "origin", "left").join(b, "origin", "left").fillna(0, ["commits", "findings"])
+    return d.withColumns({"high_churn": F.col("commits") >= churn, "recurring": F.col("findings") >= bad})
+
+
+def change_origins(changes: DataFrame, files: DataFrame, most: int = 50) -> DataFrame:
+    """(change, origin, resolved): the files of each change (change, paths), in their order, the first ``most``; an unknown file is not resolved."""
+    d = changes.select("change", F.posexplode(F.slice(F.array_distinct("paths"), 1, most)).alias("pos", "origin"))
+    return d.join(files.select(F.col("path").alias("origin"), F.lit(True).alias("resolved")), "origin", "left").select("change", "pos", "origin", F.coalesce("resolved", F.lit(False)).alias("resolved"))
+
+
+def change_preview(changes: DataFrame, files: DataFrame, imports: DataFrame) -> DataFrame:
+    """(change, node, depth, origins): what depends on the files of each change but is none of them, at its least depth.
+
+    All files of all changes are followed in one pass, each file once.
+    """
+    named = change_origins(changes, files)
+    sources = named.where("resolved").select("change", "origin")
+    reached = graph.reachable(imports, sources.select("origin").distinct(), 3, BLAST_NODES)
+    d = sources.join(reached.select("origin", "node", "depth"), "origin").groupBy("change", "node").agg(F.min("depth").alias("depth"), F.count(F.lit(1)).alias("origins"))
+    inside = changes.select("change", F.explode(F.array_distinct("paths")).alias("node"))
+    return d.join(inside, ["change", "node"], "left_anti")
+
+
+#: Fixed value: files that a program starts from.
+ENTRY = r"(?:^|/)(?:index|main|app|server)\.[tj]sx?$|(?:^|/)app/layout\.tsx$"
+
+
+def architecture(files: DataFrame, imports: DataFrame, names: int = 15, entries: int = 10, hot: int = 8) -> DataFrame:
+    """(part, name, members, n): layers with their first files, entry points and most imported files, by name."""
+    kind = P.role(F.col("path"))
+    layer = F.when(kind == "test", "Tests").when(kind == "route", "API").when(kind == "component", "Frontend").otherwise(P.layer(F.col("path")))
+    d = files.select("path", layer.alias("layer")).where("layer <> 'Other'")
+    d = d.withColumn("_k", F.row_number().over(Window.partitionBy("layer").orderBy("path")))
+    first = d.where(F.col("_k") <= names).groupBy("layer").agg(F.array_sort(F.collect_list("path")).alias("members"))
+    sizes = d.groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
+    layers_ = sizes.join(first, "layer").select(F.lit("layer").alias("part"), F.col("layer").alias("name"), "members", "n")
+    none = F.array().cast("array<string>")
+    starts = files.where(F.col("path").rlike(ENTRY)).orderBy("path").limit(entries).select(F.lit("entry").alias("part"), F.col("path").alias("name"), none.alias("members"), F.lit(0).cast("long").alias("n"))
+    spots = graph.hotspots(imports, hot).select(F.lit("hotspot").alias("part"), F.col("node").alias("name"), none.alias("members"), F.col("dependents").alias("n"))
+    return layers_.unionByName(starts).unionByName(spots)
+
+
 def recommendations(d: DataFrame, key: str = "repo") -> DataFrame:
     """(key, id, weight) by thresholds over secrets, regressions, vulnerable, untested and files."""
     one = lambda when, name, weight: F.when(when, F.struct(F.lit(name).alias("id"), F.lit(weight).alias("weight")))

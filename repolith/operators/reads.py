@@ -88,3 +88,27 @@ def recent_requests(d: DataFrame, key: str, time: str, as_of: str, minutes: int
     """(key, n): how many requests of the last ``minutes``."""
     to = F.lit(as_of).cast("timestamp_ntz")
     return d.where((F.col(time) > to - F.expr(f"interval {minutes} minutes")) & (F.col(time) <= to)).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def guardian_overview(repos: DataFrame, deliveries: DataFrame, jobs: DataFrame, pulls: DataFrame, as_of: str, days: int = 7, rows: int = 15, best: int = 10) -> DataFrame:
+    """One row a repository (repo): the week's deliveries, its queue, and its riskiest pull requests.
+
+    deliveries: (repo, delivery, status, at); jobs: (repo, job, status, at); pulls: (repo,
+    pull, state, level, score, at).  delivery_ids, job_ids and pull_ids hold the latest ``rows`` and the
+    riskiest ``best``, in that order; risky counts the open ones of high or critical level
+    among the latter.
+    """
+    to = F.lit(as_of).cast("timestamp_ntz")
+    week = deliveries.where(F.col("at") >= to - F.expr(f"interval {days} days"))
+    a = week.groupBy("repo").agg(F.count(F.lit(1)).alias("deliveries"), F.count_if(F.col("status") == "processed").alias("processed"), F.count_if(F.col("status") == "failed").alias("failed"))
+    b = jobs.groupBy("repo").agg(F.count_if(F.col("status") == "queued").alias("queued"), F.count_if(F.col("status") == "running").alias("running"))
+
+    def first(d: DataFrame, key: str, most: int, *order: Column) -> DataFrame:
+        top = d.withColumn("_k", F.row_number().over(Window.partitionBy("repo").orderBy(*order, key))).where(F.col("_k") <= most)
+        return top.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", key))), lambda x: x[key]).alias(key + "_ids"), *([F.count_if((F.col("state") == "open") & F.col("level").isin("critical", "high")).alias("risky")] if key == "pull" else []))
+
+    d = repos.select("repo")
+    parts = (a, b, first(deliveries, "delivery", rows, F.desc("at")), first(jobs, "job", rows, F.desc("at")), first(pulls, "pull", best, F.desc("score"), F.desc("at")))
+    for x in parts:
+        d = d.join(x, "repo", "left")
+    return d.fillna(0, ["deliveries", "processed", "failed", "queued", "running", "risky"])

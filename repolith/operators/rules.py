@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from repolith.functions.scalars import fingerprint, redact_evidence, redact_secrets, round_confidence
 from repolith.operators import graph
 from repolith.sources import manifests
-from repolith.sources.files import basename, lines, lines_around
+from repolith.sources.files import basename, indent_nesting, lines, lines_around, nesting_depth
 
 HITS = 5
 EVIDENCE = 240
@@ -201,6 +201,7 @@ IMPORTS = (r"require\(\s*['\"](\.[^'\"]+)['\"]\s*\)", r"import\s+[^'\"]*from\s+[
 ENDINGS = ("", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".py", "/index.js", "/index.ts", "/__init__.py")
 HIGH_RISK = r"(?i)payment|billing|charge|invoice|auth|login|session|token|password|crypto|permission|access|admin|security|migration|order|checkout|transaction"
 BRANCHES_MOST, LINES_LEAST = 25, 40
+NESTING, NESTING_MEDIUM = 5, 7
 
 
 def error_handling(files: DataFrame) -> DataFrame:
@@ -233,10 +234,15 @@ def error_handling(files: DataFrame) -> DataFrame:
 
 
 def structure(files: DataFrame) -> DataFrame:
-    """Files of many branches, and variables of JavaScript and TypeScript that their file names once; nesting depth is not built."""
+    """Files of many branches, and variables of JavaScript and TypeScript that their file names once, and deep nesting: of blanks in Python, of braces elsewhere."""
     d = files.where(F.col("language").isin(*CODE) & ~F.col("is_test"))
     branchy = d.where(F.regexp_count("content", F.lit(BRANCHES)) + 1 > BRANCHES_MOST)
     rows = _row(branchy, "quality/high-complexity", "low", 0.7, F.concat(F.lit("high-complexity:"), "path"))
+    py = F.col("language").isin(*PY)
+    sized = d.where(py).withColumn("_n", indent_nesting(F.col("content"))).unionByName(d.where(~py).withColumn("_n", nesting_depth(F.col("content"))))
+    deep = sized.where(F.col("_n.depth") >= NESTING).withColumn("line", F.col("_n.line"))
+    at = F.get(F.split("content", "\r?\n"), F.col("line") - 1)
+    rows = rows.unionByName(_row(deep, "quality/deep-nesting", F.when(F.col("_n.depth") >= NESTING_MEDIUM, "medium").otherwise("low"), 0.9, F.concat(F.lit("deep-nesting:"), "path"), line="line", text=at))
     js = d.where(F.col("language").isin(*JS))
     # a piece from each declaration to the next; the lines before it are those of the pieces before
     pieces = js.select("path", F.posexplode(F.split("content", rf"(?=\b{DECLARED})")).alias("pos", "piece"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from repolith.functions import scalars as S
 from repolith.operators import reads as RD
-from repolith.plans.queries import FINDINGS, findings, query, read
+from repolith.plans.queries import AS_OF, FINDINGS, findings, query, read
 from repolith.plans.repository import FILES, files
 
 
@@ -127,3 +127,25 @@ def scalar_counts(spark, d):
 def usage_by_provider(spark, d):
     t = read(spark, d, "events").select("user_id", F.col("event_type").alias("status"), (F.col("event_id") % 1000).alias("t"))
     return t.groupBy("user_id", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("tokens"), S.median_rounded("t").alias("middle"))
+
+
+@query(
+    FINDINGS
+    + """, dl AS (SELECT repo, event_id AS delivery, ts AS sent, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type IN ('click', 'view') THEN 'processed' ELSE 'received' END AS status, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'running' ELSE 'done' END AS job FROM f),
+ w AS (SELECT repo, count(*) FILTER (sent >= TIMESTAMP '2024-01-24') AS deliveries, count(*) FILTER (sent >= TIMESTAMP '2024-01-24' AND status = 'processed') AS processed, count(*) FILTER (sent >= TIMESTAMP '2024-01-24' AND status = 'failed') AS failed, count(*) FILTER (job = 'queued') AS queued, count(*) FILTER (job = 'running') AS running FROM dl GROUP BY 1),
+ r AS (SELECT repo, string_agg(delivery, ',' ORDER BY sent DESC, delivery) AS latest FROM (SELECT * FROM dl QUALIFY row_number() OVER (PARTITION BY repo ORDER BY sent DESC, delivery) <= 15) GROUP BY 1),
+ p AS (SELECT 'repo' || (c_custkey % 20) AS repo, c_custkey AS pull, floor(c_acctbal / 100) AS score, c_custkey % 3 <> 0 AS open FROM customer QUALIFY row_number() OVER (PARTITION BY repo ORDER BY score DESC, c_nationkey DESC, pull) <= 10),
+ q AS (SELECT repo, string_agg(pull, ',' ORDER BY score DESC, pull) AS pulls, count(*) FILTER (open AND score >= 45) AS risky FROM (SELECT * FROM p) GROUP BY 1)
+ SELECT repo, deliveries, processed, failed, queued, running, latest, risky FROM w JOIN r USING (repo) LEFT JOIN q USING (repo)"""
+)
+def guardian_overviews(spark, d):
+    f = findings(spark, d)
+    kind = F.col("event_type")
+    sent = f.select("repo", F.col("event_id").alias("delivery"), F.when(kind == "error", "failed").when(kind.isin("click", "view"), "processed").otherwise("received").alias("status"), F.col("ts").alias("at"))
+    jobs = f.select("repo", F.col("event_id").alias("job"), F.when(kind == "signup", "queued").when(kind == "purchase", "running").otherwise("done").alias("status"), F.col("ts").alias("at"))
+    score = F.floor(F.col("c_acctbal") / 100)
+    pulls = read(spark, d, "customer").select(
+        F.concat(F.lit("repo"), (F.col("c_custkey") % 20).cast("string")).alias("repo"), F.col("c_custkey").alias("pull"), F.when(F.col("c_custkey") % 3 == 0, "closed").otherwise("open").alias("state"), S.risk_band(score).alias("level"), score.alias("score"), F.col("c_nationkey").alias("at")
+    )
+    o = RD.guardian_overview(f.select("repo").distinct(), sent, jobs, pulls, AS_OF)
+    return o.select("repo", "deliveries", "processed", "failed", "queued", "running", F.array_join("delivery_ids", ",").alias("latest"), "risky")

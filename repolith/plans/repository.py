@@ -386,3 +386,68 @@ def neutral_texts(spark, d):
 )
 def targeted_scanners(spark, d):
     return R.scanners_for(files(spark, d), "id")
+
+
+@query(
+    f"""{_REACH}, m AS (SELECT h.origin, h.node, f.id, f.path, h.node = h.origin AS own FROM hit h JOIN files f ON f.path = h.node), c AS (SELECT *, {ROLE} AS role, {ROOT} AS root FROM m)
+ SELECT origin, 'route' AS part, 'GET /x' || (id % 10) AS label, node AS file, own AS direct FROM m WHERE id % 3 = 0 UNION ALL SELECT origin, 'database', 't' || (id % 7), node, own FROM m WHERE id % 5 = 0
+ UNION ALL SELECT origin, 'test', test, min(node), bool_or(own) FROM m JOIN covers v ON v.path = m.node GROUP BY origin, test UNION ALL SELECT origin, 'component', {KEY} AS k, min(node), bool_or(own) FROM c GROUP BY origin, k
+ UNION ALL SELECT origin, 'untested', node, node, own FROM c WHERE role <> 'test' AND node NOT IN (SELECT path FROM covers)"""
+)
+def affected_parts(spark, d):
+    from repolith.operators import graph as G
+
+    f = files(spark, d)
+    edge = lambda rows, kind, to: rows.select(F.lit(kind).alias("type"), F.col("path").alias("from_key"), to.alias("to_key"))
+    number = lambda head, n: F.concat(F.lit(head), (F.col("id") % n).cast("string"))
+    tests = covers(spark, d).select(F.lit("tests").alias("type"), F.col("test").alias("from_key"), F.col("path").alias("to_key"))
+    typed = edge(f.where("id % 3 = 0"), "exposes_api", number("api:GET /x", 10)).unionByName(edge(f.where("id % 5 = 0"), "uses_database", number("db:t", 7))).unionByName(tests)
+    origins = f.select(F.col("path").alias("origin"))
+    return I.affected(G.reachable(imports(spark, d), origins, 3, I.BLAST_NODES), origins, typed, f)
+
+
+def changes(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as changes of the files of their parts."""
+    items = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("change"), F.col("l_partkey").alias("id"))
+    return items.join(files(spark, d).select("id", "path"), "id").groupBy("change").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+
+
+_CHANGED = f"{_REACH}, ch AS (SELECT DISTINCT l_orderkey AS change, path FROM lineitem JOIN files ON id = l_partkey)"
+
+
+@query(f"{_CHANGED} SELECT change, node, CAST(min(depth) AS INTEGER) AS depth, count(*) AS origins FROM ch JOIN hit ON hit.origin = ch.path WHERE depth > 0 AND (change, node) NOT IN (SELECT change, path FROM ch) GROUP BY change, node")
+def change_previews(spark, d):
+    return I.change_preview(changes(spark, d), files(spark, d), imports(spark, d))
+
+
+@query(
+    f"""{_CHANGED}, r AS (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500), a AS (SELECT path, count(*) AS n FROM ch JOIN r ON o_orderkey = change GROUP BY 1), b AS (SELECT path, count(*) AS n FROM hits GROUP BY 1)
+ SELECT f.path AS origin, coalesce(a.n, 0) AS commits, coalesce(b.n, 0) AS findings, coalesce(a.n, 0) >= 5 AS high_churn, coalesce(b.n, 0) >= 3 AS recurring FROM files f LEFT JOIN a USING (path) LEFT JOIN b USING (path)"""
+)
+def history_signals(spark, d):
+    when = read(spark, d, "orders").select(F.col("o_orderkey").alias("change"), F.col("o_orderdate").alias("authored"))
+    commits = when.join(changes(spark, d), "change", "left").withColumnRenamed("change", "sha")
+    return I.history_signals(files(spark, d).select(F.col("path").alias("origin")), commits, hits(spark, d))
+
+
+@query(
+    f"""{IMPORTS}, l AS (SELECT path, CASE {ROLE} WHEN 'test' THEN 'Tests' WHEN 'route' THEN 'API' WHEN 'component' THEN 'Frontend' ELSE {LAYER} END AS layer FROM files),
+ k AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY path) AS k FROM l WHERE layer <> 'Other'), e AS (SELECT path FROM files WHERE regexp_matches(path, {_re(I.ENTRY)}) ORDER BY path LIMIT 10), h AS (SELECT dst, count(*) AS n FROM imports GROUP BY 1 ORDER BY n DESC, dst LIMIT 8)
+ SELECT 'layer' AS part, layer AS name, string_agg(path, ',' ORDER BY path) FILTER (k <= 15) AS members, count(*) AS n FROM k GROUP BY layer UNION ALL SELECT 'entry', path, '', 0 FROM e UNION ALL SELECT 'hotspot', dst, '', n FROM h"""
+)
+def architecture(spark, d):
+    return I.architecture(files(spark, d), imports(spark, d)).withColumn("members", F.array_join("members", ","))
+
+
+_NOTE = "chr(10) || chr(10) || '[... evidence truncated to fit the context budget ...]'"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, 1 + doc_id % 60 AS c FROM documents), h AS (SELECT *, left(t, 400) AS h, string_split(t, chr(10)) AS l FROM d), b AS (SELECT *, length(h) - length(regexp_extract(h, '[^\\n]*$')) - 1 AS brk FROM h)
+ SELECT doc_id, sha256(CASE WHEN length(t) <= 400 THEN t WHEN brk > 200 THEN left(h, brk) || {_NOTE} ELSE h || {_NOTE} END) AS cut_sha256, greatest(1, c - 25) AS first_line, least(len(l), c + 25) AS last_line,
+ sha256(coalesce(array_to_string(list_transform(range(greatest(1, c - 25), least(len(l), c + 25) + 1), lambda i: lpad(CAST(i AS VARCHAR), 5, ' ') || ' | ' || l[i]), chr(10)), '')) AS excerpt_sha256 FROM b"""
+)
+def cut_texts(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    docs = read(spark, d, "documents").select("doc_id", S.truncate(t, 400).alias("cut"), S.excerpt(t, (1 + F.col("doc_id") % 60).cast("int")).alias("e"))
+    return docs.select("doc_id", F.sha2("cut", 256).alias("cut_sha256"), F.col("e.first_line").cast("long").alias("first_line"), F.col("e.last_line").cast("long").alias("last_line"), F.sha2("e.text", 256).alias("excerpt_sha256"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,9 +90,51 @@ def estimate_complexity(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\b(?:if|for|while|case|catch|elif|except)\b|&&|\|\||\?")) + 1
 
 
-def indent_depth(text: Column) -> Column:
-    """Greatest indentation in steps of four blanks."""
-    return F.array_max(F.transform(F.split(text, "\n"), lambda s: F.floor((F.length(s) - F.length(F.ltrim(s))) / 4)))
+_BLOCK = re.compile(r"/\*(?:/|[^\n]*?\*/)[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
+_REST = re.compile(r"//[^\n]*")
+_STRING = re.compile(r"(['\"`])(?:\\[^\n]|(?!\1)[^\\\n])*+\1")
+_CONTROL = re.compile(r"\b(?:if|else|for|while|do|switch|try|catch|finally)\b")
+_BARE_CONTROL = re.compile(r"\b(?:if|else|for|while|do|switch|try|catch|finally)\b\s*$")
+_BRACE = re.compile(r"[{}\n]")
+
+
+def _nesting(text: str) -> tuple[int, int]:
+    """Greatest depth of control blocks in braces and the first line that reaches it."""
+    plain = _STRING.sub('""', _REST.sub("", _BLOCK.sub(lambda m: "\n" * m.group().count("\n"), text)))
+    opened, depth, best, line, at, control = [], 0, (0, 0), 1, 0, False
+    for m in _BRACE.finditer(plain):
+        part, at = plain[at : m.start()], m.end()
+        control = control or bool(_CONTROL.search(part))
+        if m.group() == "{":
+            opened.append(control)
+            depth += control
+            if depth > best[0]:
+                best = depth, line
+            control = bool(_BARE_CONTROL.search(part))  # a brace right after the keyword leaves it in force
+        elif m.group() == "}":
+            depth -= opened.pop() if opened else False
+        else:
+            line, control = line + 1, False
+    return best
+
+
+def nesting_depth(text: Column) -> Column:
+    """(depth, line) of nested control blocks in braces, outside comments and strings; 0, 0 for none and for null.
+
+    Braces close what was opened last, so this is a stack over a file's own text.
+    """
+
+    def each(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_nesting(t or "") for t in texts], columns=["depth", "line"]).astype("int32")
+
+    return F.pandas_udf(each, "depth int, line int")(text)
+
+
+def indent_nesting(text: Column) -> Column:
+    """(depth, line): greatest indentation in steps of four blanks over lines of code, and the first line that has it; 0, 0 for none."""
+    own = F.transform(F.split(text, "\r?\n"), lambda s, i: F.struct(F.when(s.rlike(r"^\s*(?:#|$)"), 0).otherwise(F.floor(F.length(F.regexp_extract(s, r"^\s*", 0)) / 4)).cast("int").alias("depth"), (-i - 1).cast("int").alias("line")))
+    top = F.array_max(own)
+    return F.struct(top["depth"].alias("depth"), F.when(top["depth"] > 0, -top["line"]).otherwise(0).alias("line"))
 
 
 def test_framework(text: Column) -> Column:

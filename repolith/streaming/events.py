@@ -11,8 +11,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from repolith.sources import sinks
+
 ENVELOPE = "delivery_id string, event string, action string, repo string, sha string, number int, draft boolean, branch string, default_branch string, received_at timestamp"
 ZERO_SHA = "0" * 40
 
@@ -47,40 +50,119 @@ def windowed(events: DataFrame, ts: str = "ts", size: str = "1 hour", late: str
     return events.withWatermark(ts, late).groupBy(F.window(ts, size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-JOB_STATE = "status string, attempts int, locked_ms long"
-JOB_OUT = "job string, status string, attempts int"
+JOB_STATE = "status string, attempts int, locked_ms long, again boolean"
+JOB_OUT = "repo string, sha string, number int, status string, attempts int"
 LOCK_MS, MAX_ATTEMPTS = 15 * 60 * 1000, 3
+#: How long the state of a job that is over is kept.
+RETAIN_MS = 24 * 60 * 60 * 1000
+NEW_JOB = ("none", 0, 0, False)
+
+
+def _over(again: bool, status: str, attempts: int) -> tuple:
+    """A job that ends, or starts over where it was asked for again meanwhile."""
+    return ("queued", 0, 0, False) if again else (status, attempts, 0, False)
 
 
 def _advance(state: tuple, action: str, at: int) -> tuple:
-    """Next (status, attempts, locked) of a job; actions that don't apply change nothing."""
-    status, attempts, locked = state
-    if action == "enqueue" and status in ("none", "done", "failed", "cancelled"):
-        return "queued", 0, 0
+    """Next (status, attempts, locked, again) of a job; actions that don't apply change nothing."""
+    status, attempts, locked, again = state
+    if action == "enqueue":
+        return (status, attempts, locked, True) if status == "running" else state if status == "queued" else ("queued", 0, 0, False)
     if action == "claim" and (status == "queued" or status == "running" and at - locked >= LOCK_MS):
-        return ("running", attempts + 1, at) if attempts < MAX_ATTEMPTS else ("failed", attempts, 0)
+        return ("running", attempts + 1, at, again) if attempts < MAX_ATTEMPTS else _over(again, "failed", attempts)
     if action == "complete" and status == "running":
-        return "done", attempts, 0
+        return _over(again, "done", attempts)
     if action == "fail" and status == "running":
-        return ("queued" if attempts < MAX_ATTEMPTS else "failed"), attempts, 0
+        return ("queued", attempts, 0, again) if attempts < MAX_ATTEMPTS else _over(again, "failed", attempts)
     if action == "cancel" and status in ("queued", "running"):
-        return "cancelled", attempts, 0
+        return "cancelled", attempts, 0, False
     return state
 
 
-def job_states(actions: DataFrame) -> DataFrame:
-    """Streaming (job, status, attempts) from rows (job, action, at): the queue as a state per job.
+def _millis(at: pd.Timestamp) -> int:
+    return int(pd.Timestamp(at).timestamp() * 1000)
+
 
-    Enqueuing a queued job changes nothing; a lock of 15 minutes can be claimed
-    again; the third failure is final.
+def job_states(actions: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Streaming (repo, sha, number, status, attempts) from rows (repo, sha, number, action, at): the queue as a state per job.
+
+    Enqueuing a queued job changes nothing, a running one runs once more afterwards; a
+    lock of 15 minutes can be claimed again; the third failure is final.  Actions count in
+    the order they come in, part by part of a batch, so no key's rows are held together.
+    The state of a job that is over is dropped after a day, by the times of actions;
+    actions later than ``late`` are past the state kept.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else ("none", 0, 0)
-        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
-        for action, at in zip(rows["action"], rows["at"], strict=True):
-            now = _advance(tuple(now), action, int(pd.Timestamp(at).timestamp() * 1000))
-        state.update(now)
-        yield pd.DataFrame({"job": [key[0]], "status": [now[0]], "attempts": [now[1]]})
-
-    return actions.groupBy("job").applyInPandasWithState(step, JOB_OUT, JOB_STATE, "update", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now, last = state.get if state.exists else NEW_JOB, state.getCurrentWatermarkMs()
+        for rows in batches:
+            last = max(last, _millis(rows["at"].max()))
+            rows = rows.sort_values("at", kind="stable")
+            for action, at in zip(rows["action"], rows["at"], strict=True):
+                now = _advance(tuple(now), action, _millis(at))
+        state.update(tuple(now))
+        if now[0] not in ("queued", "running"):
+            state.setTimeoutTimestamp(last + RETAIN_MS)
+        yield pd.DataFrame({"repo": [key[0]], "sha": [key[1]], "number": [key[2]], "status": [now[0]], "attempts": [now[1]]}).astype({"number": "Int32"})
+
+    return actions.withWatermark("at", late).groupBy("repo", "sha", "number").applyInPandasWithState(step, JOB_OUT, JOB_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def claims(jobs: DataFrame, now: Column, most: int = 5) -> DataFrame:
+    """What a worker takes up at ``now``: the first ``most`` jobs that wait or whose lock is stale, with one attempt more.
+
+    jobs: (id, status, priority, created, locked, attempts).  A job without attempts left fails instead.
+    """
+    stale = (F.col("status") == "running") & (F.unix_millis(now.cast("timestamp")) - F.unix_millis(F.col("locked").cast("timestamp")) >= LOCK_MS)
+    d = jobs.where((F.col("status") == "queued") | stale).orderBy(F.desc("priority"), "created", "id").limit(most)
+    left = F.col("attempts") < MAX_ATTEMPTS
+    return d.withColumn("status", F.when(left, "running").otherwise("failed")).withColumn("attempts", F.when(left, F.col("attempts") + 1).otherwise(F.col("attempts")))
+
+
+def rate_limited(requests: DataFrame, most: int, window_ms: int, late: str = "1 minute") -> DataFrame:
+    """Streaming (key, request, ok, retry_ms) from rows (key, request, at): ``most`` requests a key and window.
+
+    A key's window starts with its first request after the last window, not with the
+    clock.  Requests count in the order they come in; those later than ``late`` are left
+    out, and a key's state goes when its window has passed.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ends, n = state.get if state.exists else (0, 0)
+        for rows in batches:
+            rows, out = rows.sort_values(["at", "request"], kind="stable"), []
+            for at in map(_millis, rows["at"]):
+                if at >= ends:
+                    ends, n = at + window_ms, 0
+                n += n < most + 1
+                out.append((n <= most, 0 if n <= most else ends - at))
+            ok, wait = zip(*out, strict=True) if out else ((), ())
+            yield pd.DataFrame({"key": [key[0]] * len(rows), "request": rows["request"].to_numpy(), "ok": ok, "retry_ms": wait})
+        state.update((ends, n))
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs()) + window_ms)
+
+    kinds = dict(requests.dtypes)
+    out = f"key {kinds['key']}, request {kinds['request']}, ok boolean, retry_ms long"
+    return requests.withWatermark("at", late).groupBy("key").applyInPandasWithState(step, out, "ends long, n int", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def record_scans(scans: DataFrame, snapshots: str, log: str, checkpoint: str) -> StreamingQuery:
+    """Each micro-batch of scans (repo, scan, finished, ...) as snapshots and as events of a log, until no more is there.
+
+    Both tables are written by the number of the batch, so a batch that runs again
+    after a failure takes the place of what it wrote before.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("batch", F.lit(number))
+        sinks.replace_snapshot(rows, snapshots, "batch")
+        event = F.concat_ws(":", F.lit("scan"), "repo", "scan")
+        sinks.replace_snapshot(rows.select("repo", F.lit("scan.completed").alias("kind"), event.alias("dedupe_key"), F.col("finished").alias("at"), "batch"), log, "batch")
+
+    return scans.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

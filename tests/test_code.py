@@ -1,5 +1,8 @@
 """Detectors, manifests, files, graph and streams on small made-up inputs."""
 
+import datetime as dt
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,7 +129,94 @@ def test_webhooks(spark, tmp_path):
 
 
 def test_jobs():
-    s = ("none", 0, 0)
-    for action, at, want in (("enqueue", 0, "queued"), ("enqueue", 1, "queued"), ("claim", 2, "running"), ("claim", 3, "running"), ("claim", 2 + events.LOCK_MS, "running"), ("fail", 9, "queued"), ("claim", 10, "running"), ("fail", 11, "failed"), ("enqueue", 12, "queued"), ("cancel", 13, "cancelled")):
+    s = events.NEW_JOB
+    late = 2 + events.LOCK_MS
+    for action, at, want in (("enqueue", 0, "queued"), ("enqueue", 1, "queued"), ("claim", 2, "running"), ("claim", 3, "running"), ("claim", late, "running"), ("fail", 9, "queued"), ("claim", 10, "running"), ("fail", 11, "failed"), ("enqueue", 12, "queued"), ("cancel", 13, "cancelled")):
         s = events._advance(s, action, at)
         assert s[0] == want
+    # asked for again while it runs
+    for action, want in (("enqueue", "queued"), ("claim", "running"), ("enqueue", "running"), ("complete", "queued"), ("claim", "running"), ("complete", "done")):
+        s = events._advance(s, action, 20)
+        assert s[0] == want
+
+
+def streamed(spark, out, tmp_path, name, mode):
+    q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"c-{name}")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
+    return spark.table(name).collect()
+
+
+def source(spark, tmp_path, name, batches, schema):
+    """A stream that gives each list of rows as a micro-batch."""
+    folder = tmp_path / name
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(1.1)  # files come by their time
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_job_stream(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    one = [("r", "s", 1, "enqueue", at(0)), ("r", "s", 1, "enqueue", at(1)), ("r", "t", None, "enqueue", at(2)), ("r", "t", None, "cancel", at(3))]
+    two = [("r", "s", 1, "claim", at(4)), ("r", "s", 1, "fail", at(5)), ("r", "s", 1, "claim", at(6))]
+    stream = source(spark, tmp_path, "actions", [one, two], "repo string, sha string, number int, action string, at timestamp")
+    rows = streamed(spark, events.job_states(stream), tmp_path, "jobs", "update")
+    assert sorted((r["sha"], r["number"] or 0, r["status"], r["attempts"]) for r in rows) == [("s", 1, "queued", 0), ("s", 1, "running", 2), ("t", 0, "cancelled", 0)]
+
+
+def test_rate_limit_stream(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    one = [("a", 1, at(50)), ("a", 2, at(51)), ("a", 3, at(52)), ("b", 4, at(50))]
+    two = [("a", 5, at(59)), ("a", 6, at(59) + dt.timedelta(seconds=1))]
+    stream = source(spark, tmp_path, "requests", [one, two], "key string, request long, at timestamp")
+    rows = streamed(spark, events.rate_limited(stream, 2, 10_000), tmp_path, "limits", "append")
+    assert sorted((r["request"], r["ok"], r["retry_ms"]) for r in rows) == [(1, True, 0), (2, True, 0), (3, False, 8000), (4, True, 0), (5, False, 1000), (6, True, 0)]
+
+
+def test_recorded_scans(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    stream = source(spark, tmp_path, "scans", [[("r", 1, at)], [("r", 2, at), ("q", 3, at)]], "repo string, scan long, finished timestamp")
+    for _ in range(2):  # nothing is written twice
+        q = events.record_scans(stream, str(tmp_path / "snapshots"), str(tmp_path / "log"), str(tmp_path / "c"))
+        assert q.awaitTermination(60)
+    assert {r["scan"] for r in spark.read.parquet(str(tmp_path / "snapshots")).collect()} == {1, 2, 3}
+    assert sorted(r["dedupe_key"] for r in spark.read.parquet(str(tmp_path / "log")).collect()) == ["scan:q:3", "scan:r:1", "scan:r:2"]
+
+
+def test_claims(spark):
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    jobs = [(1, "queued", 0, at(1), None, 0), (2, "queued", 5, at(2), None, 1), (3, "running", 0, at(0), at(10), 1), (4, "running", 0, at(0), at(20), 1), (5, "done", 9, at(0), None, 1), (6, "running", 0, at(0), at(10), 3)]
+    d = spark.createDataFrame(jobs, "id long, status string, priority int, created timestamp, locked timestamp, attempts int")
+    got = events.claims(d, F.lit(at(25)), 4).collect()
+    assert [(r["id"], r["status"], r["attempts"]) for r in got] == [(2, "running", 2), (3, "running", 2), (6, "failed", 3), (1, "running", 1)]
+
+
+def test_nesting(spark):
+    texts = [
+        ("function f() {\n  if (a) {\n    for (;;) {\n      x = {b: {}};\n    }\n  }\n}\n", 2, 3),
+        ("/* if {\n while { */ if (a) {\n// for {\n}\nx = 'if {';\n", 1, 2),
+        ("if (a) { /* x */ if (b) {\n}\n}}} else {\n", 1, 1),
+        ("", 0, 0),
+        (None, 0, 0),
+        ("'" + "\\\\" * 5000 + "\nif (a) {" * 3000, 3000, 3001),
+    ]
+    d = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(texts)], "k int, t string")
+    got = {r["k"]: (r["n"]["depth"], r["n"]["line"]) for r in d.select("k", files.nesting_depth(F.col("t")).alias("n")).collect()}
+    assert got == {k: (a, b) for k, (_, a, b) in enumerate(texts)}
+    py = spark.createDataFrame([("def f():\n    if a:\n        b\n            # deep\n        c\n",), ("",)], "t string").select(files.indent_nesting(F.col("t")).alias("n")).collect()
+    assert [(r["n"]["depth"], r["n"]["line"]) for r in py] == [(2, 3), (0, 0)]
+
+
+def test_built_edges(spark):
+    known = spark.createDataFrame([("src/a.ts", "typescript", False), ("src/lib/b.ts", "typescript", False), ("tests/a.test.ts", "typescript", True), ("m.py", "python", False)], "path string, language string, is_test boolean")
+    imports = [("src/a.ts", "./lib/b", 1, ["go", "Box"]), ("src/a.ts", "@scope/pkg/sub", 2, []), ("src/a.ts", "lodash/fp", 4, []), ("src/a.ts", "lodash", 3, []), ("tests/a.test.ts", "../src/a", 1, ["a"]), ("m.py", "os.path", 1, []), ("m.py", "./none", 2, [])]
+    calls = [("src/a.ts", "run", None, "go", 7), ("src/a.ts", "run", None, "go", 6), ("src/a.ts", None, "Box", "open", 8), ("src/a.ts", None, None, "own", 9), ("src/a.ts", None, "x", "own", 10)]
+    got = G.built_edges(
+        known, spark.createDataFrame(imports, "path string, specifier string, line int, names array<string>"), spark.createDataFrame([("src/a.ts", "GET", "/x", 5)], "path string, method string, route string, line int"),
+        spark.createDataFrame([("src/a.ts", "users", "client", 6)], "path string, target string, via string, line int"), spark.createDataFrame(calls, "path string, enclosing string, receiver string, callee string, line int"), spark.createDataFrame([("src/a.ts", "own")], "path string, name string"),
+    ).collect()
+    assert {tuple(r) for r in got} == {
+        ("imports", "src/a.ts", "src/lib/b.ts", "certain", 1), ("depends_on", "src/a.ts", "pkg:@scope/pkg", "certain", 2), ("depends_on", "src/a.ts", "pkg:lodash", "certain", 3), ("depends_on", "m.py", "pkg:os", "certain", 1),
+        ("imports", "tests/a.test.ts", "src/a.ts", "certain", 1), ("tests", "tests/a.test.ts", "src/a.ts", "certain", 1), ("exposes_api", "src/a.ts", "api:GET /x", "certain", 5), ("uses_database", "src/a.ts", "db:users", "probable", 6),
+        ("calls", "src/a.ts#run", "src/lib/b.ts#go", "certain", 6), ("calls", "src/a.ts", "src/lib/b.ts#open", "probable", 8), ("calls", "src/a.ts", "src/a.ts#own", "certain", 9),
+    }

@@ -32,13 +32,14 @@ def test_quality_testing_and_dependencies(spark):
         ("quality/unused-variable", "src/payment.js", 2, "info"),
         ("quality/unused-variable", "src/payment.js", 4, "info"),
         ("quality/high-complexity", "src/busy.go", 1, "low"),
+        ("quality/deep-nesting", "src/busy.go", 13, "medium"),
         ("testing/test-without-assertions", "tests/lib.test.js", 1, "medium"),
         ("testing/untested-module", "src/payment.js", 1, "high"),
         ("testing/untested-module", "src/load.py", 1, "low"),
         ("testing/untested-module", "src/done.py", 1, "low"),
         ("dependency/vulnerable-package", "package.json", 1, "high"),
     }
-    assert len({r["fingerprint"] for r in got}) == len(got) == 13
+    assert len({r["fingerprint"] for r in got}) == len(got) == 14
     assert {r["evidence"] for r in got if r["rule_id"] == "quality/unused-variable"} == {"var", "let $a = 2; let _b = 3; const y = 4;"}
 
 
