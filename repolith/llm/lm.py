@@ -4,13 +4,15 @@ Counts are quantised to powers of two: an n-gram seen c times is put in the filt
 as (n-gram, 1) ... (n-gram, 1 + floor(log2 c)).  A lookup probes level after level
 until one is missing.  The filter is cut into shards by hash; a task of the build
 has one shard's n-grams, and all of them, whatever the size of the corpus.  Below
-BROADCAST_BYTES the shards are broadcast; a larger filter stays in the shared folder
-and the distinct probes of the texts are shuffled to the shards instead.
+BROADCAST_BYTES the shards are broadcast.  A larger filter stays in the shared folder:
+a slice of texts sends each shard one row of the distinct n-grams that it needs, 8
+bytes each, and gets one row of levels back, a byte each.  The n-grams that nearly
+every slice needs are at most FREQUENT and are broadcast with their levels.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ SHARD = 1 << 20
 #: Largest filter that is broadcast; measured up to 67 MB, which takes a driver of 1.3 GB.
 BROADCAST_BYTES = 96 << 20
 #: Most frequent words whose exact counts are broadcast (16 bytes each); the rest is joined.
+#: Also the most n-grams whose levels are broadcast beside a filter that is not.
 FREQUENT = 1 << 17
 #: Weight of the unigram distribution in the bigram's (Dirichlet smoothing).
 MU = 200.0
@@ -78,13 +81,18 @@ def places(h: np.ndarray, level: np.ndarray | int, bits: np.ndarray | int) -> It
         x = x + step
 
 
-def _shard_bits(hashes: list[bytes], counts: list[bytes]) -> bytes:
+def _merged(hashes: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a shard, ascending, and their exact counts."""
     h = np.concatenate([np.frombuffer(x, U) for x in hashes])
     c = np.concatenate([np.frombuffer(x, np.uint32) for x in counts]).astype(np.int64)
     order = np.argsort(h, kind="stable")
     h, c = h[order], c[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    h, levels = h[first], 1 + np.floor(np.log2(np.add.reduceat(c, first))).astype(np.int64)
+    return h[first], np.add.reduceat(c, first)
+
+
+def _bits(h: np.ndarray, c: np.ndarray) -> bytes:
+    levels = 1 + np.floor(np.log2(c)).astype(np.int64)
     size = 64 * (1 + int(levels.sum()) * BITS // 64)
     bits = np.zeros(size, bool)
     for level in range(1, int(levels.max()) + 1):
@@ -93,12 +101,23 @@ def _shard_bits(hashes: list[bytes], counts: list[bytes]) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def build(docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, bits) of the filter over all rows of ``docs``."""
+def _shard_bits(hashes: list[bytes], counts: list[bytes]) -> bytes:
+    return _bits(*_merged(hashes, counts))
+
+
+def _shard(hashes: list[bytes], counts: list[bytes], heavy_from: float) -> tuple[bytes, bytes, bytes]:
+    """Bits of a shard, its n-grams with ``heavy_from`` counts or more, and the levels that the bits give these."""
+    h, c = _merged(hashes, counts)
+    bits, heavy = _bits(h, c), h[c >= heavy_from]
+    return bits, heavy.tobytes(), Filter([(0, bits)], 1).levels(heavy).astype(np.uint8).tobytes()
+
+
+def build(docs: DataFrame, shards: int, heavy_from: float = float("inf")) -> DataFrame:
+    """(shard, bits, heavy, levels) of the filter over all rows of ``docs``; heavy: n-grams counted so often or more."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
-        done = lambda k: pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_shard_bits(*held.pop(k))], pa.binary())], ["shard", "bits"])
+        done = lambda k: pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in _shard(*held.pop(k), heavy_from))], ["shard", "bits", "heavy", "levels"])
         for batch in batches:
             for k, h, c in zip(*(batch.column(x).to_pylist() for x in ("shard", "hashes", "counts")), strict=True):
                 if held and k not in held:
@@ -109,24 +128,25 @@ def build(docs: DataFrame, shards: int) -> DataFrame:
         if held:
             yield done(next(iter(held)))
 
-    return _packed(docs, shards).repartition("shard").sortWithinPartitions("shard").mapInArrow(step, "shard int, bits binary")
+    return _packed(docs, shards).repartition("shard").sortWithinPartitions("shard").mapInArrow(step, "shard int, bits binary, heavy binary, levels binary")
 
 
 class Filter:
     """Shards of the filter laid side by side."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], shards: int):
+    def __init__(self, rows: Iterable[tuple[int, bytes]], shards: int, octets: dict[int, int] | None = None):
+        """octets: the shards' sizes, with which ``rows`` may come one by one."""
         self.shards = shards
         sizes = np.ones(shards, np.int64) * 8
-        for k, b in rows:
-            sizes[k] = 8 * len(b)
+        for k, size in (octets or {k: len(b) for k, b in rows}).items():
+            sizes[k] = 8 * size
         self.bits, self.first = sizes, np.concatenate([[0], np.cumsum(sizes)])
         self.data = np.zeros(int(self.first[-1]) // 8, np.uint8)
         for k, b in rows:
             self.data[self.first[k] // 8 : self.first[k + 1] // 8] = np.frombuffer(b, np.uint8)
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """Middle of the quantised count of each n-gram, 0 where level 1 is missing."""
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Level of each n-gram's quantised count, 0 where level 1 is missing."""
         level, left = np.zeros(len(h), np.int64), np.arange(len(h))
         for k in range(1, LEVELS):
             x = h[left]
@@ -139,7 +159,15 @@ class Filter:
             level[left] = k
             if not len(left):
                 break
-        return np.where(level > 0, np.exp2(level - 1) * np.where(level > 1, 1.42, 1.0), 0.0)
+        return level
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        return middle(self.levels(h))
+
+
+def middle(level: np.ndarray) -> np.ndarray:
+    """Middle of the counts that a level stands for."""
+    return np.where(level > 0, np.exp2(level - 1.0) * np.where(level > 1, 1.42, 1.0), 0.0)
 
 
 def log_probs(pair: np.ndarray, one: np.ndarray, before: np.ndarray, n: float, v: float) -> np.ndarray:
@@ -175,10 +203,11 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", broadcast_byte
     frequent = spark.sparkContext.broadcast((np.array([r["h"] for r in top], np.int64), np.array([r["c"] for r in top], np.int64)))
 
     shards = max(1, -(-n // SHARD))
-    lfbf = staged(build(train, shards), "filter")
+    lfbf = staged(build(train, shards, max(2.0, 2 * n / FREQUENT)), "filter")
     size = lfbf.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
     small = size <= broadcast_bytes
-    held = spark.sparkContext.broadcast(Filter([(r["shard"], bytes(r["bits"])) for r in lfbf.collect()], shards) if small else None)
+    octets = dict(lfbf.select("shard", F.octet_length("bits")).collect()) if small else {}
+    held = spark.sparkContext.broadcast(Filter(((r["shard"], r["bits"]) for r in lfbf.select("shard", "bits").toLocalIterator()), shards, octets) if small else None)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fh, fc = frequent.value
@@ -190,19 +219,18 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", broadcast_byte
                 k = np.minimum(np.searchsorted(fh, signed), max(0, len(fh) - 1))
                 hit = fh[k] == signed if len(fh) else np.zeros(len(signed), bool)
                 exact = np.where(hit, fc[k] if len(fh) else 0, 0)
-                ahead = np.concatenate([END, t[:-1]])
-                ahead[b[:-1]] = END
-                pairs = bigrams(t, b)
                 if small:
+                    pairs = bigrams(t, b)
                     one = held.value.counts(distinct)[which]
                     before = np.concatenate([[0.0], one[:-1]])
                     before[b[:-1]] = held.value.counts(END)[0]
                     score = np.add.reduceat(log_probs(held.value.counts(pairs), one, before, n, v), b[:-1])
                 else:
                     score = np.zeros(len(b) - 1)
-                probes = [np.zeros(0, U)] * 3 if small else [t, pairs, ahead]
                 base = np.where(hit[which], np.log10((exact[which] + 1.0) / (n + v + 1.0)), 0.0)
                 rows = len(b) - 1
+                # the first row of a slice carries all its words, where they are yet to be scored
+                carried = [[None] * rows] * 3 if small else [[x.tobytes()] + [None] * (rows - 1) for x in (distinct, which.astype(np.uint16 if len(distinct) <= 1 << 16 else np.uint32), b)]
                 # words that are not frequent go out as (text number, word, count)
                 rare = np.flatnonzero(~hit[which])
                 owner = np.searchsorted(b, rare, side="right") - 1
@@ -218,13 +246,14 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", broadcast_byte
                         pa.array(score),
                         _lists(distinct.view(np.int64)[pair[0][:, 1]], pair[0][:, 0], rows),
                         _lists(pair[1].astype(np.int64), pair[0][:, 0], rows),
-                        *(_lists(x.view(np.int64), np.repeat(np.arange(rows), np.diff(b))[: len(x)], rows) for x in probes),
+                        *(pa.array(x, pa.binary()) for x in carried),
                     ],
-                    ["batch", "row", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "times", "one", "pair", "before"],
+                    ["batch", "row", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "times", "words", "which", "bounds"],
                 )
 
-    schema = "batch long, row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>, one array<long>, pair array<long>, before array<long>"
-    out = d.select("doc_id", "text").mapInArrow(step, schema).withColumn("id", F.concat_ws(":", F.spark_partition_id().cast("string"), "batch", "row"))
+    schema = "batch long, row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>, words binary, which binary, bounds binary"
+    # a task reads far fewer than 2 ** 20 batches, and a batch holds fewer rows
+    out = d.select("doc_id", "text").mapInArrow(step, schema).withColumn("id", F.shiftleft(F.shiftleft(F.spark_partition_id().cast("long"), 20) + F.col("batch"), 20) + F.col("row"))
     out = staged(out, "scores")
     rare = out.select("id", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("id", F.col("x.rare").alias("h"), F.col("x.times").alias("k"))
     got = rare.join(words, "h", "left").select("id", "k", F.coalesce("c", F.lit(0)).alias("c"))
@@ -236,26 +265,90 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", broadcast_byte
     return full.drop("id")
 
 
+def _wanted(toks: np.ndarray, bounds: np.ndarray, heavy: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a slice that are not among the ascending ``heavy``, by shard and hash, and their shards."""
+    h = np.unique(np.concatenate([toks, bigrams(toks, bounds)]))
+    if len(heavy):
+        h = h[heavy[np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)] != h]
+    shard = (h >> U(40)).astype(np.int64) % shards
+    order = np.argsort(shard, kind="stable")
+    return h[order], shard[order]
+
+
 def _shuffled(texts: DataFrame, lfbf: DataFrame, shards: int, n: int, v: int) -> DataFrame:
-    """(id, score) with the filter left in shards: distinct probes go to their shard, counts come back by join.
+    """(id, score) with the filter left in shards: requests of slices go to the shards, levels come back.
 
-    A shard was planned for SHARD n-grams of the corpus, so a task's probes are about as many.
+    Rows stream past the one shard, and past the one slice, that a task holds, so its
+    memory does not grow with the requests.  An n-gram that is not heavy is in at most
+    one of 65536 tokens.
     """
+    top = lfbf.where(F.octet_length("heavy") > 0).select("heavy", "levels").collect()
+    h = np.frombuffer(b"".join(r["heavy"] for r in top), U)
+    q = np.frombuffer(b"".join(r["levels"] for r in top), np.uint8)
+    order = np.argsort(h)
+    heavy = texts.sparkSession.sparkContext.broadcast((h[order], q[order]))
+
+    def read(words: bytes, which: bytes, bounds: bytes) -> tuple[np.ndarray, np.ndarray]:
+        distinct = np.frombuffer(words, U)
+        return distinct[np.frombuffer(which, np.uint16 if len(distinct) <= 1 << 16 else np.uint32)], np.frombuffer(bounds, np.int64)
 
-    def look(probes: pa.Table, bits: pa.Table) -> pa.Table:
-        h = probes.column("h").to_numpy().view(U)
-        q = Filter([(r["shard"], r["bits"]) for r in bits.to_pylist()], shards).counts(h) if len(h) else np.zeros(0)
-        return pa.table({"h": pa.array(h.view(np.int64)), "q": pa.array(q)})
-
-    rows = texts.select("id", F.posexplode(F.arrays_zip("one", "pair", "before")).alias("pos", "x"))
-    role = [F.struct(F.lit(k).alias("role"), F.col(f"x.{c}").alias("h")) for k, c in enumerate(("one", "pair", "before"))]
-    probes = staged(rows.select("id", "pos", F.explode(F.array(*role)).alias("y")).select("id", "pos", "y.role", "y.h"), "probes")
-    distinct = probes.select("h").distinct().withColumn("shard", (F.shiftrightunsigned("h", 40) % shards).cast("int"))
-    counts = distinct.groupBy("shard").cogroup(lfbf.groupBy("shard")).applyInArrow(look, "h long, q double")
-    got = probes.join(staged(counts, "counts"), "h").groupBy("id", "pos").agg(*[F.max(F.when(F.col("role") == k, F.col("q"))).alias(c) for k, c in enumerate(("one", "pair", "before"))])
-    uni = (F.col("one") + 1.0) / (n + v + 1.0)
-    p = (F.least("pair", "one", "before") + MU * uni) / (F.col("before") + MU)
-    return got.groupBy("id").agg(F.sum(F.log10(p)).alias("score"))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                h, shard = _wanted(*read(r["words"], r["which"], r["bounds"]), heavy.value[0], shards)
+                if len(h):
+                    cut = np.flatnonzero(np.diff(shard)) + 1
+                    at = np.concatenate([[0], cut])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[at], pa.int32()), pa.array([r["id"]] * len(at), pa.int64()), pa.array([x.tobytes() for x in np.split(h, cut)], pa.binary())], ["shard", "slice", "data"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, None
+        for batch in batches:
+            found = []
+            for k, part, data in zip(*(batch.column(c) for c in ("shard", "slice", "data")), strict=True):
+                if k.as_py() != shard:
+                    shard, held = k.as_py(), Filter([], 1)
+                if part.is_valid:
+                    found.append((shard, part.as_py(), held.levels(np.frombuffer(data.as_buffer(), U)).astype(np.uint8).tobytes()))
+                else:
+                    held = Filter([(0, data.as_py())], 1)
+            columns = zip(*found, strict=True) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(columns, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "slice", "levels"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, known_levels = heavy.value
+        work, got = None, []
+
+        def done() -> pa.RecordBatch:
+            t, b = read(work["words"], work["which"], work["bounds"])
+            h = np.concatenate([known, _wanted(t, b, known, shards)[0]])
+            q = np.concatenate([known_levels, *(np.frombuffer(x, np.uint8) for x in got)])
+            order = np.argsort(h)
+            h, counts = h[order], middle(q[order].astype(np.int64))
+            one = counts[np.searchsorted(h, t)]
+            before = np.concatenate([[0.0], one[:-1]])
+            before[b[:-1]] = counts[np.searchsorted(h, END)]
+            score = np.add.reduceat(log_probs(counts[np.searchsorted(h, bigrams(t, b))], one, before, n, v), b[:-1])
+            return pa.RecordBatch.from_arrays([pa.array(work["slice"] + np.arange(len(score))), pa.array(score)], ["id", "score"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["levels"] is not None:
+                    got.append(r["levels"])
+                    continue
+                if work:
+                    yield done()
+                work, got = r, []
+        if work:
+            yield done()
+
+    work = texts.where("words is not null").select(F.col("id"), "words", "which", "bounds")
+    requests = work.mapInArrow(ask, "shard int, slice long, data binary")
+    asked = lfbf.select("shard", F.lit(None).cast("long").alias("slice"), F.col("bits").alias("data")).union(requests)
+    replies = asked.repartition("shard").sortWithinPartitions("shard", F.col("slice").asc_nulls_first()).mapInArrow(look, "shard int, slice long, levels binary")
+    both = work.withColumnRenamed("id", "slice").unionByName(replies, allowMissingColumns=True)
+    # a slice's own row, without a shard, comes before its replies
+    return both.repartition("slice").sortWithinPartitions("slice", F.col("shard").asc_nulls_first()).mapInArrow(finish, "id long, score double")
 
 
 def _lists(values: np.ndarray, owner: np.ndarray, rows: int) -> pa.Array:

@@ -99,3 +99,18 @@ def test_substitutions_in_windows_are_found(spark):
         docs.append((k, " ".join([f"p{rng.randrange(99)}" for _ in range(rng.randrange(30))] + words + ["tail"] * rng.randrange(9))))
     got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert all(r["doc_id"] == r["item_id"] for r in got) and len(got) >= 0.97 * len(docs)
+
+
+def test_a_filter_in_shards_scores_as_one_that_is_broadcast(spark, monkeypatch):
+    """Many shards, few heavy n-grams, a long text, repeated and null keys and texts: both ways agree to the last bit."""
+    monkeypatch.setattr(lm, "SHARD", 500)
+    monkeypatch.setattr(lm, "FREQUENT", 64)
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"w{int(rng.paretovariate(0.7)) % 5000}" for _ in range(rng.randrange(60)))) for k in range(300)]
+    rows += [(7, "w1 w2 again"), (7, "w1 w2 again"), (None, "w3 w4"), (400, None), (401, ""), (402, " ".join(f"v{k % 70000}" for k in range(200000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    train = F.coalesce(F.col("doc_id"), F.lit(0)) % 7 != 2
+    one, other = (sorted(map(repr, lm.score(docs, train, broadcast_bytes=b).collect())) for b in (1 << 40, -1))
+    assert one == other and len(one) == len(rows)
+    heavy = lm.build(docs, 40, 50).agg(F.sum(F.octet_length("heavy")), F.sum(F.octet_length("levels"))).first()
+    assert heavy[0] == 8 * heavy[1] > 0
