@@ -74,30 +74,49 @@ def candidates(text: str | None) -> list[tuple[int, int, str, list[float]]]:
 
 
 def labelled_findings(spark: SparkSession, n: int = 2000, seed: int = SEED) -> DataFrame:
-    """(value, before, after, assigned, label): n made-up findings, half of them real secrets."""
+    """(value, before, after, assigned, label): n made-up findings, half of them real secrets.
+
+    Half of the names are of made-up syllables, which no dictionary has, so the forest
+    cannot tell names by the dictionary alone.
+    """
     rng, rows = random.Random(seed), []
     pick = lambda chars, a, b: "".join(rng.choice(chars) for _ in range(rng.randint(a, b)))
     hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     for k in range(n):
         if k % 2:
-            value = rng.choice([lambda: pick(hexa, 16, 64), lambda: pick(alnum, 16, 48), lambda: "sk_" + pick(alnum, 20, 40), lambda: pick(alnum + "+/", 24, 60) + "=", lambda: pick(alnum + "!@#%", 10, 20)])()
+            kinds = [
+                lambda: pick(hexa, 16, 64),
+                lambda: pick(alnum, 16, 48),
+                lambda: pick(alnum[:26] + hexa[:10], 16, 32),
+                lambda: pick("abcdefghijklmnopqrstuvwxyz", 2, 4) + rng.choice("_-") + pick(alnum, 20, 40),
+                lambda: pick(alnum + "+/", 24, 60) + "=",
+                lambda: ".".join(pick(alnum + "-_", a, b) for a, b in ((20, 40), (40, 160), (30, 60))),
+                lambda: pick(alnum + "!@#%", 10, 20),
+            ]
+            value = rng.choice(kinds)()
             bare = rng.random() < 0.15
             before = "" if bare else rng.choice(["token = \"", "password=", "api_key: '", "secret := ", "auth_token=", "access_key = \""])
             rows.append((value, before, "\"" if before.endswith("\"") else "'" if before.endswith("'") else " ", not bare, 1))
         else:
-            word = lambda: rng.choice(WORDS)
-            made = rng.randrange(7)
+            syllable = lambda: rng.choice("bcdfghklmnprstvw") + rng.choice(["a", "e", "i", "o", "u", "an", "er", "in", "or"])
+            word = lambda: rng.choice(WORDS) if rng.random() < 0.5 else "".join(syllable() for _ in range(rng.randint(2, 4)))
+            made = rng.randrange(11)
             value = [
                 lambda: "/".join(word() for _ in range(4)) + ".py",
                 lambda: "".join(word().capitalize() for _ in range(4)) + str(rng.randint(1, 99)),
                 lambda: "_".join(word() for _ in range(4)) + str(rng.randint(1, 9)),
-                lambda: pick(hexa, 40, 40),
+                lambda: pick(hexa, *rng.choice([(32, 32), (40, 40), (64, 64)])),
                 lambda: "-".join([pick(hexa, 8, 8), pick(hexa, 4, 4), pick(hexa, 4, 4), pick(hexa, 4, 4), pick(hexa, 12, 12)]),
                 lambda: rng.choice("ax0*") * rng.randint(16, 30) + "1a",
                 lambda: "your_" + word() + "_here1",
+                lambda: ".".join(word() for _ in range(rng.randint(2, 4))) + rng.choice(["", "()", ".v2"]),
+                lambda: f"20{rng.randint(10, 30)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}.{rng.randint(10, 59)}",
+                lambda: rng.choice(["process.env.", "env.", "config.", "settings[", "${"]) + "_".join(word().upper() for _ in range(rng.randint(2, 3))) + rng.choice(["", "1", "_2"]),
+                lambda: "-".join(word() for _ in range(3)) + f"-{rng.randint(1, 20)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}",
             ][made]()
-            before = rng.choice(["sha1: ", "commit ", "checksum=", "uuid ", "version "]) if made in (3, 4) else rng.choice([" ", "import ", "path = \"", "see ", "password=", "token: "])
-            rows.append((value, before, " ", bool(re.search("password=|token: ", before)), 0))
+            cues = ["sha1: ", "sha256: ", "md5 ", "commit ", "checksum=", "integrity=", "uuid ", "version "] if made in (3, 4) else ["password=", "token: ", "secret = \"", "api_key: '"] if made == 9 else [" ", "import ", "path = \"", "see ", "name: '", "password=", "token: ", "secret = \""]
+            before = rng.choice(cues)
+            rows.append((value, before, before[-1] if before[-1] in "\"'" else " ", bool(re.search("password|token|secret|api_key", before)), 0))
     return spark.createDataFrame(rows, "value string, before string, after string, assigned boolean, label int")
 
 
