@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import decontam, jaccard, langid, lm, pieces, pii, quality, repeats, secret_scan, tokenids
+from repolith.llm import curves, decontam, jaccard, langid, lm, pieces, pii, quality, repeats, secret_scan, tokenids, variants, whitening
 from repolith.llm.common import stopped_batches, table
 
 
@@ -76,6 +76,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_documents(spark, sf_dir), secret_scan.fit(secret_scan.labelled_findings(spark)))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their forms and roots, as ``variants.group`` says."""
+    return variants.group(_documents(spark, sf_dir))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of every hundredth embedding, as ``curves.search`` says."""
+    return curves.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 32 whitened components of every embedding, as ``whitening.whiten`` says."""
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -88,6 +103,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_pieces": op9_pieces,
         "op10_secrets": op10_secrets,
+        "op11_variants": op11_variants,
+        "op12_neighbours": op12_neighbours,
+        "op13_whitening": op13_whitening,
     }
 
 
