@@ -34,22 +34,30 @@ def hotspots(edges: DataFrame, most: int = 10) -> DataFrame:
 
 
 def reachable(edges: DataFrame, origins: DataFrame, depth: int = 3, most: int = 200) -> DataFrame:
-    """(origin, node, depth, via): what depends on each origin, within ``depth`` steps.
+    """(origin, node, depth, via, place): what depends on each origin, as a walk by levels finds it.
 
-    edges: (src, dst), src depends on dst; origins: (origin).  A node's depth is its
-    least, ``via`` the least-named node of the step before; the first ``most`` nodes by
-    depth and name stay.  Steps are joins, as many as ``depth``, whatever the graph's
-    size, and each step's nodes are written once.
+    edges: (src, dst), src depends on dst; origins: (origin).  Nodes come in the order of the
+    node they were found from and then by name; ``via`` is the first that leads to them and
+    ``place`` their number; the walk of an origin ends after ``depth`` steps or ``most`` nodes.
+
+    Steps are joins.  An origin that has its nodes takes no further part, and of a node's
+    dependents the first 2 * most + 1 suffice: all but ``most`` + 1 of them are new.  So a
+    node that everything depends on gives a bounded number of rows to each origin.
     """
-    back = cut(edges.select(F.col("dst").alias("via"), F.col("src").alias("node")).distinct())
-    front = origins.select("origin", F.col("origin").alias("node"))
-    seen = front.select("origin", "node", F.lit(0).alias("depth"), F.lit(None).cast(front.schema["node"].dataType).alias("via"))
+    by_name = F.row_number().over(Window.partitionBy("via").orderBy("node"))
+    back = edges.select(F.col("dst").alias("via"), F.col("src").alias("node")).distinct().withColumn("_k", by_name).where(F.col("_k") <= 2 * most + 1).drop("_k")
+    back = cut(back)
+    front = origins.select("origin", F.col("origin").alias("node"), F.lit(0).alias("place"), F.lit(0).alias("_held")).distinct()
+    kind = front.schema["node"].dataType
+    seen = front.select("origin", "node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("via"), "place")
+    one = Window.partitionBy("origin")
     for k in range(1, depth + 1):
-        step = front.withColumnRenamed("node", "via").join(back, "via").groupBy("origin", "node").agg(F.min("via").alias("via"))
-        new = cut(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").select("origin", "node", F.lit(k).alias("depth"), "via"))
-        seen, front = seen.unionByName(new), new.select("origin", "node")
-    rank = F.row_number().over(Window.partitionBy("origin").orderBy("depth", "node"))
-    return seen.where("depth > 0").withColumn("_k", rank).where(F.col("_k") <= most).drop("_k")
+        step = front.where(F.col("_held") < most).withColumnRenamed("node", "via").join(back, "via").groupBy("origin", "node").agg(F.min(F.struct("place", "via")).alias("_from"), F.first("_held").alias("_held"))
+        new = step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti")
+        new = new.withColumn("place", F.col("_held") + F.row_number().over(one.orderBy("_from.place", "node"))).where(F.col("place") <= most)
+        new = cut(new.select("origin", "node", F.lit(k).alias("depth"), "_from.via", "place", F.max("place").over(one).alias("_held")))
+        seen, front = seen.unionByName(new.drop("_held")), new.select("origin", "node", "place", "_held")
+    return seen.where("depth > 0")
 
 
 def merged_impact(reached: DataFrame) -> DataFrame:
@@ -68,6 +76,64 @@ def paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, hops: int = 4
     return seen.join(targets.select("node"), "node", "left_semi").where("hops > 0").select("start", F.col("node").alias("target"), "hops")
 
 
+#: Files that stand for access rights, by their path; fixed values.
+AUTH_PATH = r"(?i)(^|/)(auth|session|login|permission|token|admin)"
+CLASSES = ("confirmed", "likely", "potential")
+
+
+def shortest_paths(links: DataFrame, starts: DataFrame, targets: DataFrame, nodes: int = 5, most: int = 20) -> DataFrame:
+    """(repository, start, hops, place): ways of a walk by levels from each start to targets.
+
+    links: (repository, src, dst); starts, targets: (repository, node).  A start visits a node once,
+    by the first shortest way (neighbours in order of name); ``hops`` are its nodes, two to
+    ``nodes``.  The starts of a repository are walked by name until ``most`` ways are found; a
+    start after those, or one whose ways so far fill them up, goes no further.
+    """
+    links = cut(links.where("src <> dst").select("repository", F.col("src").alias("node"), "dst").distinct())
+    targets = targets.select("repository", "node").distinct().withColumn("_met", F.lit(True))
+    front = starts.select("repository", F.col("node").alias("start"), "node").distinct().withColumn("hops", F.array("node"))
+    seen, found = front.select("repository", "start", "node"), None
+    key = ["repository", "start", "node"]
+    for _ in range(nodes - 1):
+        step = front.join(links, ["repository", "node"]).groupBy("repository", "start", F.col("dst").alias("node")).agg(F.min("hops").alias("hops"))
+        step = step.join(seen, key, "left_anti").select(*key, F.concat("hops", F.array("node")).alias("hops"))
+        new = cut(step.join(targets, ["repository", "node"], "left"))
+        hits = new.where("_met").select("repository", "start", "hops")
+        seen, found = seen.unionByName(new.select(*key)), hits if found is None else found.unionByName(hits)
+        held = found.groupBy("repository", "start").agg(F.count(F.lit(1)).alias("_n"))
+        full = held.withColumn("_n", F.sum("_n").over(Window.partitionBy("repository").orderBy("start"))).where(F.col("_n") >= most).groupBy("repository").agg(F.min("start").alias("_full"))
+        front = new.join(full, "repository", "left").where("_full is null or start < _full").select(*key, "hops")
+    order = Window.partitionBy("repository").orderBy("start", F.size("hops"), "hops")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def attack_paths(edges: DataFrame, findings: DataFrame, most: int = 20, nodes: int = 5) -> DataFrame:
+    """(repository, place, hops, confidence, finding_ids): ways from files with routes to sensitive files.
+
+    edges: (repository, type, from_key, to_key); findings: (repository, id, path).  Sensitive are
+    files that use a database or whose path speaks of access.  A way is confirmed where findings
+    are in its files (their ids by hop and id), likely where some are in a file whose path starts
+    with the first folder of a hop, else potential; ``place`` orders by that, then as found.
+    """
+    file = lambda key: file_of(F.col(key))
+    of = lambda kind, target: edges.where((F.col("type") == kind) & (key_kind(F.col("to_key")) == target)).select("repository", file("from_key").alias("node")).where("node is not null")
+    links = edges.where(F.col("type").isin("imports", "calls")).select("repository", file("from_key").alias("src"), file("to_key").alias("dst")).where("src is not null and dst is not null")
+    named = links.select("repository", F.explode(F.array("src", "dst")).alias("node")).where(F.col("node").rlike(AUTH_PATH))
+    ways = cut(shortest_paths(links, of("exposes_api", "route"), of("uses_database", "table").unionByName(named), nodes, most))
+    f = findings.where("path is not null").select("repository", "path", F.col("id"))
+    hop = ways.select("repository", F.col("place").alias("_k"), F.posexplode("hops").alias("_at", "path"))
+    on = hop.join(f, ["repository", "path"]).groupBy("repository", "_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "id"))), lambda x: x["id"]).alias("finding_ids"))
+    # folders that some finding's path starts with, letter by letter: an equi-join in place of a prefix join
+    first = F.substring_index("path", "/", 1)
+    begun = f.select("repository", first.alias("_first")).distinct().select("repository", F.explode(F.transform(F.sequence(F.lit(0), F.length("_first")), lambda n: F.substring(F.col("_first"), F.lit(1), n))).alias("_start")).distinct()
+    beside = hop.select("repository", "_k", first.alias("_start")).join(begun, ["repository", "_start"], "left_semi").select("repository", "_k").distinct().withColumn("_beside", F.lit(True))
+    d = ways.withColumnRenamed("place", "_k").join(on, ["repository", "_k"], "left").join(beside, ["repository", "_k"], "left")
+    rank = F.when(F.col("finding_ids").isNotNull(), 0).when(F.col("_beside"), 1).otherwise(2)
+    place = F.row_number().over(Window.partitionBy("repository").orderBy(rank, "_k"))
+    none = F.array().cast(on.schema["finding_ids"].dataType)
+    return d.select("repository", place.alias("place"), "hops", F.element_at(F.array(*[F.lit(c) for c in CLASSES]), rank + 1).alias("confidence"), F.coalesce("finding_ids", none).alias("finding_ids"))
+
+
 def component_edges(edges: DataFrame, members: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """(a, b, n): links between components; both ends must belong to one, not the same.
 

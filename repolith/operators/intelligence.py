@@ -59,13 +59,12 @@ def blast_radius(files: DataFrame, imports: DataFrame, covers: DataFrame, findin
     """One row an origin: what depends on it and what that touches, with impact and level.
 
     imports: (src, dst), src imports dst; covers: (test, path); findings: open ones
-    (path, severity); origins: (origin).  Of dependents the first 199 by depth and path
-    count, and findings in the first 100 affected paths, as in the behaviour studied.
+    (path, severity); origins: (origin).  Of dependents the first 199 found count, and
+    findings in the first 100 affected paths, as in the behaviour studied.
     """
     known = files.select(F.col("path").alias("node"), P.role(F.col("path")).alias("role"))
-    reached = graph.reachable(imports, origins, 3, BLAST_NODES).select("origin", "node", "depth")
-    hit = origins.select("origin", F.col("origin").alias("node"), F.lit(0).alias("depth")).unionByName(reached).join(known, "node", "left")
-    hit = hit.withColumn("_k", F.row_number().over(Window.partitionBy("origin").orderBy("depth", "node")))
+    reached = graph.reachable(imports, origins, 3, BLAST_NODES).select("origin", "node", "depth", (F.col("place") + 1).alias("_k"))
+    hit = origins.select("origin", F.col("origin").alias("node"), F.lit(0).alias("depth"), F.lit(1).alias("_k")).unionByName(reached).join(known, "node", "left")
     route = (F.col("role") == "route") | F.col("node").rlike(P.ROUTE_FILE)
     base = hit.groupBy("origin").agg(
         F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 0).alias("transitive"), F.count_if(route).alias("routes"), F.count_if(F.col("role") == "component").alias("components"),

@@ -268,9 +268,9 @@ _EDGES = """e AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM
 
 
 @query(
-    f"""WITH RECURSIVE {_EDGES}, r AS (SELECT 'n' || n_nationkey AS origin, 'n' || n_nationkey AS node, 0 AS depth FROM nation UNION SELECT r.origin, e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node WHERE r.depth < 3),
- m AS (SELECT origin, node, min(depth) AS depth FROM r GROUP BY 1, 2), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY depth, node) AS k FROM m WHERE depth > 0) WHERE k <= 200)
- SELECT k.origin, k.node, k.depth, min(p.node) AS via FROM k JOIN e ON e.src = k.node JOIN m p ON p.node = e.dst AND p.origin = k.origin AND p.depth = k.depth - 1 GROUP BY ALL"""
+    f"""WITH RECURSIVE {_EDGES}, r AS (SELECT 'n' || n_nationkey AS origin, 'n' || n_nationkey AS node, ['n' || n_nationkey] AS way FROM nation UNION ALL SELECT r.origin, e.src, list_append(r.way, e.src) FROM r JOIN e ON e.dst = r.node WHERE len(r.way) < 4),
+ m AS (SELECT origin, node, min({{'n': len(way), 'way': way}}) AS m FROM r GROUP BY 1, 2), k AS (SELECT origin, node, m.n - 1 AS depth, m.way[m.n - 1] AS via, row_number() OVER (PARTITION BY origin ORDER BY m) AS place FROM m WHERE m.n > 1)
+ SELECT * FROM k WHERE place <= 200"""
 )
 def reachable_dependents(spark, d):
     """What leads to each nation within three links."""

@@ -171,8 +171,8 @@ def architecture_layers(spark, d):
 
 
 _POINTS = "CASE severity WHEN 'critical' THEN 6 WHEN 'high' THEN 3 WHEN 'medium' THEN 1.5 WHEN 'low' THEN 0.5 ELSE 0 END"
-_REACH = f"""{IMPORTS}, reach AS (SELECT path AS origin, path AS node, 0 AS depth FROM files UNION SELECT reach.origin, i.src, reach.depth + 1 FROM reach JOIN imports i ON i.dst = reach.node WHERE reach.depth < 3),
- least_ AS (SELECT origin, node, min(depth) AS depth FROM reach GROUP BY 1, 2), hit AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY depth, node) AS k FROM least_ QUALIFY k <= 200)"""
+_REACH = f"""{IMPORTS}, walk AS (SELECT path AS origin, path AS node, [path] AS way FROM files UNION ALL SELECT walk.origin, i.src, list_append(walk.way, i.src) FROM walk JOIN imports i ON i.dst = walk.node WHERE len(walk.way) < 4),
+ first_ AS (SELECT origin, node, min({{'n': len(way), 'way': way}}) AS m FROM walk GROUP BY 1, 2), hit AS (SELECT origin, node, m.n - 1 AS depth, m.way[m.n - 1] AS via, row_number() OVER (PARTITION BY origin ORDER BY m) AS k FROM first_ QUALIFY k <= 200)"""
 
 
 @query(
@@ -191,8 +191,8 @@ def blast_radii(spark, d):
 
 
 @query(
-    f"""{_REACH}, ev AS (SELECT src, dst, 'line ' || (length(src) + length(dst)) AS evidence FROM imports), v AS (SELECT h.origin, h.node, h.depth, min(p.node) AS via FROM hit h JOIN imports i ON i.src = h.node JOIN least_ p ON p.origin = h.origin AND p.node = i.dst AND p.depth = h.depth - 1 WHERE h.depth > 0 GROUP BY ALL)
- SELECT origin, node, depth, via, evidence FROM v JOIN ev ON ev.src = v.node AND ev.dst = v.via"""
+    f"""{_REACH}, ev AS (SELECT src, dst, 'line ' || (length(src) + length(dst)) AS evidence FROM imports), v AS (SELECT * FROM hit WHERE depth > 0)
+ SELECT origin, node, CAST(depth AS INTEGER) AS depth, via, evidence FROM v JOIN ev ON ev.src = v.node AND ev.dst = v.via"""
 )
 def impact_evidence(spark, d):
     from repolith.operators import graph as G
@@ -204,6 +204,44 @@ def impact_evidence(spark, d):
     return I.hop_evidence(reached, edges).select("origin", "node", "depth", "via", "evidence")
 
 
+_BRANDED = f"""WITH RECURSIVE files AS (SELECT p_partkey AS id, p_size AS loc, p_brand AS repository, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY p_brand) AS n, {_path_sql('p_partkey')} AS path FROM part),
+ links AS (SELECT DISTINCT a.repository, a.path AS src, b.path AS dst FROM files a JOIN files b ON b.repository = a.repository AND b.k IN (1 + (a.k * 3 + a.loc) % a.n, 1 + (a.k * 7 + 11) % a.n) WHERE a.path <> b.path),
+ found AS (SELECT f.repository, f.path, e.event_id AS id FROM (SELECT *, 1 + (user_id * 13) % (SELECT count(*) FROM part) AS fid FROM ({FINDINGS} SELECT * FROM f)) e JOIN files f ON f.id = e.fid WHERE e.severity = 'critical' AND NOT starts_with(f.path, 'src'))"""
+
+
+def branded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and findings of a repository for each brand of parts; every fifth file has a route, every seventh a database."""
+    w = Window.partitionBy("repository")
+    f = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("loc"), F.col("p_brand").alias("repository"), _path(F.col("p_partkey")).alias("path"))
+    f = f.withColumns({"k": F.row_number().over(w.orderBy("id")), "n": F.count(F.lit(1)).over(w)})
+    to = f.select("repository", F.col("k").alias("to"), F.col("path").alias("to_key"))
+    two = f.select("repository", F.col("path").alias("from_key"), F.explode(F.array(1 + (F.col("k") * 3 + F.col("loc")) % F.col("n"), 1 + (F.col("k") * 7 + 11) % F.col("n"))).alias("to"))
+    edge = lambda rows, kind, key: rows.select("repository", F.lit(kind).alias("type"), F.col("path").alias("from_key"), key.alias("to_key"))
+    edges = two.join(to, ["repository", "to"]).select("repository", F.lit("imports").alias("type"), "from_key", "to_key")
+    edges = edges.unionByName(edge(f.where("id % 5 = 0"), "exposes_api", F.concat(F.lit("api:GET /x"), F.col("id")))).unionByName(edge(f.where("id % 7 = 3"), "uses_database", F.concat(F.lit("db:t"), F.col("id"))))
+    e = findings(spark, d).where("severity = 'critical'").select("event_id", "user_id")
+    found = _to(e, f, 1 + (F.col("user_id") * 13) % f.count(), "path", "event_id").where("not startswith(path, 'src')")
+    found = found.join(f.select("path", "repository"), "path").select("repository", F.col("event_id").alias("id"), "path")
+    return edges, found
+
+
+@query(
+    f"""{_BRANDED}, r AS (SELECT repository, path AS start, path AS node, [path] AS hops FROM files WHERE id % 5 = 0 UNION ALL SELECT r.repository, r.start, l.dst, list_append(r.hops, l.dst) FROM r JOIN links l ON l.repository = r.repository AND l.src = r.node WHERE len(r.hops) < 5),
+ m AS (SELECT repository, start, node, min({{'n': len(hops), 'hops': hops}}) AS m FROM r GROUP BY 1, 2, 3), sens AS (SELECT repository, path AS node FROM files WHERE id % 7 = 3 OR regexp_matches(path, '(?i)(^|/)(auth|session|login|permission|token|admin)')),
+ w AS (SELECT repository, m.hops AS hops, row_number() OVER (PARTITION BY repository ORDER BY start, m) AS k FROM m JOIN sens USING (repository, node) WHERE m.n > 1 QUALIFY k <= 20),
+ h AS (SELECT repository, k, unnest(hops) AS path, generate_subscripts(hops, 1) AS pos FROM w), o AS (SELECT h.repository, k, string_agg(id, ',' ORDER BY pos, id) AS ids FROM h JOIN found USING (repository, path) GROUP BY 1, 2),
+ b AS (SELECT DISTINCT h.repository, k FROM h JOIN found f ON f.repository = h.repository AND f.path <> h.path AND starts_with(f.path, string_split(h.path, '/')[1])),
+ c AS (SELECT w.repository, w.k, w.hops, CASE WHEN ids IS NOT NULL THEN 0 WHEN b.k IS NOT NULL THEN 1 ELSE 2 END AS rank, coalesce(ids, '') AS finding_ids FROM w LEFT JOIN o USING (repository, k) LEFT JOIN b USING (repository, k))
+ SELECT repository, row_number() OVER (PARTITION BY repository ORDER BY rank, k) AS place, array_to_string(hops, '>') AS hops, ['confirmed', 'likely', 'potential'][rank + 1] AS confidence, finding_ids FROM c"""
+)
+def attack_path_classes(spark, d):
+    """Ways from routes to sensitive files in each brand's repository, with what findings say of them."""
+    from repolith.operators import graph as G
+
+    r = G.attack_paths(*branded(spark, d))
+    return r.select("repository", "place", F.array_join("hops", ">").alias("hops"), "confidence", F.array_join(F.transform("finding_ids", lambda x: x.cast("string")), ",").alias("finding_ids"))
+
+
 @query(
     f"{IMPORTS} SELECT path, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM (SELECT dst FROM imports WHERE src = path ORDER BY dst LIMIT 25)), '') AS imports, coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM (SELECT src FROM imports WHERE dst = path ORDER BY src LIMIT 25)), '') AS importers FROM files"
 )
