@@ -23,7 +23,7 @@ ROLES = (
     ("infra", r"^(?:docker-compose|\.github/|k8s/|terraform/)"),
     ("config", r"(?i)\.(?:json|ya?ml|toml|ini|env)$"),
     ("route", r"(?i)(?:^|/)(?:routes?|api|controllers?|handlers?|pages)/"),
-    ("component", r"(?i)(?:^|/)components?/|\.(?:[tT][sS][xX]|[jJ][sS][xX])$"),
+    ("component", r"(?i:(?:^|/)components?/)|\.(?:tsx|jsx)$"),
     ("service", r"(?i)(?:^|/)(?:services?|lib|utils?|helpers?|models?)/"),
 )
 # Sensitive areas of a path; each use has a list of its own.

@@ -55,6 +55,25 @@ def first_seen(history: DataFrame) -> DataFrame:
     return history.groupBy("fingerprint").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("sightings"))
 
 
+def episodes(sightings: DataFrame, scans: DataFrame) -> DataFrame:
+    """(repo, fingerprint, episode, first_seen, last_seen, scans, resolved_at) over a whole history of scans.
+
+    scans: (repo, scan, at), also those without findings; sightings: (repo, scan, fingerprint).
+    A finding that a scan lacks is resolved by it; if it comes back a new episode starts, with
+    that scan as its first.  ``resolved_at`` is null while the last scan has it.  Scans count by
+    time and then name; equal rows count once, sightings of unknown scans not at all.
+    """
+    order = Window.partitionBy("repo").orderBy("at", "scan")
+    s = scans.select("repo", "scan", "at").distinct()
+    s = s.withColumn("_n", F.row_number().over(order)).withColumn("_next", F.lead("at").over(order))
+    one = Window.partitionBy("repo", "fingerprint").orderBy("_n")
+    d = sightings.select("repo", "scan", "fingerprint").distinct().join(s, ["repo", "scan"])
+    island = F.col("_n") - F.row_number().over(one)
+    d = d.withColumn("_island", island).groupBy("repo", "fingerprint", "_island").agg(F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.count(F.lit(1)).alias("scans"), F.max_by("_next", "_n").alias("resolved_at"))
+    episode = F.row_number().over(Window.partitionBy("repo", "fingerprint").orderBy("_island"))
+    return d.select("repo", "fingerprint", episode.alias("episode"), "first_seen", "last_seen", "scans", "resolved_at")
+
+
 # Areas that findings are grouped by, first match wins: name, title, pattern, columns it reads.
 AREAS = (
     ("auth", "Authentication and authorization", r"(?i)auth|session|login|permission|csrf", ("path", "rule_id", "title")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repolith.operators.resolution import resolved
 from repolith.shared import cut
 
 
@@ -149,23 +150,6 @@ def untested(files: DataFrame, covered: DataFrame) -> DataFrame:
     return files.join(covered.select("node").distinct(), "node", "left_anti")
 
 
-def resolved_imports(specs: DataFrame, known: DataFrame, extensions: tuple[str, ...] = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js")) -> DataFrame:
-    """(path, specifier, target): the first candidate file of a relative import that is known.
-
-    specs: (path, specifier) with specifiers of the form ./x or ../x; known: (path).
-    """
-    parts = F.concat(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), F.split("specifier", "/"))
-    joined = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x.isin(".", ""), a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))))
-    base = F.array_join(joined, "/")
-    cand = specs.select("path", "specifier", F.posexplode(F.array(*[F.concat(base, F.lit(e)) for e in extensions])).alias("pos", "target"))
-    met = cand.join(known.select(F.col("path").alias("target")), "target", "left_semi")
-    return met.groupBy("path", "specifier").agg(F.min_by("target", "pos").alias("target"))
-
-
-#: Endings that a relative import may leave out.
-IMPORT_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.js", "/__init__.py")
-
-
 def package_of(specifier: Column, language: Column) -> Column:
     """The package of an import from outside, null for one from within (``.``, ``@/`` and ``~/``)."""
     scoped = F.when(specifier.startswith("@"), F.substring_index(specifier, "/", 2)).otherwise(F.substring_index(specifier, "/", 1))
@@ -180,14 +164,15 @@ def built_edges(files: DataFrame, imports: DataFrame, routes: DataFrame, uses: D
     (path, method, route, line); uses: (path, target, via, line); calls: (path, enclosing,
     receiver, callee, line); symbols: (path, name).  A call goes to an imported name, or to
     an imported receiver's member (probable), or to a symbol of its own file; else it is no
-    edge.  Of several imports that bring one name the first by target counts.
+    edge.  Of several imports that bring one name the first by target counts.  Imports by the
+    aliases ``@/`` and ``~/`` are resolved as ``resolution.graph_candidates`` says.
     """
     own = imports.join(files.select("path", "language"), "path").withColumn("package", package_of(F.col("specifier"), F.col("language")))
     edge = lambda d, kind, source, target, confidence="certain": d.select(F.lit(kind).alias("type"), source.alias("from_key"), target.alias("to_key"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).alias("confidence"), "line")
     path = F.col("path")
     out = edge(own.where("package is not null"), "depends_on", path, F.concat(F.lit("pkg:"), "package"))
     inner = own.where("package is null")
-    found = inner.join(resolved_imports(inner.select("path", "specifier").distinct(), files.select("path"), IMPORT_ENDINGS), ["path", "specifier"])
+    found = inner.join(resolved(inner.select("path", "specifier", "language"), files), ["path", "specifier"])
     out = out.unionByName(edge(found, "imports", path, F.col("target")))
     plain = files.where("not is_test").select(F.col("path").alias("target"))
     tests = found.join(files.where("is_test").select("path"), "path", "left_semi").join(plain, "target", "left_semi")

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repolith.functions import paths as P
 from repolith.functions.scalars import fingerprint, redact_evidence, redact_secrets, round_confidence
-from repolith.operators import graph
+from repolith.operators.resolution import resolved
 from repolith.sources import manifests
-from repolith.sources.files import basename, indent_nesting, lines, lines_around, nesting_depth
+from repolith.sources.files import basename, estimate_complexity, has_assertions, indent_nesting, lines, lines_around, nesting_depth, relative_imports, test_cases
 
 HITS = 5
 EVIDENCE = 240
@@ -148,8 +149,10 @@ def secrets(files: DataFrame) -> DataFrame:
 def workflows(files: DataFrame) -> DataFrame:
     """Findings of CI workflow files; a file without any ``permissions`` gives one more."""
     d = files.where(F.col("path").rlike(r"(?i)(^|/)\.github/workflows/.+\.ya?ml$"))
-    runs = F.col("content").rlike(r"\b(?:run|script)\s*:")
+    runs = F.col("content").rlike(r"run:|script:")
     rows = hits(lines(d), WORKFLOW)
+    masked = F.regexp_replace("evidence", r"secrets\.\w+", "secrets.[redacted]")
+    rows = rows.withColumn("evidence", F.when(F.col("rule_id") == "cicd/secret-in-log", masked).otherwise(F.col("evidence")))
     rows = rows.join(d.where(~runs).select("path", F.lit("cicd/untrusted-context-interpolation").alias("rule_id")), ["path", "rule_id"], "left_anti")
     return _sign(rows.unionByName(d.where(~F.col("content").rlike(r"permissions\s*:")).select("path", F.lit("cicd/missing-permissions").alias("rule_id"), F.lit("low").alias("severity"), F.lit(1).alias("line"), F.lit("").alias("evidence"), F.lit(0.8).alias("confidence"))))
 
@@ -193,13 +196,7 @@ def _row(rows: DataFrame, rule: str, severity: Column | str, confidence: Column
 
 # Patterns of the quality and testing detectors.
 MONEY = r"(?i)(?:amount|price|total|cost|balance|refund|fee|salary)\w*\s*[*/]\s*\d|\*\s*100\b"
-BRANCHES = r"\b(?:if|else\s+if|elif|for|while|case|catch|except)\b|&&|\|\||\?\?|\?[^.:]"
 DECLARED = r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*="
-CASES = r"\b(?:it|test)\s*(?:\.\w+)*\s*(?:\([^()]*\)|`[^`]*`)?\s*\(\s*['\"`]|\bdef\s+test_\w+\s*\(|\bfunc\s+Test\w+\s*\("
-ASSERTS = r"\bexpect\s*\(|\bassert\b|\bshould\b|\bt\.(?:Error|Fatal)\b"
-IMPORTS = (r"require\(\s*['\"](\.[^'\"]+)['\"]\s*\)", r"import\s+[^'\"]*from\s+['\"](\.[^'\"]+)['\"]", r"import\s*\(\s*['\"](\.[^'\"]+)['\"]\s*\)", r"from\s+(\.[\w.]+)\s+import")
-ENDINGS = ("", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".py", "/index.js", "/index.ts", "/__init__.py")
-HIGH_RISK = r"(?i)payment|billing|charge|invoice|auth|login|session|token|password|crypto|permission|access|admin|security|migration|order|checkout|transaction"
 BRANCHES_MOST, LINES_LEAST = 25, 40
 NESTING, NESTING_MEDIUM = 5, 7
 
@@ -236,7 +233,7 @@ def error_handling(files: DataFrame) -> DataFrame:
 def structure(files: DataFrame) -> DataFrame:
     """Files of many branches, and variables of JavaScript and TypeScript that their file names once, and deep nesting: of blanks in Python, of braces elsewhere."""
     d = files.where(F.col("language").isin(*CODE) & ~F.col("is_test"))
-    branchy = d.where(F.regexp_count("content", F.lit(BRANCHES)) + 1 > BRANCHES_MOST)
+    branchy = d.where(estimate_complexity(F.col("content")) > BRANCHES_MOST)
     rows = _row(branchy, "quality/high-complexity", "low", 0.7, F.concat(F.lit("high-complexity:"), "path"))
     py = F.col("language").isin(*PY)
     sized = d.where(py).withColumn("_n", indent_nesting(F.col("content"))).unionByName(d.where(~py).withColumn("_n", nesting_depth(F.col("content"))))
@@ -267,15 +264,14 @@ def quality(files: DataFrame) -> DataFrame:
 def testing(files: DataFrame) -> DataFrame:
     """Tests without assertions; one finding if there is no test at all, or else the modules that no test imports."""
     tests, sources = files.where("is_test"), files.where("not is_test")
-    vain = tests.where((F.regexp_count("content", F.lit(CASES)) > 0) & ~F.col("content").rlike(ASSERTS))
+    vain = tests.where((test_cases(F.col("content")) > 0) & ~has_assertions(F.col("content")))
     rows = _row(vain, "testing/test-without-assertions", "medium", 0.8, F.concat(F.lit("test-without-assertions:"), "path"))
     totals = F.broadcast(files.agg(F.count_if("is_test").alias("_tests"), F.count_if(~F.col("is_test")).alias("_sources")))
     rows = rows.unionByName(_row(totals.where("_tests = 0 and _sources > 0"), "testing/no-tests", "high", 0.9, F.lit("no-tests"), path=F.lit(None).cast("string")))
-    found = F.concat(*[F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in IMPORTS])
-    specs = tests.select("path", F.explode(F.array_distinct(found)).alias("specifier"))
-    covered = graph.resolved_imports(specs, files.select("path"), ENDINGS).select(F.col("target").alias("path")).distinct()
+    specs = tests.select("path", F.explode(relative_imports(F.col("content"))).alias("specifier"), "language")
+    covered = resolved(specs, files, "tests").select(F.col("target").alias("path")).distinct()
     trivial = (F.col("loc") < 10) | F.lower(basename(F.col("path"))).rlike(r"^(?:index|types?|constants?|config)\.[jt]sx?$") | ~F.col("language").isin(*JS, *PY)
-    risky = F.col("path").rlike(HIGH_RISK)
+    risky = F.col("path").rlike(P.HIGH_RISK)
     exports = F.col("content").rlike(r"(?m)module\.exports|export\s+(?:default|const|function|class)|^def\s")
     alone = sources.where(~trivial & exports & (risky | (F.col("loc") >= LINES_LEAST))).join(covered, "path", "left_anti").crossJoin(totals.where("_tests > 0"))
     return rows.unionByName(_row(alone, "testing/untested-module", F.when(risky, "high").otherwise("low"), F.when(risky, 0.85).otherwise(0.7), F.concat(F.lit("untested-module:"), "path")))

@@ -269,7 +269,7 @@ _EDGES = """e AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM
 
 @query(
     f"""WITH RECURSIVE {_EDGES}, r AS (SELECT 'n' || n_nationkey AS origin, 'n' || n_nationkey AS node, ['n' || n_nationkey] AS way FROM nation UNION ALL SELECT r.origin, e.src, list_append(r.way, e.src) FROM r JOIN e ON e.dst = r.node WHERE len(r.way) < 4),
- m AS (SELECT origin, node, min({{'n': len(way), 'way': way}}) AS m FROM r GROUP BY 1, 2), k AS (SELECT origin, node, m.n - 1 AS depth, m.way[m.n - 1] AS via, row_number() OVER (PARTITION BY origin ORDER BY m) AS place FROM m WHERE m.n > 1)
+ m AS (SELECT origin, node, min({{'n': len(way), 'way': way}}) AS m FROM r GROUP BY 1, 2), k AS (SELECT origin, node, CAST(m.n - 1 AS INTEGER) AS depth, m.way[m.n - 1] AS via, CAST(row_number() OVER (PARTITION BY origin ORDER BY m) AS INTEGER) AS place FROM m WHERE m.n > 1)
  SELECT * FROM k WHERE place <= 200"""
 )
 def reachable_dependents(spark, d):

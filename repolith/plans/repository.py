@@ -232,7 +232,7 @@ def branded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
  h AS (SELECT repository, k, unnest(hops) AS path, generate_subscripts(hops, 1) AS pos FROM w), o AS (SELECT h.repository, k, string_agg(id, ',' ORDER BY pos, id) AS ids FROM h JOIN found USING (repository, path) GROUP BY 1, 2),
  b AS (SELECT DISTINCT h.repository, k FROM h JOIN found f ON f.repository = h.repository AND f.path <> h.path AND starts_with(f.path, string_split(h.path, '/')[1])),
  c AS (SELECT w.repository, w.k, w.hops, CASE WHEN ids IS NOT NULL THEN 0 WHEN b.k IS NOT NULL THEN 1 ELSE 2 END AS rank, coalesce(ids, '') AS finding_ids FROM w LEFT JOIN o USING (repository, k) LEFT JOIN b USING (repository, k))
- SELECT repository, row_number() OVER (PARTITION BY repository ORDER BY rank, k) AS place, array_to_string(hops, '>') AS hops, ['confirmed', 'likely', 'potential'][rank + 1] AS confidence, finding_ids FROM c"""
+ SELECT repository, CAST(row_number() OVER (PARTITION BY repository ORDER BY rank, k) AS INTEGER) AS place, array_to_string(hops, '>') AS hops, ['confirmed', 'likely', 'potential'][rank + 1] AS confidence, finding_ids FROM c"""
 )
 def attack_path_classes(spark, d):
     """Ways from routes to sensitive files in each brand's repository, with what findings say of them."""

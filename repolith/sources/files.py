@@ -85,9 +85,26 @@ def repository_stats(files: DataFrame) -> DataFrame:
     return files.groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.sum("loc").alias("loc"), F.count_if("is_test").alias("tests")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("loc"), "language")))
 
 
+# Branches that count as complexity; test frameworks, cases, assertions, imports and exports of a text.
+BRANCHES = r"\b(?:if|else\s+if|elif|for|while|case|catch|except)\b|&&|\|\||\?\?|\?[^.:]"
+FRAMEWORKS = (
+    ("vitest", r"from\s+['\"]vitest['\"]|require\(['\"]vitest['\"]\)"),
+    ("jest", r"@jest/globals|jest\.(?:mock|fn|spyOn)\s*\("),
+    ("mocha", r"require\(['\"]mocha['\"]\)|from\s+['\"]mocha['\"]"),
+    ("pytest", r"import\s+pytest|from\s+pytest\s+import"),
+    ("unittest", r"import\s+unittest|unittest\.TestCase"),
+    ("go test", r"func\s+Test\w+\s*\(\s*t\s+\*testing\.T"),
+)
+CASES = r"\b(?:it|test)\s*(?:\.\w+)*\s*(?:\([^()]*\)|`[^`]*`)?\s*\(\s*['\"`]|\bdef\s+test_\w+\s*\(|\bfunc\s+Test\w+\s*\("
+ASSERTS = r"\bexpect\s*\(|\bassert\b|\bshould\b|\bt\.(?:Error|Fatal)\b"
+IMPORTS = (r"require\(\s*['\"](\.[^'\"]+)['\"]\s*\)", r"import\s+[^'\"]*from\s+['\"](\.[^'\"]+)['\"]", r"import\s*\(\s*['\"](\.[^'\"]+)['\"]\s*\)", r"from\s+(\.[\w.]+)\s+import")
+EXPORTS = (r"export\s+(?:async\s+)?function\s+(\w+)", r"export\s+(?:const|let|var|class|interface|type|enum)\s+(\w+)", r"module\.exports\.(\w+)\s*=", r"exports\.(\w+)\s*=", r"(?m)^def\s+(\w+)\s*\(", r"(?m)^class\s+(\w+)")
+EXPORTED_TOGETHER, EXPORTS_MOST = r"module\.exports\s*=\s*\{([^}]*)\}", 100
+
+
 def estimate_complexity(text: Column) -> Column:
     """One more than the branches that a text names."""
-    return F.regexp_count(text, F.lit(r"\b(?:if|for|while|case|catch|elif|except)\b|&&|\|\||\?")) + 1
+    return F.regexp_count(text, F.lit(BRANCHES)) + 1
 
 
 _BLOCK = re.compile(r"/\*(?:/|[^\n]*?\*/)[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
@@ -138,17 +155,43 @@ def indent_nesting(text: Column) -> Column:
 
 
 def test_framework(text: Column) -> Column:
-    return F.when(text.rlike(r"from ['\"]vitest['\"]"), "vitest").when(text.rlike(r"\bjest\b"), "jest").when(text.rlike(r"\bpytest\b|^def test_"), "pytest").when(text.rlike(r"\bunittest\b"), "unittest").when(text.rlike(r"\b(describe|it)\s*\("), "mocha").otherwise("unknown")
+    """The first framework that a text speaks of, null for none."""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, pattern in FRAMEWORKS:
+        out = out.when(text.rlike(pattern), name)
+    return out
 
 
 def test_cases(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"(?m)\b(?:it|test)\s*\(|^\s*(?:async\s+)?def test_"))
+    """How many test cases a text declares."""
+    return F.regexp_count(text, F.lit(CASES))
 
 
 def has_assertions(text: Column) -> Column:
-    return text.rlike(r"\bexpect\s*\(|\bassert\b|\bassert\.|\.should\b|self\.assert")
+    return text.rlike(ASSERTS)
+
+
+def _matches(text: Column, patterns: tuple[str, ...]) -> Column:
+    """First groups of all matches, pattern by pattern."""
+    return F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns])
 
 
 def relative_imports(text: Column) -> Column:
-    """Distinct specifiers of imports that start with a dot."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:from|require\(|import\()\s*['\"](\.[^'\"]+)['\"]"), F.lit(1)))
+    """Distinct specifiers of imports that start with a dot, by the form of import and then by place."""
+    return F.array_distinct(_matches(text, IMPORTS))
+
+
+def exports(text: Column) -> Column:
+    """Distinct names that a text gives to others, without those that start with an underscore, at most a hundred.
+
+    Names of ``module.exports = {...}`` follow the others, whatever they start with.
+    """
+    one = F.filter(_matches(text, EXPORTS), lambda x: ~x.startswith("_"))
+    parts = F.transform(F.split(F.regexp_extract(text, EXPORTED_TOGETHER, 1), ","), lambda x: F.regexp_replace(F.split_part(x, F.lit(":"), F.lit(1)), r"^\s+|\s+$", ""))
+    return F.slice(F.array_distinct(F.concat(one, F.filter(parts, lambda x: x.rlike(r"^\w+$")))), 1, EXPORTS_MOST)
+
+
+def test_facts(files: DataFrame) -> DataFrame:
+    """``files`` (content, ...) with framework, cases, asserts, imports, exports and complexity of their texts; a null text has none."""
+    t = F.coalesce("content", F.lit(""))
+    return files.withColumns({"framework": test_framework(t), "cases": test_cases(t), "asserts": has_assertions(t), "imports": relative_imports(t), "exports": exports(t), "complexity": estimate_complexity(t)})

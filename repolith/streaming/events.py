@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from repolith.functions.signing import signature_state
 from repolith.sources import sinks
 
-ENVELOPE = "delivery_id string, event string, action string, repo string, sha string, number int, draft boolean, branch string, default_branch string, received_at timestamp"
+ENVELOPE = "delivery_id string, event string, action string, repo string, sha string, number int, draft boolean, branch string, default_branch string, received_at timestamp, ref string, deleted boolean"
 ZERO_SHA = "0" * 40
+PULL_ACTIONS = ("opened", "synchronize", "reopened", "ready_for_review")
 
 
 def parsed(raw: DataFrame, payload: str = "value") -> DataFrame:
@@ -28,7 +30,7 @@ def parsed(raw: DataFrame, payload: str = "value") -> DataFrame:
 def outcome() -> Column:
     """What a webhook leads to: scan, rerun, record or ignored."""
     push = (F.col("event") == "push") & (F.col("branch") == F.col("default_branch")) & (F.col("sha") != ZERO_SHA)
-    pull = (F.col("event") == "pull_request") & F.col("action").isin("opened", "synchronize", "reopened", "ready_for_review") & ~F.coalesce("draft", F.lit(False))
+    pull = (F.col("event") == "pull_request") & F.col("action").isin(*PULL_ACTIONS) & ~F.coalesce("draft", F.lit(False))
     rerun = (F.col("event") == "check_run") & (F.col("action") == "rerequested")
     return F.when(push | pull, "scan").when(rerun, "rerun").when(F.col("event").isin("installation", "installation_repositories"), "record").otherwise("ignored")
 
@@ -40,6 +42,41 @@ def deliveries(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return d.withColumn("outcome", outcome())
 
 
+def verified(raw: DataFrame, secret: str, body: str = "value", signature: str = "signature") -> DataFrame:
+    """The rows whose signature fits their body; without a secret none does."""
+    return raw.where(signature_state(F.col(body), F.col(signature), secret) == "valid")
+
+
+#: What a repository's row says of its gates; a column that is null or absent is as here.
+GATES = {"guardian_enabled": True, "scan_on_push": True, "scan_on_pull_request": True, "default_branch": "main"}
+
+
+def gated(deliveries: DataFrame, repositories: DataFrame) -> DataFrame:
+    """``deliveries`` with ``status`` (queued or ignored), ``reason``, ``trigger`` and ``priority``, by the repositories' policies.
+
+    deliveries: envelopes, streaming or not; repositories: (repo, guardian_enabled, scan_on_push,
+    scan_on_pull_request, default_branch), a table that each micro-batch reads anew.  The
+    first reason that holds is given; a rerun that was asked for needs no policy.
+    """
+    r = repositories.dropDuplicates(["repo"])
+    known = r.select("repo", F.lit(True).alias("_known"), *[F.coalesce(F.col(c), F.lit(v)).alias(f"_{c}") if c in r.columns else F.lit(v).alias(f"_{c}") for c, v in GATES.items()])
+    d = deliveries.join(known, "repo", "left")
+    ref = F.coalesce("ref", F.concat(F.lit("refs/heads/"), "branch"))
+    missing, off = F.col("_known").isNull(), ~F.col("_guardian_enabled")
+    push = F.when(ref.isNull() | F.col("sha").isNull(), "no-commit").when(F.col("deleted"), "branch-deleted").when(F.col("sha").rlike("^0+$"), "no-commit").when(missing, "not-connected").when(off, "disabled").when(~F.col("_scan_on_push"), "policy")
+    push = push.when(~ref.startswith("refs/heads/"), "not-a-branch").when(F.substring(ref, 12, 1 << 20) != F.col("_default_branch"), "other-branch")
+    pull = F.when(~F.coalesce(F.col("action").isin(*PULL_ACTIONS), F.lit(False)), "action").when(F.col("number").isNull() | (F.col("number") == 0) | (F.coalesce("sha", F.lit("")) == ""), "incomplete").when(F.col("draft") & (F.col("action") != "ready_for_review"), "draft")
+    pull = pull.when(missing, "not-connected").when(off, "disabled").when(~F.col("_scan_on_pull_request"), "policy")
+    rerun = F.when(missing, "not-connected").when(F.coalesce("sha", F.lit("")) == "", "no-commit")
+    is_rerun = (F.col("event") == "check_run") & F.coalesce(F.col("action") == "rerequested", F.lit(False))
+    reason = F.when(F.col("event") == "push", push).when(F.col("event") == "pull_request", pull).when(is_rerun, rerun).otherwise("event")
+    d = d.withColumn("reason", reason)
+    trigger = F.when(F.col("event") == "push", "push").when((F.col("event") == "pull_request") | F.col("number").isNotNull(), "pull_request").otherwise("manual")
+    queued = F.col("reason").isNull()
+    d = d.withColumns({"status": F.when(queued, "queued").otherwise("ignored"), "trigger": F.when(queued, trigger), "priority": F.when(queued, F.when(is_rerun, 100).otherwise(0))})
+    return d.drop("_known", *[f"_{c}" for c in GATES])
+
+
 def deduped_events(events: DataFrame, key: str = "dedupe_key") -> DataFrame:
     """One event a repository and key; events without a key all stay."""
     return events.where(F.col(key).isNull()).unionByName(events.where(F.col(key).isNotNull()).dropDuplicates(["repo", key]))

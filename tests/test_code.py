@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from repolith.functions import scalars as S
 from repolith.operators import findings as FI
 from repolith.operators import graph as G
-from repolith.operators import rules, scoring
+from repolith.operators import resolution, rules, scoring
 from repolith.sources import files, manifests
 from repolith.streaming import events
 
@@ -108,7 +108,7 @@ def test_graph(spark):
     assert got == {("b", 1, "a"), ("c", 2, "b"), ("d", 3, "c")}
     specs = spark.createDataFrame([("src/a/x.js", "../lib/y"), ("src/a/x.js", "./z"), ("src/a/x.js", "./none")], "path string, specifier string")
     known = spark.createDataFrame([("src/lib/y.js",), ("src/a/z.ts",), ("src/a/z.js",)], "path string")
-    assert {(r["specifier"], r["target"]) for r in G.resolved_imports(specs, known).collect()} == {("../lib/y", "src/lib/y.js"), ("./z", "src/a/z.ts")}
+    assert {(r["specifier"], r["target"]) for r in resolution.resolved(specs.withColumn("language", F.lit("javascript")), known).collect()} == {("../lib/y", "src/lib/y.js"), ("./z", "src/a/z.ts")}
 
 
 def test_webhooks(spark, tmp_path):
