@@ -6,6 +6,7 @@ are few beside the text, and everything about one is in its own row.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
@@ -20,7 +21,13 @@ from pyspark.sql import functions as F
 
 from repolith.llm.common import text_of
 
-_ASSIGNED = re.compile(r"""(?i)(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)["']?[ \t]*(?:=>|:=|=|:)[ \t]*["']?([^\s"'`,;<>]{8,}+)""")
+_ASSIGNED = re.compile(
+    r"""(?i)(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)["']?[ \t]*(?:=>|:=|=|:)[ \t]*"""
+    r"""(?:"([^"\r\n]{8,}+)"|'([^'\r\n]{8,}+)'|`([^`\r\n]{8,}+)`|["'`]?((?=[^\s"'`;<>]{8})[^\s"'`,;<>]++(?:,[^\s"'`,;<>]++)*+))"""
+)
+#: The password of an address, and the body of a private key in its armour.
+_ADDRESS = re.compile(r"""://[^\s/:@"'`<>]{0,255}:([^\s/@"'`<>]{4,}+)@""")
+_ARMOUR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----\s*+([A-Za-z0-9+/=\s]{16,}+)-----END")
 _BARE = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_=.-]{16})(?=[A-Za-z+/_=.-]*+[0-9])(?=[0-9+/_=.-]*+[A-Za-z])[A-Za-z0-9+/_=.-]{16,}+")
 _CUE = re.compile(r"(?i)token|secret|passw|pwd|api.?key|access.?key|credential|auth|bearer|private")
 _NOT = re.compile(r"(?i)sha\d*|md5|commit|hash|checksum|digest|uuid|revision|integrity|version|file|path|example|placeholder")
@@ -57,20 +64,25 @@ def features(value: str, before: str, after: str, assigned: bool) -> list[float]
 
 
 def candidates(text: str | None) -> list[tuple[int, int, str, list[float]]]:
-    """(start, end, rule, features) in a text by start; an assigned value hides what is bare within it.
+    """(start, end, rule, features) in a text by start; of candidates that overlap, the first kind named here stays.
 
-    A candidate of any length is whole; only the feature of its length is bounded.
+    Kinds: the body of a private key (``key``), the password of an address (``address``), a value
+    beside a cue (``assigned``: to its closing quote where it has one), a run of key-like
+    characters (``bare``).  A candidate of any length is whole; only the feature of its length is bounded.
     """
     if not text:
         return []
-    spans = {m.span(1): "assigned" for m in _ASSIGNED.finditer(text)}
-    taken, k = sorted(spans), 0
-    for m in _BARE.finditer(text):
-        while k < len(taken) and taken[k][1] <= m.start():
-            k += 1
-        if k == len(taken) or taken[k][0] >= m.end():
-            spans[m.span()] = "bare"
-    return [(a, b, rule, features(text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR], rule == "assigned")) for (a, b), rule in sorted(spans.items())]
+    spans: list[tuple[int, int, str]] = []
+    for rule, pattern in (("key", _ARMOUR), ("address", _ADDRESS), ("assigned", _ASSIGNED), ("bare", _BARE)):
+        taken, k, new = sorted(spans), 0, []
+        for m in pattern.finditer(text):
+            a, b = m.span(m.lastindex or 0)
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            if k == len(taken) or taken[k][0] >= b:
+                new.append((a, b, rule))
+        spans += new
+    return [(a, b, rule, features(text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR], rule != "bare")) for a, b, rule in sorted(spans)]
 
 
 def labelled_findings(spark: SparkSession, n: int = 2000, seed: int = SEED) -> DataFrame:
@@ -92,10 +104,12 @@ def labelled_findings(spark: SparkSession, n: int = 2000, seed: int = SEED) -> D
                 lambda: pick(alnum + "+/", 24, 60) + "=",
                 lambda: ".".join(pick(alnum + "-_", a, b) for a, b in ((20, 40), (40, 160), (30, 60))),
                 lambda: pick(alnum + "!@#%", 10, 20),
+                lambda: "\n".join(pick(alnum + "+/", 64, 64) for _ in range(rng.randint(1, 25))) + "\n",
+                lambda: ",".join(pick(alnum, 6, 12) for _ in range(2)),
             ]
             value = rng.choice(kinds)()
             bare = rng.random() < 0.15
-            before = "" if bare else rng.choice(["token = \"", "password=", "api_key: '", "secret := ", "auth_token=", "access_key = \""])
+            before = "" if bare else rng.choice(["token = \"", "password=", "api_key: '", "secret := ", "auth_token=", "access_key = \"", "://admin:"])
             rows.append((value, before, "\"" if before.endswith("\"") else "'" if before.endswith("'") else " ", not bare, 1))
         else:
             syllable = lambda: rng.choice("bcdfghklmnprstvw") + rng.choice(["a", "e", "i", "o", "u", "an", "er", "in", "or"])
@@ -134,17 +148,17 @@ def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int =
 def scan(docs: DataFrame, model: RandomForestClassificationModel, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """One row for each candidate: (doc_id, start, end, rule, value_sha256, probability, is_secret).
 
-    Places are code points, end exclusive.  Null and empty texts have no candidates;
-    repeated rows give theirs again; other columns are not read.
+    Places are code points, end exclusive.  Null and empty texts have no candidates; a null key
+    stays null; repeated rows give theirs again; an empty table gives an empty one; other columns
+    are not read.  Digests are taken where a text is searched, so it does not go along with its candidates.
     """
 
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([[{"start": a, "end": b, "rule": r, "x": f} for a, b, r, f in candidates(t)] for t in texts], dtype=object)
+            yield pd.Series([[{"start": a, "end": b, "rule": r, "sha": hashlib.sha256(t[a:b].encode()).hexdigest(), "x": f} for a, b, r, f in candidates(t)] for t in texts], dtype=object)
 
-    found = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("_t")).withColumn("_c", F.pandas_udf(find, "array<struct<start:long,end:long,rule:string,x:array<double>>>")("_t"))
-    rows = found.select("doc_id", "_t", F.explode("_c").alias("c"))
-    sha = F.sha2(F.substring("_t", F.col("c.start").cast("int") + 1, (F.col("c.end") - F.col("c.start")).cast("int")), 256)
-    rows = rows.select("doc_id", "c.start", "c.end", "c.rule", sha.alias("value_sha256"), array_to_vector("c.x").alias("features"))
+    found = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("_t")).withColumn("_c", F.pandas_udf(find, "array<struct<start:long,end:long,rule:string,sha:string,x:array<double>>>")("_t"))
+    rows = found.select("doc_id", "_c").select("doc_id", F.explode("_c").alias("c"))  # the text ends here
+    rows = rows.select("doc_id", "c.start", "c.end", "c.rule", F.col("c.sha").alias("value_sha256"), array_to_vector("c.x").alias("features"))
     p = F.round(vector_to_array("probability")[1], 6)
     return model.transform(rows).select("doc_id", "start", "end", "rule", "value_sha256", p.alias("probability"), (p >= threshold).alias("is_secret"))
