@@ -4,19 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to ``spark.checkpoint.dir``: later steps read it instead of computing it again.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
     On one machine a missing setting is filled in; executors elsewhere could not read a local folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base and not sc.master.startswith("local"):
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="repolith-"))
+        base = "file://" + tempfile.mkdtemp(prefix="repolith-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder: later steps read it instead of computing it again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
