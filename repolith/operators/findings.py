@@ -30,6 +30,22 @@ def deduped(d: DataFrame, order: str) -> DataFrame:
     return out.select("fingerprint", "w.*", confidence.alias("confidence"), "occurrences")
 
 
+def corroborated(d: DataFrame, order: str) -> DataFrame:
+    """(fingerprint, corroborated_by): the other scanners that found what is kept of each fingerprint, by name.
+
+    d: (fingerprint, severity, scanner, order).  Findings meet one after another: the worse of
+    two stays (the first of equals) and notes the other's scanner, and what it noted before goes
+    with it only.  So the kept one notes all after it, and of those before it the one that it replaced.
+    """
+    w = Window.partitionBy("fingerprint").orderBy(order)
+    rank = F.struct(severity_rank("severity").alias("r"), F.col("_i").alias("i"))
+    d = d.select("fingerprint", "severity", "scanner", F.row_number().over(w).alias("_i"), order).withColumn("_k", rank)
+    before = F.min_by("scanner", "_k").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    best = F.min("_k").over(Window.partitionBy("fingerprint"))
+    d = d.withColumn("_by", F.when(F.col("_i") > best["i"], F.col("scanner")).when(F.col("_i") == best["i"], before))
+    return d.groupBy("fingerprint").agg(F.array_sort(F.collect_set("_by")).alias("corroborated_by"))
+
+
 def ordered(d: DataFrame, most: int | None = None) -> DataFrame:
     """By severity, path and line; ``most`` rows of that order."""
     out = d.orderBy(severity_rank("severity"), F.coalesce("path", F.lit("")), F.coalesce("line", F.lit(0)), "fingerprint")

@@ -220,8 +220,11 @@ def change_preview(changes: DataFrame, files: DataFrame, imports: DataFrame) ->
 ENTRY = r"(?:^|/)(?:index|main|app|server)\.[tj]sx?$|(?:^|/)app/layout\.tsx$"
 
 
-def architecture(files: DataFrame, imports: DataFrame, names: int = 15, entries: int = 10, hot: int = 8) -> DataFrame:
-    """(part, name, members, n): layers with their first files, entry points and most imported files, by name."""
+def architecture(files: DataFrame, imports: DataFrame, names: int = 15, entries: int = 10, hot: int = 8, dependencies: DataFrame | None = None, direct: int = 40) -> DataFrame:
+    """(part, name, members, n): layers with their first files, entry points and most imported files, by name.
+
+    With ``dependencies`` (name, is_direct) also the first ``direct`` direct ones by name.
+    """
     kind = P.role(F.col("path"))
     layer = F.when(kind == "test", "Tests").when(kind == "route", "API").when(kind == "component", "Frontend").otherwise(P.layer(F.col("path")))
     d = files.select("path", layer.alias("layer")).where("layer <> 'Other'")
@@ -232,7 +235,11 @@ def architecture(files: DataFrame, imports: DataFrame, names: int = 15, entries:
     none = F.array().cast("array<string>")
     starts = files.where(F.col("path").rlike(ENTRY)).orderBy("path").limit(entries).select(F.lit("entry").alias("part"), F.col("path").alias("name"), none.alias("members"), F.lit(0).cast("long").alias("n"))
     spots = graph.hotspots(imports, hot).select(F.lit("hotspot").alias("part"), F.col("node").alias("name"), none.alias("members"), F.col("dependents").alias("n"))
-    return layers_.unionByName(starts).unionByName(spots)
+    out = layers_.unionByName(starts).unionByName(spots)
+    if dependencies is None:
+        return out
+    named = dependencies.where("is_direct").select("name").distinct().orderBy("name").limit(direct)
+    return out.unionByName(named.select(F.lit("dependency").alias("part"), "name", none.alias("members"), F.lit(0).cast("long").alias("n")))
 
 
 def recommendations(d: DataFrame, key: str = "repo") -> DataFrame:
@@ -250,11 +257,20 @@ def hotspot_recommendations(components: DataFrame, key: str = "repo") -> DataFra
     return d.select(key, F.concat(F.lit("hotspot:"), "name").alias("id"), F.lit("medium").alias("weight"))
 
 
-def recommended_tests(findings: DataFrame, uncovered: DataFrame, key: str = "repo") -> DataFrame:
-    """(key, text): tests to write for the first five new findings (key, k, rule_id, path, line) and four uncovered files (key, k, path)."""
+# The sentences are fixed values.
+def recommended_tests(findings: DataFrame, uncovered: DataFrame, impacted: DataFrame | None = None, key: str = "repo") -> DataFrame:
+    """(key, text): tests to write for the first five new findings (key, k, rule_id, path, line) and four uncovered files (key, k, path).
+
+    With ``impacted`` (key, k, path) one more crosses the first three files that depend on the change.
+    """
     line = F.when(F.col("line") > 0, F.concat(F.lit(" (line "), F.col("line").cast("string"), F.lit(")"))).otherwise("")
     a = findings.where("k <= 5 and path is not null").select(key, F.concat(F.lit("Regression test for "), "rule_id", F.lit(" in "), "path", line, F.lit(": assert the unsafe path is rejected.")).alias("text"))
-    return a.unionByName(uncovered.where("k <= 4").select(key, F.concat(F.lit("Unit test for "), "path", F.lit(" — it changed in this PR and has no covering test.")).alias("text")))
+    out = a.unionByName(uncovered.where("k <= 4").select(key, F.concat(F.lit("Unit test for "), "path", F.lit(" — it changed in this PR and has no covering test.")).alias("text")))
+    if impacted is None:
+        return out
+    across = F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 3, F.struct("k", "path")))), lambda x: x["path"])
+    n = impacted.groupBy(key).agg(F.array_join(across, ", ").alias("_first"), F.count(F.lit(1)).cast("string").alias("_n"))
+    return out.unionByName(n.select(key, F.concat(F.lit("Integration test across "), "_first", F.lit(" — "), "_n", F.lit(" file(s) depend on the changed code.")).alias("text")))
 
 
 def _holds(word: str):

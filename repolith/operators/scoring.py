@@ -132,6 +132,46 @@ def test_relevance(d: DataFrame) -> DataFrame:
     return d.withColumn("relevance", F.when(F.col("depth").between(0, 3), score).otherwise(0))
 
 
+def prioritized_tests(d: DataFrame, key: str, test: str, most: int = 20) -> DataFrame:
+    """``d`` with relevance and ``place``: the first ``most`` tests of each key, most relevant first, then by name."""
+    d = test_relevance(d)
+    return d.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("relevance"), test))).where(F.col("place") <= most)
+
+
+def _said(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def gap_reason() -> Column:
+    """Why an untested symbol (kind, path, complexity, dependents, route, database) is a gap; fixed values, as text."""
+    n = F.col("dependents")
+    parts = [
+        _said("Exported ", F.col("kind"), " with no test file importing ", F.col("path")),
+        F.when(F.col("complexity") >= 3, _said(F.col("complexity").cast("string"), " decision points")),
+        F.when(n > 0, _said(n.cast("string"), " dependent file", F.when(n == 1, "").otherwise("s"))),
+        F.when(F.col("route"), F.lit("reachable from an HTTP route")),
+        F.when(F.col("database"), F.lit("touches the database")),
+    ]
+    return F.concat(F.array_join(F.array_compact(F.array(*parts)), " · "), F.lit("."))
+
+
+def gap_scenarios() -> Column:
+    """What to test of a symbol (name, parameters, complexity, is_async, route, database, sensitive), as (description, priority); fixed values, as text."""
+    name, n = F.col("name"), F.size("parameters")
+    one = lambda when, text, priority: F.when(when, F.struct(text.alias("description"), (priority if isinstance(priority, Column) else F.lit(priority)).alias("priority")))
+    taken = F.when(n == 1, _said("`", F.get("parameters", F.lit(0)), "`")).otherwise("arguments")
+    rows = [
+        one(F.lit(True), _said(name, " returns the expected result for a typical input"), "high"),
+        one(n > 0, _said(name, " handles missing or invalid ", taken), "high"),
+        one(F.col("complexity") >= 3, _said("Each branch of ", name, " is exercised"), F.when(F.col("complexity") >= 6, "high").otherwise("medium")),
+        one(F.col("is_async"), _said(name, " propagates or handles a rejected promise"), "medium"),
+        one(F.col("database"), _said(name, " behaves correctly when the database returns no rows"), "medium"),
+        one(F.col("route"), F.lit("The endpoint rejects unauthenticated or malformed requests"), "high"),
+        one(F.col("sensitive"), _said(name, " denies access when the caller is not permitted"), "high"),
+    ]
+    return F.array_compact(F.array(*rows))
+
+
 def gap_severity(d: DataFrame) -> DataFrame:
     """``d`` with severity of a test gap from complexity, dependents, route, database and sensitive."""
     points = F.when(F.col("complexity") >= 6, 2).when(F.col("complexity") >= 3, 1).otherwise(0) + F.when(F.col("dependents") >= 3, 2).when(F.col("dependents") >= 1, 1).otherwise(0)
@@ -142,3 +182,43 @@ def gap_severity(d: DataFrame) -> DataFrame:
 def debt(hours: dict[str, Column]) -> Column:
     """Sum of rounded hours by contributor."""
     return S.round1(sum((S.round1(v) for v in hours.values()), F.lit(0.0)))
+
+
+# Hours of technical debt for each of a kind, and from which complexity and length a file counts.
+DEBT_EACH = {"complexity": 1.5, "test-gaps": 0.75, "vulnerable-deps": 1.5, "stale-deps": 0.5}
+COMPLEX_FROM, SOURCE_FROM = 25, 20
+
+
+def debt_contributors(findings: DataFrame, files: DataFrame, tests: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """(repo, id, hours, count, place): what makes up a repository's technical debt, most hours first.
+
+    findings: open ones (repo, severity); files: (repo, path, kind, loc, complexity); tests: (repo,
+    path, covers); dependencies: (repo, version, latest, vulnerabilities).  A contributor without
+    a case has no row.  The hours of a repository are their sum, see ``debt_totals``.
+    """
+    lists = lambda d, c: d.select("repo", F.explode(c).alias("path")).distinct()
+    covered, own = lists(tests, "covers"), tests.select("repo", "path").distinct()
+    source = files.where(~F.coalesce("kind", F.lit("")).isin("test", "config") & (F.col("loc") >= SOURCE_FROM)).join(own, ["repo", "path"], "left_anti")
+    cases = {
+        "complexity": files.where(F.coalesce("complexity", F.lit(0)) >= COMPLEX_FROM),
+        "test-gaps": source.join(covered, ["repo", "path"], "left_anti"),
+        "vulnerable-deps": dependencies.where(F.col("vulnerabilities") > 0),
+        "stale-deps": dependencies.where(F.coalesce(S.major_behind(F.col("version"), F.col("latest")), F.lit(False))),
+    }
+    cents = F.sum(S.lookup("severity", {k: round(100 * v) for k, v in S.DEBT_HOURS.items()}))
+    out = findings.groupBy("repo").agg(S.round1(cents / 100).alias("hours"), F.count(F.lit(1)).alias("count")).select("repo", F.lit("findings").alias("id"), "hours", "count")
+    for name, d in cases.items():
+        n = d.groupBy("repo").agg(F.count(F.lit(1)).alias("count"))
+        out = out.unionByName(n.select("repo", F.lit(name).alias("id"), S.round1(F.col("count") * DEBT_EACH[name]).alias("hours"), "count"))
+    order = Window.partitionBy("repo").orderBy(F.desc("hours"), "id")
+    return out.withColumn("place", F.row_number().over(order))
+
+
+def debt_totals(contributors: DataFrame) -> DataFrame:
+    """(repo, hours) over a repository's contributors."""
+    return contributors.groupBy("repo").agg(S.round1(F.sum("hours")).alias("hours"))
+
+
+def debt_markers(findings: DataFrame) -> DataFrame:
+    """(repo, markers): open findings (repo, rule_id) of rules about notes left in code."""
+    return findings.where(F.col("rule_id").like("%todo%") | F.col("rule_id").like("%fixme%")).groupBy("repo").agg(F.count(F.lit(1)).alias("markers"))

@@ -85,6 +85,12 @@ def repository_stats(files: DataFrame) -> DataFrame:
     return files.groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.sum("loc").alias("loc"), F.count_if("is_test").alias("tests")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("loc"), "language")))
 
 
+def repository_totals(files: DataFrame) -> DataFrame:
+    """One row: files, loc, bytes and tests of all ``files`` (loc, bytes, is_test); zeros for none."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return files.agg(F.count(F.lit(1)).alias("files"), total("loc"), total("bytes"), F.count_if("is_test").alias("tests"))
+
+
 # Branches that count as complexity; test frameworks, cases, assertions, imports and exports of a text.
 BRANCHES = r"\b(?:if|else\s+if|elif|for|while|case|catch|except)\b|&&|\|\||\?\?|\?[^.:]"
 FRAMEWORKS = (
