@@ -28,7 +28,7 @@ def hmac_sha256(key: Column, message: Column) -> Column:
     Of a literal key the padding is folded to a constant before any row is read.
     """
     inner = F.unhex(F.sha2(F.concat(_padded(key, 0x36), message), 256))
-    return F.sha2(F.concat(_padded(key, 0x5C), inner), 256)
+    return F.when(key.isNotNull(), F.sha2(F.concat(_padded(key, 0x5C), inner), 256))
 
 
 def signature_state(body: Column, signature: Column, secret: str | None) -> Column:
