@@ -17,7 +17,7 @@ from repolith.llm.common import fresh, reduced, staged, text_of
 MASKS = ((0, 1, 2, 3), (0, 1, 4, 6))
 #: A window of so many aligned words (or a whole shorter item) of which SHARE percent are equal is a leak.
 WINDOW, SHARE = 20, 80
-#: An item of fewer words than EXACT_BELOW must be there word for word; one below LEAST_WORDS is no evidence and is not looked for.
+#: An item of fewer words than EXACT_BELOW must be there word for word; one below LEAST_WORDS must be the whole text, as it stands in clean texts too.
 EXACT_BELOW, LEAST_WORDS = 8, 4
 #: Most seeds of a benchmark that are broadcast (24 bytes each); beyond it the join shuffles.
 BROADCAST_SEEDS = 1_000_000
@@ -48,10 +48,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str
 
     Of several places the one with the most equal words in a window counts, then the
     earliest.  Null, empty and short texts leak nothing; other columns are not read.
-    Items of 4 to 7 words leak only where all their words stand; shorter ones are not looked for.
+    Items of 4 to 7 words leak only where all their words stand, those of 1 to 3 only where a
+    text has no other word; items without a word don't leak.
     A repeated key counts once, with its best row.  Empty tables give an empty result.
     """
-    items = benchmark.select(F.col(item).alias("item_id"), words(F.col("text").cast("string")).alias("_w")).where(F.size("_w") >= LEAST_WORDS)
+    all_items = benchmark.select(F.col(item).alias("item_id"), words(F.col("text").cast("string")).alias("_w"))
+    items = all_items.where(F.size("_w") >= LEAST_WORDS)
     items = staged(items.groupBy("_w").agg(F.collect_set("item_id").alias("ids")).withColumn("item", F.xxhash64("_w")), "items")
     seeds = staged(_seeds(items, ["item"]).select("item", "hash", F.col("place").alias("item_place")).distinct(), "seeds")
     small = seeds.count() <= BROADCAST_SEEDS
@@ -71,6 +73,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str
     sums = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_e") - F.col("_n") + 1, F.lit(1))), lambda s: F.aggregate(F.slice("_e", s, F.col("_n")), F.lit(0), lambda a, x: a + x))
     both = both.withColumn("best_window", F.when(F.size("_e") >= F.col("_n"), F.array_max(sums)).otherwise(0)).where(100 * F.col("best_window") >= F.when(F.col("_n") < EXACT_BELOW, 100).otherwise(SHARE) * F.col("_n"))
     rows = both.select("doc_id", F.explode("ids").alias("item_id"), F.col("shift").alias("first_word"), F.size("_w").alias("n_item_words"), F.aggregate("_e", F.lit(0), lambda a, x: a + x).alias("n_matched"), "best_window")
+    short = F.size("_w").between(1, LEAST_WORDS - 1)
+    brief = own.select("doc_id", words(F.col("text")).alias("_w")).where(short).join(all_items.where(short), "_w")
+    rows = rows.unionByName(brief.select("doc_id", "item_id", F.lit(0).alias("first_word"), *[F.size("_w").alias(c) for c in ("n_item_words", "n_matched", "best_window")]))
     best = F.max_by(F.struct("first_word", "n_item_words", "n_matched", "best_window"), F.struct("best_window", "n_matched", -F.col("first_word"))).alias("b")
     return rows.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 

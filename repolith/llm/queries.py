@@ -124,7 +124,8 @@ LEAKS = f"""WITH items AS (SELECT item_id, {_CLEAN} AS w FROM benchmark), docs A
  i AS (SELECT item_id, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS j FROM items WHERE len(w) >= 4), d AS (SELECT doc_id, len(w) AS dn, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS k FROM docs),
  m AS (SELECT doc_id, item_id, k - j AS shift, j, n, dn FROM d JOIN i USING (w)), g AS (SELECT doc_id, item_id, shift FROM m GROUP BY ALL HAVING 100 * count(*) >= 80 * least(20, any_value(n))),
  x AS (SELECT m.*, count(*) OVER (PARTITION BY doc_id, item_id, shift) AS n_matched, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j RANGE BETWEEN CURRENT ROW AND (least(20, n) - 1) FOLLOWING) AS window_ FROM m JOIN g USING (doc_id, item_id, shift)),
- y AS (SELECT doc_id, item_id, shift AS first_word, n AS n_item_words, n_matched, max(window_) AS best_window FROM x WHERE least(n, dn - shift) - greatest(0, -shift) >= least(20, n) GROUP BY ALL HAVING 100 * max(window_) >= CASE WHEN n < 8 THEN 100 ELSE 80 END * least(20, n))
+ y AS (SELECT doc_id, item_id, shift AS first_word, n AS n_item_words, n_matched, max(window_) AS best_window FROM x WHERE least(n, dn - shift) - greatest(0, -shift) >= least(20, n) GROUP BY ALL HAVING 100 * max(window_) >= CASE WHEN n < 8 THEN 100 ELSE 80 END * least(20, n)
+ UNION ALL SELECT doc_id, item_id, 0, len(w), len(w), len(w) FROM docs JOIN items USING (w) WHERE len(w) BETWEEN 1 AND 3)
  SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY best_window DESC, n_matched DESC, first_word) = 1"""
 
 
