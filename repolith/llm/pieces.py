@@ -224,7 +224,8 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc
     """``docs`` with an array of sampled piece ids; theta: higher takes likelier pieces.
 
     Rows of equal key and text get equal pieces.  Null and empty texts get an empty
-    array; a null key counts as a key of its own.  All rows and other columns stay.
+    array; a null key counts as a key of its own.  All rows and other columns stay, but a
+    column named ``out`` is replaced; an empty table stays empty.
     ``model_path`` is a file that every executor has.
     """
 
@@ -240,7 +241,10 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc
 
 
 def decode(docs: DataFrame, model_path: str, pieces_col: str = "pieces", out: str = "decoded") -> DataFrame:
-    """``docs`` with the text that an array of piece ids stands for; null for a null array."""
+    """``docs`` with the text that an array of piece ids stands for; null for a null array, empty for an empty one.
+
+    All rows and other columns stay, but a column named ``out`` is replaced; an empty table stays empty.
+    """
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

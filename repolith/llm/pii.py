@@ -157,7 +157,10 @@ def find(docs: DataFrame, text: str = "text", out: str = "pii_spans") -> DataFra
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with each span of ``text`` replaced by its kind, as in ``<EMAIL>``; null stays null."""
+    """``docs`` with each span of ``text`` replaced by its kind, as in ``<EMAIL>``; null stays null.
+
+    All rows and other columns stay; texts of any length are searched whole; an empty table stays empty.
+    """
     return docs.withColumn(text, F.pandas_udf(_masked, "string")(F.col(text)))
 
 

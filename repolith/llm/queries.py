@@ -29,36 +29,44 @@ def remainder(key: str, n: int):
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, as ``pii.find`` says."""
     return pii.digest(pii.find(_documents(spark, sf_dir)))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, verdict and posterior of all documents, as ``quality.score`` says."""
     return quality.score(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under a model of those that are not held out, as ``lm.score`` says."""
     held = remainder("doc_id", 7) == 2
     out = lm.score(_documents(spark, sf_dir), ~held)
     return out.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each document is not a repeat of an earlier one, as ``repeats.remove`` says."""
     return repeats.remove(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of each document's set and the least document it is linked with, as ``jaccard.near_duplicates`` says."""
     return jaccard.near_duplicates(_documents(spark, sf_dir))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items they leak, as ``decontam.leaks`` says."""
     return decontam.leaks(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents written to files and read back, as ``tokenids.write_and_read`` says."""
     return tokenids.write_and_read(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from those not held out, as ``langid.predict`` says."""
     docs = _documents(spark, sf_dir)
     held = remainder("doc_id", 5) == 0
     model = langid.fit(docs.where(~held))
@@ -66,6 +74,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of all documents and whether they decode to the text, as ``pieces.encode`` says."""
     path = tokenizer_file("piece_bpe_32k.model")
     done = pieces.decode(pieces.encode(_documents(spark, sf_dir).select("doc_id", "text"), path), path)
     digest = F.crc32(F.encode(F.array_join("pieces", ","), "UTF-8"))
@@ -73,6 +82,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates in all documents and what the forest says of them, as ``secret_scan.scan`` says."""
     return secret_scan.scan(_documents(spark, sf_dir), secret_scan.fit(secret_scan.labelled_findings(spark)))
 
 
