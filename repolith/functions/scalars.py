@@ -76,7 +76,8 @@ def redact_evidence(evidence: Column, secret: Column) -> Column:
     return F.when(F.length(secret) >= 4, F.replace(evidence, secret, mask_secret(secret))).otherwise(evidence)
 
 
-# What marks a credential (its value is group 1), and values that are none.
+# What marks a credential (its value is group 1), the names of these marks, and values that are none.
+CREDENTIAL_NAMES = ("aws-access-key", "github-token", "slack-token", "stripe-key", "google-api-key", "openai-key", "sendgrid-key", "npm-token", "jwt", "private-key-block", "basic-auth-url", "assigned-secret")
 CREDENTIALS = (
     r"\b((?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16})\b",
     r"\b((?:ghp|gho|ghu|ghs|ghr|github_pat)_[A-Za-z0-9_]{16,})\b",

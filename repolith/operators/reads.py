@@ -112,3 +112,49 @@ def guardian_overview(repos: DataFrame, deliveries: DataFrame, jobs: DataFrame,
     for x in parts:
         d = d.join(x, "repo", "left")
     return d.fillna(0, ["deliveries", "processed", "failed", "queued", "running", "risky"])
+
+
+def latest(d: DataFrame, key: str, *order: str) -> DataFrame:
+    """The last row of each key by ``order``: one aggregate, whatever a key's number of rows."""
+    rest = [c for c in d.columns if c != key]
+    return d.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_x")).select(key, "_x.*")
+
+
+def by_id(d: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """(request, rows of ``d``): the row that each of (request, key) asks for; requests for none are left out."""
+    return requests.join(d, key)
+
+
+def rows_of(d: DataFrame, owners: DataFrame, key: str) -> DataFrame:
+    """All rows of ``d`` that belong to ``owners`` (key), as the fixes of a finding do."""
+    return d.join(owners.select(key).distinct(), key, "left_semi")
+
+
+def deltas(d: DataFrame, key: str, time: str, value: str) -> DataFrame:
+    """``d`` with ``delta``: the change of ``value`` since a key's row before."""
+    return d.withColumn("delta", F.col(value) - F.lag(value).over(Window.partitionBy(key).orderBy(time)))
+
+
+def counts(d: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n); keys without rows have none."""
+    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def since(d: DataFrame, key: str, time: str, as_of: str, **starts: str) -> DataFrame:
+    """(key, a count for each name): rows up to ``as_of`` that are later than each start."""
+    return d.where(F.col(time) <= as_of).groupBy(key).agg(*[F.count_if(F.col(time) > v).alias(k) for k, v in starts.items()])
+
+
+def largest(d: DataFrame, key: str, size: str, most: int) -> DataFrame:
+    """(key, files, loc): the ``most`` keys of largest summed size, ties by key."""
+    return d.groupBy(key).agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("loc")).orderBy(F.desc("loc"), key).limit(most)
+
+
+def with_counts(d: DataFrame, other: DataFrame, on: str, name: str) -> DataFrame:
+    """``d`` with how many rows of ``other`` share ``on``, 0 for none; ``other`` is counted before it is joined."""
+    return d.join(other.groupBy(on).agg(F.count(F.lit(1)).alias(name)), on, "left").fillna(0, [name])
+
+
+def with_parent(d: DataFrame, parents: DataFrame, on: str) -> DataFrame:
+    """``d`` beside its parent's columns, as repositories beside their installation; null where there is none."""
+    return d.join(parents, on, "left")

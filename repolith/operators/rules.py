@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.functions import paths as P
-from repolith.functions.scalars import fingerprint, redact_evidence, redact_secrets, round_confidence
+from repolith.functions.scalars import CREDENTIAL_NAMES, CREDENTIALS, PLACEHOLDER, fingerprint, redact_evidence, redact_secrets, round_confidence
 from repolith.operators.resolution import resolved
 from repolith.sources import manifests
 from repolith.sources.files import basename, estimate_complexity, has_assertions, indent_nesting, lines, lines_around, nesting_depth, relative_imports, test_cases
 
 HITS = 5
+#: How sure a credential is by its own form, and by the name that it is assigned to.
+SURE, ASSIGNED_SURE = 0.95, 0.85
 EVIDENCE = 240
 # Patterns of user input, of strings built from values, and the rules.
 USER_INPUT = r"\breq(?:uest)?\.(?:body|query|params|headers|cookies)\b|\bctx\.request\b|\bevent\.(?:body|queryStringParameters)\b|\bprocess\.argv\b|\binput\(\)|\brequest\.(?:GET|POST|form|args|json)\b"
@@ -54,11 +56,6 @@ SECURITY = (
     Rule("security/insecure-random", "medium", 0.65, r"Math\.random\s*\(\)|\brandom\.random\s*\(\)", CODE, r"(?i)token|secret|password|key|nonce|salt|otp|session|reset"),
     Rule("security/tls-verification-disabled", "high", 0.85, r"rejectUnauthorized\s*:\s*false|verify\s*=\s*False|NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*['\"]?0|InsecureSkipVerify\s*:\s*true"),
 )
-SECRETS = (  # a reconstruction: only the ids' prefix is known
-    Rule("secret/assigned", "critical", 0.85, r"(?i)\b(?:api[_-]?key|secret|access[_-]?token|auth[_-]?token|password|passwd)\b[\"']?\s*[:=]\s*[\"'][^\"'\s]{8,}[\"']", secret=r"[:=]\s*[\"']([^\"'\s]{8,})[\"']"),
-    Rule("secret/private-key", "critical", 0.95, r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"),
-    Rule("secret/provider-token", "critical", 0.95, r"\bgh[pousr]_[A-Za-z0-9]{36,}\b|\bAKIA[0-9A-Z]{16}\b|\bsk_live_[A-Za-z0-9]{16,}\b"),
-)
 WORKFLOW = (
     Rule("cicd/pull-request-target", "high", 0.8, "pull_request_target", ("yaml",)),
     Rule("cicd/untrusted-context-interpolation", "high", 0.8, r"\$\{\{\s*github\.event\.(?:comment|issue|pull_request|review)\.(?:body|title)", ("yaml",)),
@@ -141,9 +138,27 @@ def security(files: DataFrame) -> DataFrame:
 
 
 def secrets(files: DataFrame) -> DataFrame:
-    """Committed credentials, by a reconstructed rule set."""
-    code = lines(files).withColumn("language", F.lit("java"))
-    return _sign(capped(hits(code, SECRETS)))
+    """Committed credentials in any line of any file, comments too, by the marks that redaction knows; the ids are ours.
+
+    Placeholders are none.  A line has one finding for each mark, by its first value; one that is
+    only assigned to a telling name gives way to the others.  A private key's block counts at
+    its first line.
+    """
+    block = CREDENTIAL_NAMES.index("private-key-block")
+    t = F.col("text")
+
+    def one(name: str, pattern: str) -> Column:
+        value = F.get(F.filter(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda v: (v != "") & ~F.trim(v).rlike(PLACEHOLDER)), F.lit(0))
+        return F.when(value.isNotNull(), F.struct(F.lit(f"secret/{name}").alias("rule_id"), F.lit(ASSIGNED_SURE if name == "assigned-secret" else SURE).alias("confidence")))
+
+    marks = F.array_compact(F.array(*[one(n, p) for k, (n, p) in enumerate(zip(CREDENTIAL_NAMES, CREDENTIALS, strict=True)) if k != block]))
+    d = lines(files).withColumn("_m", marks)
+    kept = F.when(F.size("_m") > 1, F.filter("_m", lambda m: m["rule_id"] != "secret/assigned-secret")).otherwise(F.col("_m"))
+    rows = d.select("path", "line", "text", F.inline(kept)).select("path", "rule_id", F.lit("critical").alias("severity"), "line", _cut(redact_secrets(t)).alias("evidence"), "confidence")
+    whole = files.select("path", "content", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(CREDENTIALS[block]), F.lit(1)))).alias("_b"))
+    line = F.size(F.split(F.substring("content", F.lit(1), F.instr(F.col("content"), F.col("_b")) - 1), "\n"))
+    keys = whole.select("path", F.lit("secret/private-key-block").alias("rule_id"), F.lit("critical").alias("severity"), line.alias("line"), F.regexp_extract("_b", r"^-----BEGIN[ A-Z]*PRIVATE KEY-----", 0).alias("evidence"), F.lit(SURE).alias("confidence"))
+    return _sign(capped(rows.unionByName(keys)))
 
 
 def workflows(files: DataFrame) -> DataFrame:
@@ -320,7 +335,3 @@ def scanners_for(changed: DataFrame, *keys: str, path: str = "path") -> DataFram
     calls = F.flatten(F.array(*[F.when(F.col(path).rlike(p) & (~F.col(path).rlike(no) if no else F.lit(True)), F.array(*[F.lit(x) for x in ids])).otherwise(F.array().cast("array<string>")) for p, no, ids in SCAN_RULES]))
     every = F.array(*[F.lit(x) for x in SCANNERS])
     return changed.select(*keys, F.explode(F.when(F.size(calls) == 0, every).otherwise(F.array_distinct(calls))).alias("scanner")).distinct()
-
-
-def config_files(files: DataFrame) -> DataFrame:
-    return files.where(basename(F.col("path")).rlike(r"^(docker-compose|.+\.config\.(js|ts|mjs)|vercel\.json|netlify\.toml)"))

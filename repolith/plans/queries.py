@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolith.functions import scalars as S
 from repolith.operators import findings as FI
 from repolith.operators import graph as G
+from repolith.operators import reads as RD
 from repolith.operators import scoring as SC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,7 +93,7 @@ def severity_counts(spark, d):
 
 @query(FINDINGS + "SELECT repo, category, count(*) AS n FROM f GROUP BY repo, category")
 def category_counts(spark, d):
-    return findings(spark, d).groupBy("repo", "category").agg(F.count(F.lit(1)).alias("n"))
+    return RD.counts(findings(spark, d), "repo", "category")
 
 
 @query(
@@ -146,8 +147,7 @@ def finding_delta(spark, d):
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def latest_per_key(spark, d):
-    e = read(spark, d, "events")
-    return e.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("x")).select("user_id", "x.event_id", "x.event_type")
+    return RD.latest(read(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
 @query(
@@ -166,8 +166,8 @@ def trajectories(spark, d):
  SELECT repo, day, n, n - lag(n) OVER (PARTITION BY repo ORDER BY day) AS delta FROM s"""
 )
 def health_deltas(spark, d):
-    s = findings(spark, d).groupBy("repo", F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return s.withColumn("delta", F.col("n") - F.lag("n").over(Window.partitionBy("repo").orderBy("day")))
+    s = RD.counts(findings(spark, d).withColumn("day", F.to_date("ts").cast("string")), "repo", "day")
+    return RD.deltas(s, "repo", "day", "n")
 
 
 @query(FINDINGS + "SELECT fingerprint, CAST(CAST(min(ts) AS DATE) AS VARCHAR) AS first_seen, CAST(CAST(max(ts) AS DATE) AS VARCHAR) AS last_seen, count(*) AS sightings FROM f GROUP BY fingerprint")
@@ -380,7 +380,7 @@ def ai_usage(spark, d):
 
 @query("SELECT lang, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS loc FROM documents GROUP BY lang ORDER BY loc DESC, lang LIMIT 6")
 def top_languages(spark, d):
-    return read(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("loc")).orderBy(F.desc("loc"), "lang").limit(6)
+    return RD.largest(read(spark, d, "documents"), "lang", "n_chars", 6)
 
 
 @query(
@@ -452,15 +452,14 @@ def lifecycle(spark, d):
 
 @query(FINDINGS + "SELECT repo, count(*) FILTER (ts > TIMESTAMP '2024-01-24') AS week, count(*) FILTER (ts > TIMESTAMP '2024-01-01 12:00:00') AS month FROM f WHERE ts <= TIMESTAMP '2024-01-31' GROUP BY repo")
 def rolling_counts(spark, d):
-    f = findings(spark, d).where(F.col("ts") <= AS_OF)
-    return f.groupBy("repo").agg(F.count_if(F.col("ts") > "2024-01-24").alias("week"), F.count_if(F.col("ts") > "2024-01-01 12:00:00").alias("month"))
+    return RD.since(findings(spark, d), "repo", "ts", AS_OF, week="2024-01-24", month="2024-01-01 12:00:00")
 
 
 @query("SELECT o_orderkey, o_orderpriority, coalesce(n, 0) AS findings FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 100")
 def ranked_changes(spark, d):
-    n = read(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    o = read(spark, d, "orders").orderBy(F.desc_nulls_first("o_totalprice"), "o_orderkey").limit(100)
-    return o.join(n, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", "o_orderpriority", F.coalesce("n", F.lit(0)).alias("findings"))
+    li = read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    o = RD.first_rows(read(spark, d, "orders"), 100, F.desc_nulls_first("o_totalprice"), "o_orderkey")
+    return RD.with_counts(o, li, "o_orderkey", "findings").select("o_orderkey", "o_orderpriority", "findings")
 
 
 @query("SELECT CAST(CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS VARCHAR)[1:13] AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -473,7 +472,7 @@ def hourly_windows(spark, d):
 
 @query("SELECT n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
 def repository_installations(spark, d):
-    return read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_name", "r_name")
+    return RD.with_parent(read(spark, d, "nation"), read(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey").select("n_name", "r_name")
 
 
 @query(

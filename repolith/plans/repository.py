@@ -49,16 +49,28 @@ LANGUAGE = f"""CASE WHEN regexp_matches(lower(path), '(^|/)dockerfile[^/]*$') TH
 TEST = "(regexp_matches(lower(path), '(^|[./-])(test|spec)[./-][^/]*$') OR regexp_matches(lower(path), '(^|/)test_[^/]*\\.py$') OR regexp_matches(lower(path), '_test\\.(py|go|rb)$') OR regexp_matches(lower(path), '(^|/)(tests?|__tests__|spec|e2e)(/|$)'))"
 
 
-def _case(steps, rest: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(path, {_re(p)}) THEN '{n}'" for n, p in steps) + f" ELSE '{rest}' END"
-
-
 def _labels(steps) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(path, {_re(p)}) THEN '{n}' END" for n, p in steps) + "], lambda x: x IS NOT NULL)"
 
 
-ROLE = f"CASE WHEN {TEST} THEN 'test' WHEN {LANGUAGE} = 'dockerfile' THEN 'infra' ELSE {_case(P.ROLES, 'source')} END"
-LAYER = _case(P.LAYERS, "Other")
+# spelled out, so that a wrong constant of the library shows
+ROLE = rf"""CASE WHEN {TEST} THEN 'test' WHEN {LANGUAGE} = 'dockerfile' OR starts_with(path, 'docker-compose') OR starts_with(path, '.github/') OR starts_with(path, 'k8s/') OR starts_with(path, 'terraform/') THEN 'infra' WHEN regexp_matches(lower(path), '\.(json|yaml|yml|toml|ini|env)$') THEN 'config'
+ WHEN regexp_matches('/' || lower(path), '/(route|routes|api|controller|controllers|handler|handlers|pages)/') THEN 'route' WHEN regexp_matches('/' || lower(path), '/(component|components)/') OR path LIKE '%.tsx' OR path LIKE '%.jsx' THEN 'component'
+ WHEN regexp_matches('/' || lower(path), '/(service|services|lib|util|utils|helper|helpers|model|models)/') THEN 'service' ELSE 'source' END"""
+LAYER = r"""CASE WHEN regexp_matches('/' || path, '/(test|tests|__tests__|spec|e2e)/') OR regexp_matches(path, '\.(test|spec)\.[cm]?[jt]sx?$') OR regexp_matches('/' || path, '/test_[^/]+\.py$') OR path LIKE '%\_test.py' ESCAPE '\' THEN 'Tests'
+ WHEN regexp_matches('/' || path, '/(\.github|infra|deploy|terraform|k8s|helm|ansible)/') OR starts_with(path, 'Dockerfile') OR starts_with(path, 'docker-compose') OR starts_with(path, 'Makefile') THEN 'Infrastructure'
+ WHEN regexp_matches('/' || path, '/(config|settings)/') OR regexp_matches(path, '^[^/]*\.(config|conf)\.[cm]?[jt]s$') OR path IN ('package.json', 'tsconfig.json', 'requirements.txt', 'pyproject.toml') THEN 'Config'
+ WHEN regexp_matches(path, '\.(tsx|jsx|vue|svelte)$') OR regexp_matches('/' || path, '/(component|components|view|views|pages|ui|frontend|client|screens)/') THEN 'Frontend' WHEN regexp_matches('/' || path, '/(api|route|routes|controller|controllers|handler|handlers|endpoint|endpoints|resolver|resolvers)/') THEN 'API'
+ WHEN regexp_matches('/' || path, '/(db|database|model|models|repositories|entities|migration|migrations|dal|store|persistence)/') OR regexp_matches(path, 'schema\.(ts|js|sql|prisma|py)$') THEN 'Data'
+ WHEN regexp_matches('/' || path, '/(service|services|lib|domain|core|usecase|usecases|business|auth|util|utils|helper|helpers|worker|workers|jobs)/') THEN 'Services' ELSE 'Other' END"""
+_AREAS = (
+    ("authentication", "(?i)(^|/)(auth|session|login|oauth)"),
+    ("payments", "(?i)(^|/)(payment|billing|checkout|stripe|invoice)"),
+    ("secrets and cryptography", "(?i)(^|/)(crypto|secret|token|credential|password)"),
+    ("database schema", "(?i)(^|/)(migration|schema)"),
+    ("access control", "(?i)(^|/)(middleware|guard|permission|rbac|acl)"),
+)
+BLAST_SQL, IMPACT_SQL = (*_AREAS, ("external interfaces", "(?i)(^|/)(webhook|api)/")), (*_AREAS, ("external interfaces", "(?i)(^|/)(webhook|api|route|routes)/"))
 ROOT = """(SELECT CASE WHEN len(p) <= 1 OR len(q) = 0 OR (s AND len(p) = 2) THEN '(root)' ELSE array_to_string(q[1:2], '/') END FROM (SELECT p, s, CASE WHEN s AND len(p) > 2 THEN p[2:len(p) - 1] ELSE p[1:len(p) - 1] END AS q FROM
  (SELECT p, coalesce(lower(p[1]) IN ('src', 'lib', 'app', 'packages', 'source'), false) AS s FROM (SELECT list_filter(string_split(path, '/'), lambda x: x <> '') AS p))))"""
 KEY = "CASE WHEN root = '(root)' THEN 'root' ELSE lower(regexp_replace(root, '[^a-zA-Z0-9]+', '-', 'g')) END"
@@ -107,8 +119,8 @@ def component_names(spark, d):
 
 @query(
     f"""{FILES}, f AS (SELECT *, {LANGUAGE} AS language, {ROLE} AS role FROM files)
- SELECT id, array_to_string({_labels(P.BLAST_AREAS)}, '|') AS blast_areas, array_to_string({_labels(P.IMPACT_AREAS)}, '|') AS impact_areas, regexp_matches(path, {_re(P.GAP_SENSITIVE)}) AS gap_sensitive, regexp_matches(path, {_re(P.HIGH_RISK)}) AS high_risk,
- role NOT IN ('test', 'config', 'infra') AND language IN ('javascript', 'typescript', 'python') AS testable, regexp_matches(path, {_re(P.SUPPORT)}) AS support,
+ SELECT id, array_to_string({_labels(BLAST_SQL)}, '|') AS blast_areas, array_to_string({_labels(IMPACT_SQL)}, '|') AS impact_areas, regexp_matches('/' || lower(path), '/(auth|session|login|token|payment|billing|crypto|permission|admin)') AS gap_sensitive, regexp_matches(lower(path), 'payment|billing|charge|invoice|auth|login|session|token|password|crypto|permission|access|admin|security|migration|order|checkout|transaction') AS high_risk,
+ role NOT IN ('test', 'config', 'infra') AND language IN ('javascript', 'typescript', 'python') AS testable, regexp_matches('/' || path || '/', '/(fixtures|tests|node_modules|\\.next|dist|coverage)/') AS support,
  loc < 10 OR regexp_matches(lower(path), '(^|/)(index|types?|constants?|config)\\.[jt]sx?$') OR language NOT IN ('javascript', 'typescript', 'python') AS trivial, length(path) BETWEEN 1 AND 400 AND NOT regexp_matches(path, '^(/|[A-Za-z]:)|(^|/)\\.\\.(/|$)') AS safe FROM f"""
 )
 def path_filters(spark, d):
@@ -176,7 +188,7 @@ _REACH = f"""{IMPORTS}, walk AS (SELECT path AS origin, path AS node, [path] AS
 
 
 @query(
-    f"""{_REACH}, r AS (SELECT hit.*, f.path, {ROLE.replace('path', 'f.path')} AS role, {_labels(P.BLAST_AREAS).replace('path', 'f.path')} AS areas FROM hit JOIN files f ON f.path = hit.node),
+    f"""{_REACH}, r AS (SELECT hit.*, f.path, {ROLE.replace('path', 'f.path')} AS role, {_labels(BLAST_SQL).replace('path', 'f.path')} AS areas FROM hit JOIN files f ON f.path = hit.node),
  b AS (SELECT origin, count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth > 0) AS transitive, count(*) FILTER (role = 'route' OR regexp_matches(node, {_re(P.ROUTE_FILE)})) AS routes, count(*) FILTER (role = 'component') AS components, list_sort(list_distinct(flatten(list(areas)))) AS area_names FROM r GROUP BY 1),
  ct AS (SELECT test, path FROM covers UNION SELECT test, test FROM covers), t AS (SELECT origin, count(DISTINCT test) AS tests FROM hit JOIN ct ON ct.path = hit.node GROUP BY 1),
  p AS (SELECT path, sum({_POINTS}) AS points, count(*) AS n FROM hits GROUP BY 1), o AS (SELECT origin, sum(points) AS sp, sum(n) AS findings FROM hit JOIN p ON p.path = hit.node WHERE k <= 100 GROUP BY 1),
@@ -303,7 +315,7 @@ def test_intelligence(spark, d):
 
 
 @query(
-    f"""{FILES}, d AS (SELECT ['npm', 'PyPI'][1 + id % 2] AS eco, 'k' || (id % 300) AS name, id % 3 = 0 AS dev, id % 4 <> 0 AS direct, id % 11 = 0 AS vulnerable, path FROM files WHERE NOT regexp_matches(path, {_re(P.SUPPORT)}))
+    f"""{FILES}, d AS (SELECT ['npm', 'PyPI'][1 + id % 2] AS eco, 'k' || (id % 300) AS name, id % 3 = 0 AS dev, id % 4 <> 0 AS direct, id % 11 = 0 AS vulnerable, path FROM files WHERE NOT regexp_matches('/' || path || '/', '/(fixtures|tests|node_modules|\\.next|dist|coverage)/'))
  SELECT eco AS ecosystem, count(*) AS total, count(*) FILTER (direct) AS direct, count(*) FILTER (dev) AS dev, count(*) FILTER (vulnerable) AS vulnerable FROM d GROUP BY eco"""
 )
 def dependency_inventory(spark, d):

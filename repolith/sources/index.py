@@ -111,6 +111,9 @@ def update(spark: SparkSession, root: str, files: DataFrame, parse: Parser) -> D
     kept = old["edges"].withColumn("_owner", graph.file_of(F.col("from_key"))).join(stale.unionByName(moved).withColumnRenamed("path", "_owner"), "_owner", "left_anti").drop("_owner")
     _written(spark, f"{root}/{folder}", "edges", kept.unionByName(rebuilt))
     spark.createDataFrame([(version + 1, folder)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
-    count = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
-    counts = count(files, "files").crossJoin(count(parsed, "parsed")).crossJoin(count(removed, "removed")).crossJoin(count(moved, "relinked"))
-    return counts.select(F.lit(version + 1).alias("version"), "*")
+    kinds = {"files": spark.read.schema(FILES).parquet(f"{root}/{folder}/files"), "parsed": parsed, "removed": removed, "relinked": moved}
+    each = None
+    for name, d in kinds.items():
+        row = d.select(F.lit(name).alias("kind"))
+        each = row if each is None else each.unionByName(row)
+    return each.agg(F.lit(version + 1).alias("version"), *[F.count_if(F.col("kind") == k).alias(k) for k in kinds])

@@ -39,7 +39,7 @@ def test_evidence_shows_no_credentials(spark):
     secret = "Zx9Qw7Er5Ty3Ui1Op"
     code = {"a.js": f"const password = '{secret}'\n", ".env": f"SIGNING_TOKEN={secret}\n", "Dockerfile": f"FROM node:20-slim\nENV DB_PASSWORD={secret}\n", "b.js": f"exec('curl https://u:{secret}@h.io/' + x)\n"}
     got = rules.all_findings(rows(spark, code)).collect()
-    assert {"secret/assigned", "config/dotenv-secret", "infra/docker-secret-in-env", "security/command-injection"} <= {r["rule_id"] for r in got}
+    assert {"secret/assigned-secret", "config/dotenv-secret", "infra/docker-secret-in-env", "security/command-injection"} <= {r["rule_id"] for r in got}
     assert not any(secret in r["evidence"] for r in got) and any("•" in r["evidence"] for r in got)
 
 
