@@ -6,21 +6,22 @@ until one is missing.  The filter is cut into shards by hash; a task of the buil
 has one shard's n-grams, and all of them, whatever the size of the corpus.  Below
 BROADCAST_BYTES the shards are broadcast.  A larger filter stays in the shared folder:
 a slice of texts sends each shard one row of the distinct n-grams that it needs, 8
-bytes each, and gets one row of levels back, a byte each.  The n-grams that nearly
+bytes each, and gets one row of levels back, a byte each, in turns of a part of the slices.  The n-grams that nearly
 every slice needs are at most FREQUENT and are broadcast with their levels.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolith.llm import hashing
-from repolith.llm.common import staged, text_of, text_slices
+from repolith.llm.common import discard, staged, text_of, text_slices
 
 U = np.uint64
 #: Bits for each (n-gram, level) and probes for each; about 2 false hits in 100.
@@ -32,6 +33,8 @@ BROADCAST_BYTES = 96 << 20
 #: Most frequent words whose exact counts are broadcast (16 bytes each); the rest is joined.
 #: Also the most n-grams whose levels are broadcast beside a filter that is not.
 FREQUENT = 1 << 17
+#: Turns in which slices ask a filter that is not broadcast; the files of one turn's shuffles go before the next.
+ROUNDS = 4
 #: Weight of the unigram distribution in the bigram's (Dirichlet smoothing).
 MU = 200.0
 END = np.array([0xE17A146562656769], U)
@@ -254,15 +257,26 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", broadcast_byte
     schema = "batch long, row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>, words binary, which binary, bounds binary"
     # a task reads far fewer than 2 ** 20 batches, and a batch holds fewer rows
     out = d.select("doc_id", "text").mapInArrow(step, schema).withColumn("id", F.shiftleft(F.shiftleft(F.spark_partition_id().cast("long"), 20) + F.col("batch"), 20) + F.col("row"))
-    out = staged(out, "scores")
+    out = base = staged(out, "scores")
     rare = out.select("id", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("id", F.col("x.rare").alias("h"), F.col("x.times").alias("k"))
     got = rare.join(words, "h", "left").select("id", "k", F.coalesce("c", F.lit(0)).alias("c"))
     got = got.groupBy("id").agg(F.sum(F.col("k") * F.log10((F.col("c") + 1.0) / F.lit(n + v + 1.0))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("also"))
     out = out.join(got, "id", "left")
+    parts = []
     if not small:
-        out = out.drop("score").join(_shuffled(out, lfbf, shards, n, v), "id")
+        released(spark)
+        for k in range(ROUNDS):
+            turn = F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == k
+            parts.append(staged(_shuffled(base.where(turn), lfbf, shards, n, v), "part"))
+            released(spark)
+        scores = parts[0]
+        for x in parts[1:]:
+            scores = scores.unionByName(x)
+        out = out.drop("score").join(scores, "id")
     full = out.select("id", "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.lit(v).cast("long").alias("train_types"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
-    return full.drop("id")
+    full = staged(full.drop("id"), "lm")
+    discard(words, lfbf, base, *parts)
+    return full
 
 
 def _wanted(toks: np.ndarray, bounds: np.ndarray, heavy: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -275,6 +289,12 @@ def _wanted(toks: np.ndarray, bounds: np.ndarray, heavy: np.ndarray, shards: int
     return h[order], shard[order]
 
 
+def released(spark: SparkSession) -> None:
+    """Let the driver's JVM look for garbage, as files of shuffles stay until it has found that nothing refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _shuffled(texts: DataFrame, lfbf: DataFrame, shards: int, n: int, v: int) -> DataFrame:
     """(id, score) with the filter left in shards: requests of slices go to the shards, levels come back.
 
