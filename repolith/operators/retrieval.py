@@ -141,3 +141,46 @@ def usage_by_provider(requests: DataFrame, *keys: str) -> DataFrame:
     one = requests.where("provider is not null").select(*keys, "provider", F.lit(1).alias("_n"), F.lit(0).alias("_f"))
     bad = requests.select(*keys, F.explode("attempts").alias("_a")).select(*keys, F.col("_a.provider").alias("provider"), F.lit(0).alias("_n"), F.lit(1).alias("_f"))
     return one.unionByName(bad).groupBy(*keys, "provider").agg(F.sum("_n").alias("count"), F.sum("_f").alias("failures"))
+
+
+def signal_inputs(repos: DataFrame, snapshots: DataFrame, findings: DataFrame, files: DataFrame, tested: DataFrame, dependencies: DataFrame, components: DataFrame, regressions: DataFrame) -> DataFrame:
+    """What a repository's risk is told by, one row a repository, as ``scoring.repository_risk`` reads it.
+
+    snapshots: (repo, created, health, critical, high, medium, low), the newest counts; findings:
+    open ones (repo, category); files: testable ones (repo, path); tested: (repo, path);
+    dependencies: (repo, vulnerabilities); components: (repo, level, sensitive); regressions: (repo).
+    What a repository lacks is 0, its health null.
+    """
+    n = F.count(F.lit(1))
+    newest = snapshots.groupBy("repo").agg(F.max_by(F.struct("health", "critical", "high", "medium", "low"), "created").alias("_s")).select("repo", "_s.*")
+    covered = files.join(tested.distinct().withColumn("_tested", F.lit(True)), ["repo", "path"], "left")
+    parts = (
+        newest,
+        findings.where("category = 'secrets'").groupBy("repo").agg(n.alias("secrets")),
+        covered.groupBy("repo").agg(n.alias("files"), F.count_if(F.col("_tested").isNull()).alias("untested")),
+        dependencies.where("vulnerabilities > 0").groupBy("repo").agg(n.alias("vulnerable")),
+        components.groupBy("repo").agg(F.count_if(F.col("level").isin("high", "critical")).alias("risky"), F.count_if("sensitive").alias("sensitive")),
+        regressions.groupBy("repo").agg(n.alias("regressions")),
+    )
+    d = repos.select("repo")
+    for x in parts:
+        d = d.join(x, "repo", "left")
+    return d.fillna(0, ["critical", "high", "medium", "low", "secrets", "files", "untested", "vulnerable", "risky", "sensitive", "regressions"])
+
+
+def signals(risks: DataFrame, recommended: DataFrame, events: DataFrame, ways: DataFrame, scans: DataFrame, most: int = 25) -> DataFrame:
+    """(repo, risk, level, recommendations, events, confirmed, likely, potential, scan): what a guardian shows of each repository.
+
+    risks: (repo, risk, level); recommended: (repo, id, weight), heavier ones first and then by id;
+    events: (repo, event, at), the newest ``most``; ways: attack paths (repository, confidence);
+    scans: (repo, scan, status, created).
+    """
+    weight = S.lookup("weight", {"high": 0, "medium": 1, "low": 2})
+    listed = lambda d, order, value: d.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("_l"))
+    told = listed(recommended.select("repo", weight.alias("_w"), "id"), "_w", "id").withColumnRenamed("_l", "recommendations")
+    recent = listed(_first(events, "repo", most, F.desc("at"), F.desc("event")), "place", "event").withColumnRenamed("_l", "events")
+    kinds = ways.groupBy(F.col("repository").alias("repo")).agg(*[F.count_if(F.col("confidence") == c).alias(c) for c in ("confirmed", "likely", "potential")])
+    d = risks.select("repo", "risk", "level")
+    for x in (told, recent, kinds, latest_scans(scans)):
+        d = d.join(x, "repo", "left")
+    return d.fillna(0, ["confirmed", "likely", "potential"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from repolith.functions import scalars as S
 from repolith.operators import findings as FI
+from repolith.operators import intelligence as I
 from repolith.operators import retrieval as R
 from repolith.operators import scoring as SC
 from repolith.plans.code import CODE, code
@@ -164,3 +165,38 @@ def prioritized_tests(spark, d):
     of = lambda kind: F.count_if(F.col("event_type") == kind)
     s = read(spark, d, "events").groupBy((F.col("user_id") % 10).alias("change"), F.col("user_id").alias("test")).agg((of("signup") % 5).alias("depth"), of("error").alias("direct"), F.countDistinct("event_type").alias("total"), F.count(F.lit(1)).alias("cases"), F.bool_or(F.col("event_type") == "error").alias("asserts"))
     return SC.prioritized_tests(s, "change", "test").select("change", "test", F.col("relevance").cast("long").alias("relevance"), "place")
+
+
+def _r1(x: str) -> str:
+    return f"floor(({x}) * 10 + 0.5) / 10"
+
+
+@query(
+    FINDINGS
+    + f""", day AS (SELECT repo, CAST(ts AS DATE) AS created, 50 + count(*) % 50 AS health, count(*) FILTER (sr = 0) AS cr, count(*) FILTER (sr = 1) AS hi, count(*) FILTER (sr = 2) AS me, count(*) FILTER (sr = 3) AS lo FROM f GROUP BY 1, 2), snap AS (SELECT * FROM day QUALIFY row_number() OVER (PARTITION BY repo ORDER BY created DESC) = 1),
+ sec AS (SELECT repo, count(*) AS se FROM f WHERE user_id % 50 = 1 AND line = 7 GROUP BY 1), p AS (SELECT 'repo' || (p_partkey % 23) AS repo, count(*) AS n, count(*) FILTER (p_partkey % 4 <> 0) AS un FROM part GROUP BY 1), dep AS (SELECT 'repo' || (l_suppkey % 20) AS repo, count(*) AS vu FROM lineitem WHERE l_quantity = 1 AND l_partkey % 40 = 3 GROUP BY 1),
+ com AS (SELECT 'repo' || (s_suppkey % 20) AS repo, count(*) FILTER (s_acctbal > 6000) AS ri, count(*) FILTER (s_suppkey % 3 = 0) AS sen FROM supplier GROUP BY 1), reg AS (SELECT 'repo' || (c_custkey % 20) AS repo, count(*) AS re FROM customer WHERE c_acctbal < -950 GROUP BY 1),
+ i AS (SELECT repo, health, coalesce(cr, 0) AS cr, coalesce(hi, 0) AS hi, coalesce(me, 0) AS me, coalesce(lo, 0) AS lo, coalesce(se, 0) AS se, coalesce(n, 0) AS n, coalesce(un, 0) AS un, coalesce(vu, 0) AS vu, coalesce(ri, 0) AS ri, coalesce(sen, 0) AS sen, coalesce(re, 0) AS re FROM (SELECT DISTINCT repo FROM p) LEFT JOIN snap USING (repo) LEFT JOIN sec USING (repo) LEFT JOIN p USING (repo) LEFT JOIN dep USING (repo) LEFT JOIN com USING (repo) LEFT JOIN reg USING (repo)),
+ r AS (SELECT *, CAST(greatest(0, least(100, {_r1(" + ".join([_r1("least(40.0, cr * 10 + hi * 5 + me * 2 + lo * 0.5)"), _r1("least(20.0, se * 8)"), "CASE WHEN n = 0 THEN 0 ELSE " + _r1("least(15.0, un / n * 15)") + " END", _r1("least(15.0, vu * 4)"), _r1("least(12.0, ri * 3)"), _r1("least(10.0, sen * 2)"), "least(12.0, re * 6)", "CASE WHEN health < 90 THEN " + _r1("least(15.0, (100 - health) / 100.0 * 15)") + " ELSE 0 END"]))})) AS DOUBLE) AS risk FROM i),
+ ev AS (SELECT repo, string_agg(event_id, ',' ORDER BY ts DESC, event_id DESC) AS events FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY repo ORDER BY ts DESC, event_id DESC) <= 25) GROUP BY 1), sc AS (SELECT 'repo' || (o_custkey % 20) AS repo, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS scan FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+ SELECT repo, risk, CASE WHEN risk >= 70 THEN 'critical' WHEN risk >= 45 THEN 'high' WHEN risk >= 22 THEN 'medium' WHEN risk >= 8 THEN 'low' ELSE 'info' END AS level, coalesce(events, '') AS events, scan,
+ concat_ws(',', CASE WHEN vu > 0 THEN 'deps' END, CASE WHEN re > 0 THEN 'regressions' END, CASE WHEN se > 0 THEN 'rotate-secrets' END, CASE WHEN n > 0 AND un >= 0.4 * n AND un >= 3 THEN 'tests' END) AS recommendations FROM r LEFT JOIN ev USING (repo) LEFT JOIN sc USING (repo)"""
+)
+def guardian_signals(spark, d):
+    """Risk, recommendations, latest events and scan of 23 repositories, three of them without events."""
+    repo = lambda c, n=20: F.concat(F.lit("repo"), c % n).alias("repo")
+    f = findings(spark, d)
+    rank = S.severity_rank("severity")
+    day = f.groupBy("repo", F.to_date("ts").alias("created")).agg((50 + F.count(F.lit(1)) % 50).alias("health"), *[F.count_if(rank == k).alias(n) for k, n in enumerate(S.SEVERITIES[:4])])
+    category = F.when((F.col("user_id") % 50 == 1) & (F.col("line") == 7), "secrets").otherwise(F.col("category"))
+    p, k = read(spark, d, "part"), F.col("p_partkey")
+    parts = p.select(repo(k, 23), k.alias("path"))
+    deps = read(spark, d, "lineitem").where("l_quantity = 1").select(repo(F.col("l_suppkey")), (F.col("l_partkey") % 40 == 3).cast("int").alias("vulnerabilities"))
+    comps = read(spark, d, "supplier").select(repo(F.col("s_suppkey")), F.when(F.col("s_acctbal") > 6000, "high").otherwise("low").alias("level"), (F.col("s_suppkey") % 3 == 0).alias("sensitive"))
+    bad = read(spark, d, "customer").where("c_acctbal < -950").select(repo(F.col("c_custkey")))
+    i = R.signal_inputs(parts.select("repo").distinct(), day, f.select("repo", category.alias("category")), parts, parts.where("path % 4 = 0"), deps, comps, bad)
+    scans = read(spark, d, "orders").select(repo(F.col("o_custkey")), F.col("o_orderkey").alias("scan"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("open").alias("status"), F.col("o_orderdate").alias("created"))
+    ways = f.select(F.col("repo").alias("repository"), F.lit("likely").alias("confidence"))
+    r = R.signals(SC.repository_risk(i), I.recommendations(i), f.select("repo", F.col("event_id").alias("event"), F.col("ts").alias("at")), ways, scans)
+    text = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit("")).alias(c)
+    return r.select("repo", "risk", "level", text("events"), "scan", text("recommendations"))

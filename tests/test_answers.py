@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from repolith.functions import answers, signing
 from repolith.functions import paths as P
+from repolith.functions import scalars as S
 from repolith.operators import findings as FI
 from repolith.operators import resolution, rules, scoring
+from repolith.operators import reads as RD
 from repolith.operators import retrieval as R
 from repolith.sources import files, manifests
 from repolith.streaming import events
@@ -179,3 +181,31 @@ def test_small_reads(spark):
     deps = spark.createDataFrame([("npm", "lodash", "4.17.0", "p", 1), ("npm", "none", "1.0.0", "p", 2)], "ecosystem string, name string, version string, manifest_path string, line int")
     (r,) = manifests.vulnerable(deps, known).collect()
     assert [x["id"] for x in r["records"]] == ["GHSA-29mw-wpgm-hmr9", "GHSA-p6mc-m468-83gg"] and r["advisories"] == 2
+
+
+def test_fixes_and_grades(spark):
+    f = lambda *k: spark.createDataFrame([(x,) for x in k], "fingerprint string")
+    got = {tuple(r) for r in FI.verified_fix(f("a", "b"), f("a", "b", "c"), f("b", "c", "d", "d")).collect()}
+    assert got == {("b", "still_open"), ("d", "new")}
+    assert FI.verified_fix(f("a"), f("a"), f("x").limit(0)).count() == 0
+    d = spark.createDataFrame([(95.0, 0, 0), (95.0, 0, 1), (95.0, 2, 0), (80.0, 0, 0), (60.0, 0, 0), (40.0, 0, 1), (10.0, 0, 0)], "s double, c int, h int")
+    assert [r["g"] for r in d.select(S.score_grade(F.col("s"), F.col("c"), F.col("h")).alias("g")).collect()] == ["Excellent", "Needs attention", "At risk", "Good", "Needs attention", "At risk", "At risk"]
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", 2, "z")], "k string, at int, v string")
+    assert {tuple(r) for r in RD.latest(rows, "k", "at").collect()} == {("a", 3, "y"), ("b", 2, "z")}
+    asked = spark.createDataFrame([(1, "b"), (2, "none")], "request int, k string")
+    assert [r["v"] for r in RD.by_id(rows, asked, "k").collect()] == ["z"] and RD.rows_of(rows, asked, "k").count() == 1
+
+
+def test_signals_of_nothing(spark):
+    none = lambda kind: spark.createDataFrame([], kind)
+    repos = spark.createDataFrame([("r",)], "repo string")
+    i = R.signal_inputs(repos, none("repo string, created date, health int, critical int, high int, medium int, low int"), none("repo string, category string"), none("repo string, path string"), none("repo string, path string"), none("repo string, vulnerabilities int"), none("repo string, level string, sensitive boolean"), none("repo string"))
+    assert i.first().asDict() == {"repo": "r", "health": None, **dict.fromkeys(("critical", "high", "medium", "low", "secrets", "files", "untested", "vulnerable", "risky", "sensitive", "regressions"), 0)}
+    risks = spark.createDataFrame([("r", 1.0, "info")], "repo string, risk double, level string")
+    r = R.signals(risks, none("repo string, id string, weight string"), none("repo string, event long, at timestamp"), none("repository string, confidence string"), none("repo string, scan long, status string, created date")).first()
+    assert (r["recommendations"], r["events"], r["confirmed"], r["scan"]) == (None, None, 0, None)
+    told = spark.createDataFrame([("r", "b", "medium"), ("r", "c", "high"), ("r", "a", "high")], "repo string, id string, weight string")
+    ways = spark.createDataFrame([("r", "likely"), ("r", "likely"), ("r", "confirmed")], "repository string, confidence string")
+    events_ = spark.createDataFrame([("r", k, dt.datetime(2024, 1, 1 + k % 28)) for k in range(40)], "repo string, event long, at timestamp")
+    r = R.signals(risks, told, events_, ways, none("repo string, scan long, status string, created date"), 3).first()
+    assert (r["recommendations"], r["events"], r["confirmed"], r["likely"], r["potential"]) == (["a", "c", "b"], [27, 26, 25], 1, 2, 0)
