@@ -160,7 +160,14 @@ def gated_deliveries(spark, d):
     return events.gated(e, repos).select("id", "status", "reason", "trigger", "priority")
 
 
-@query()
+def _pad(key: str, byte: int) -> str:
+    return f"unhex(array_to_string(list_transform(range(64), lambda i: printf('%02x', xor(CASE WHEN i < length({key}) THEN ascii({key}[i + 1]) ELSE 0 END, {byte}))), ''))"
+
+
+@query(
+    f"""WITH c AS (SELECT conv_id, turn, encode(coalesce(text, '')) AS body, CAST(conv_id AS VARCHAR) AS k FROM conversations)
+ SELECT conv_id, turn, sha256({_pad('k', 0x5C)} || unhex(sha256({_pad('k', 0x36)} || body))) AS hmac, CASE turn % 3 WHEN 0 THEN 'mismatch' WHEN 1 THEN 'valid' ELSE 'missing-signature' END AS state FROM c"""
+)
 def signed_deliveries(spark, d):
     """HMAC-SHA256 of every turn's text under its conversation's number as the key, and the state of a signature that every third turn spoils."""
     c = read(spark, d, "conversations").withColumn("body", F.coalesce("text", F.lit("")))
