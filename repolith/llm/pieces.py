@@ -220,9 +220,12 @@ def row_keys(keys: np.ndarray, seed: int) -> np.ndarray:
     return hashing.mix(keys.astype(U) + hashing.mix(np.array([seed & 0xFFFFFFFFFFFFFFFF], U)))
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", out: str = "pieces", seed: int = 0, theta: float = 0.8) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", out: str = "pieces", seed: int = 0, theta: float = 0.8, checked: bool = False) -> DataFrame:
     """``docs`` with an array of sampled piece ids; theta: higher takes likelier pieces.
 
+    checked: the ids are decoded again where they are made, in the same worker, and a text that they
+    don't give back fails the job.
+
     Rows of equal key and text get equal pieces.  Null and empty texts get an empty
     array; a null key counts as a key of its own.  All rows and other columns stay, but a
     column named ``out`` is replaced; an empty table stays empty.
@@ -235,11 +238,26 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc
         for texts, keys in batches:
             k = row_keys(keys.to_numpy(zero_copy_only=False), seed)
             ids, counts = encode_texts(p, texts, k)
-            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
+            coded = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
+            if checked and not decode_texts(p, coded).equals(texts.cast(pa.large_string())):
+                raise ValueError("pieces don't give the text back")
+            yield coded
 
     return docs.withColumn(out, run(text_of(text), F.xxhash64(F.col(key).cast("string"))))
 
 
+def decode_texts(p: Pieces, col: pa.Array) -> pa.Array:
+    """The texts that a column of arrays of piece ids stands for; null for a null array."""
+    ids = col.flatten().to_numpy(zero_copy_only=False)
+    sizes = p.sizes[ids]
+    raw = hashing.gather(p.raw, p.begins[ids], sizes)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    lengths = np.array(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    offs = ends[np.concatenate([[0], np.cumsum(lengths)])]
+    mask = pa.py_buffer(np.packbits(col.is_valid().to_numpy(zero_copy_only=False), bitorder="little").tobytes()) if col.null_count else None
+    return pa.LargeStringArray.from_buffers(len(col), pa.py_buffer(offs.astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes()), mask)
+
+
 def decode(docs: DataFrame, model_path: str, pieces_col: str = "pieces", out: str = "decoded") -> DataFrame:
     """``docs`` with the text that an array of piece ids stands for; null for a null array, empty for an empty one.
 
@@ -250,13 +268,6 @@ def decode(docs: DataFrame, model_path: str, pieces_col: str = "pieces", out: st
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         p = pieces(model_path, 1.0)
         for col in batches:
-            ids = col.flatten().to_numpy(zero_copy_only=False)
-            sizes = p.sizes[ids]
-            raw = hashing.gather(p.raw, p.begins[ids], sizes)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            lengths = np.array(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-            offs = ends[np.concatenate([[0], np.cumsum(lengths)])]
-            mask = pa.py_buffer(np.packbits(col.is_valid().to_numpy(zero_copy_only=False), bitorder="little").tobytes()) if col.null_count else None
-            yield pa.LargeStringArray.from_buffers(len(col), pa.py_buffer(offs.astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes()), mask).cast(pa.string())
+            yield decode_texts(p, col).cast(pa.string())
 
     return docs.withColumn(out, run(F.col(pieces_col)))
