@@ -37,3 +37,21 @@ def spark_partition():
     from pyspark.sql import functions as F
 
     return F.spark_partition_id().alias("task")
+
+
+def test_a_word_that_all_titles_have_brings_few_findings(spark, monkeypatch):
+    seen = counted(monkeypatch, R)
+    r = random.Random(3)
+    words = ["login", "log", "order_items", "a/b.ts", "zebra", "path-way", "x"]
+    f = [(k, "common " + r.choice([" ", "-", "("]).join(r.sample(words, 2)).upper(), r.choice(["rule/one", "rule/common", None]), r.choice(["critical", "low", "info"]), r.choice(["p1", "p2", None]), r.choice(["open", "proposed", "resolved"])) for k in range(400)]
+    q = [(k, " ".join(r.sample([*words, "common", "ommo", "rule", "none"], 2))) for k in range(40)] + [(90, ""), (91, None)]
+    p = [(k, r.choice(["p1", "p2", "p3"])) for k in range(0, 40, 3)]
+    got = R.relevant_findings(spark.createDataFrame(q, "question int, text string"), spark.createDataFrame(p, "question int, path string"), spark.createDataFrame(f, "id int, title string, rule_id string, severity string, path string, status string"))
+    want = set()
+    for k, text in q:
+        said, own = [w for w in (text or "").split() if len(w) > 2], {x for n, x in p if n == k}
+        fits = [x for x in f if x[5] != "resolved" and (x[4] in own or any(w in (t or "").lower() for w in said for t in x[1:3]) or not said and not own)]
+        fits.sort(key=lambda x: (["critical", "high", "medium", "low", "info"].index(x[3]), x[4] or "", x[0]))
+        want |= {(k, x[0], place) for place, x in enumerate(fits[:12], 1)}
+    assert {tuple(x) for x in got.collect()} == want
+    assert sum(seen) < 12 * 45
