@@ -55,3 +55,23 @@ def test_a_word_that_all_titles_have_brings_few_findings(spark, monkeypatch):
         want |= {(k, x[0], place) for place, x in enumerate(fits[:12], 1)}
     assert {tuple(x) for x in got.collect()} == want
     assert sum(seen) < 12 * 45
+
+
+def test_nodes_that_many_starts_share_are_walked_once(spark, monkeypatch):
+    seen = counted(monkeypatch, G)
+    edges = [(f"s{k}", f"a{k % 3}") for k in range(40)] + [(f"a{k}", "hub") for k in range(3)] + [("hub", f"m{k}") for k in range(300)] + [(f"m{k}", f"t{k % 2}") for k in range(300)]
+    edges += [("s1", "t0"), ("t0", "s1"), ("s2", "s1"), ("s1", "t0")]
+    starts, targets = [f"s{k}" for k in range(40)], ["t0", "t1", "s1", "none"]
+    table = lambda rows, name="node string": spark.createDataFrame([(x,) for x in rows], name)
+    for hops in (4, 3, 1):
+        del seen[:]
+        got = [tuple(r) for r in G.paths(spark.createDataFrame(edges, "src string, dst string"), table(starts), table(targets), hops).collect()]
+        want = set()
+        for s in starts:
+            far, front = {s: 0}, [s]
+            for k in range(1, hops + 1):
+                front = sorted({b for a, b in edges if a in front} - set(far))
+                far |= dict.fromkeys(front, k)
+            want |= {(s, t, far[t]) for t in targets if far.get(t)}
+        assert set(got) == want and len(got) == len(want)
+        assert hops < 4 or sum(seen) < 40 * 300 / 4
