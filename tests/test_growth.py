@@ -75,3 +75,11 @@ def test_nodes_that_many_starts_share_are_walked_once(spark, monkeypatch):
             want |= {(s, t, far[t]) for t in targets if far.get(t)}
         assert set(got) == want and len(got) == len(want)
         assert hops < 4 or sum(seen) < 40 * 300 / 4
+
+
+def test_paths_made_of_small_keys_are_not_broadcast(spark):
+    from repolith.plans import repository as P
+
+    tables = "/root/testdata/sf0.01"
+    for d in (P.imports(spark, tables), P.covers(spark, tables), P.hits(spark, tables), *P.branded(spark, tables)):
+        assert "BroadcastExchange" not in d._jdf.queryExecution().executedPlan().toString()
