@@ -37,6 +37,8 @@ FREQUENT = 1 << 17
 ROUNDS = 4
 #: Weight of the unigram distribution in the bigram's (Dirichlet smoothing).
 MU = 200.0
+#: Groups of neighbouring shards that a slice asks, at least, where there are so many shards; and n-grams looked up at once.
+GROUPS, LOOKUPS = 64, 1 << 19
 END = np.array([0xE17A146562656769], U)
 
 
@@ -298,10 +300,12 @@ def released(spark: SparkSession) -> None:
 def _shuffled(texts: DataFrame, lfbf: DataFrame, shards: int, n: int, v: int) -> DataFrame:
     """(id, score) with the filter left in shards: requests of slices go to the shards, levels come back.
 
-    Rows stream past the one shard, and past the one slice, that a task holds, so its
-    memory does not grow with the requests.  An n-gram that is not heavy is in at most
+    Rows stream past the one group of shards, and past the one slice, that a task holds, so its
+    memory does not grow with the requests.  The groups are fewer than twice ``GROUPS``, so requests
+    grow with the slices, not with slices times shards, and those of many slices are looked up at once.  An n-gram that is not heavy is in at most
     one of 65536 tokens.
     """
+    each = max(1, shards // GROUPS)
     top = lfbf.where(F.octet_length("heavy") > 0).select("heavy", "levels").collect()
     h = np.frombuffer(b"".join(r["heavy"] for r in top), U)
     q = np.frombuffer(b"".join(r["levels"] for r in top), np.uint8)
@@ -317,23 +321,40 @@ def _shuffled(texts: DataFrame, lfbf: DataFrame, shards: int, n: int, v: int) ->
             for r in batch.to_pylist():
                 h, shard = _wanted(*read(r["words"], r["which"], r["bounds"]), heavy.value[0], shards)
                 if len(h):
-                    cut = np.flatnonzero(np.diff(shard)) + 1
+                    group = shard // each
+                    cut = np.flatnonzero(np.diff(group)) + 1
                     at = np.concatenate([[0], cut])
-                    yield pa.RecordBatch.from_arrays([pa.array(shard[at], pa.int32()), pa.array([r["id"]] * len(at), pa.int64()), pa.array([x.tobytes() for x in np.split(h, cut)], pa.binary())], ["shard", "slice", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array(group[at], pa.int32()), pa.array([r["id"]] * len(at), pa.int64()), pa.array([None] * len(at), pa.int32()), pa.array([x.tobytes() for x in np.split(h, cut)], pa.binary())], ["group", "slice", "shard", "data"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, None
+        group, bits, held, asked, size = None, [], None, [], 0
+
+        def done() -> pa.RecordBatch:
+            nonlocal held, asked, size
+            held = held or Filter(bits, shards)
+            parts = [np.frombuffer(x, U) for _, x in asked]
+            levels = held.levels(np.concatenate(parts)).astype(np.uint8)
+            replies = [x.tobytes() for x in np.split(levels, np.cumsum([len(x) for x in parts])[:-1])]
+            out = pa.RecordBatch.from_arrays([pa.array([group] * len(asked), pa.int32()), pa.array([k for k, _ in asked], pa.int64()), pa.array(replies, pa.binary())], ["shard", "slice", "levels"])
+            asked, size = [], 0
+            return out
+
+        # a group's shards come before its requests
         for batch in batches:
-            found = []
-            for k, part, data in zip(*(batch.column(c) for c in ("shard", "slice", "data")), strict=True):
-                if k.as_py() != shard:
-                    shard, held = k.as_py(), Filter([], 1)
+            for g, part, k, data in zip(*(batch.column(c) for c in ("group", "slice", "shard", "data")), strict=True):
+                if g.as_py() != group:
+                    if asked:
+                        yield done()
+                    group, bits, held = g.as_py(), [], None
                 if part.is_valid:
-                    found.append((shard, part.as_py(), held.levels(np.frombuffer(data.as_buffer(), U)).astype(np.uint8).tobytes()))
+                    asked.append((part.as_py(), data.as_py()))
+                    size += len(asked[-1][1]) // 8
+                    if size >= LOOKUPS:
+                        yield done()
                 else:
-                    held = Filter([(0, data.as_py())], 1)
-            columns = zip(*found, strict=True) if found else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(columns, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "slice", "levels"])
+                    bits.append((k.as_py(), data.as_py()))
+        if asked:
+            yield done()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, known_levels = heavy.value
@@ -363,9 +384,9 @@ def _shuffled(texts: DataFrame, lfbf: DataFrame, shards: int, n: int, v: int) ->
             yield done()
 
     work = texts.where("words is not null").select(F.col("id"), "words", "which", "bounds")
-    requests = work.mapInArrow(ask, "shard int, slice long, data binary")
-    asked = lfbf.select("shard", F.lit(None).cast("long").alias("slice"), F.col("bits").alias("data")).union(requests)
-    replies = asked.repartition("shard").sortWithinPartitions("shard", F.col("slice").asc_nulls_first()).mapInArrow(look, "shard int, slice long, levels binary")
+    requests = work.mapInArrow(ask, "group int, slice long, shard int, data binary")
+    asked = lfbf.select(F.floor(F.col("shard") / each).cast("int").alias("group"), F.lit(None).cast("long").alias("slice"), "shard", F.col("bits").alias("data")).union(requests)
+    replies = asked.repartition("group").sortWithinPartitions("group", F.col("slice").asc_nulls_first()).mapInArrow(look, "shard int, slice long, levels binary")
     both = work.withColumnRenamed("id", "slice").unionByName(replies, allowMissingColumns=True)
     # a slice's own row, without a shard, comes before its replies
     return both.repartition("slice").sortWithinPartitions("slice", F.col("shard").asc_nulls_first()).mapInArrow(finish, "id long, score double")
