@@ -115,6 +115,8 @@ FOUND = StructType().add("path", StringType()).add("rule_id", StringType()).add(
 def detector_runs(spark, d):
     """All detectors of source code as jobs of their own over every part's code: status and findings of each."""
     f = code(spark, d).select("path", SF.language(F.col("path")).alias("language"), SF.is_test(F.col("path")).alias("is_test"), F.size(F.split("content", "\n")).alias("loc"), "content")
+    # a small file of keys becomes many lines and words, which one task would hold if it were not dealt out
+    f = f.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
     of = {"secrets": rules.secrets, "security": rules.security, "quality": rules.quality, "testing": rules.testing, "workflows": rules.workflows}
     found, runs = orchestration.run_detectors(f, [orchestration.Detector(k, v) for k, v in of.items()], FOUND, deadline=600)
     n = found.groupBy(F.col("detector").alias("id")).agg(F.countDistinct("path").alias("files"))
