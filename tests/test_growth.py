@@ -83,3 +83,38 @@ def test_paths_made_of_small_keys_are_not_broadcast(spark):
     tables = "/root/testdata/sf0.01"
     for d in (P.imports(spark, tables), P.covers(spark, tables), P.hits(spark, tables), *P.branded(spark, tables)):
         assert "BroadcastExchange" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def shared_links():
+    """(files, imports) with a node that all depend on, and a plain walk back from a file."""
+    from .test_whole import ordered_walk
+
+    e = {(f"src/f{k}.ts", f"src/f{(k * 3 + j) % 60}.ts") for k in range(60) for j in (1, 7)} | {(f"src/f{k}.ts", "lib/hub.ts") for k in range(60)}
+    e = {(a, b) for a, b in e if a != b}
+    return [f"src/f{k}.ts" for k in range(60)] + ["lib/hub.ts", "tests/alone.test.ts"], sorted(e), lambda o: ordered_walk(o, lambda n: sorted(a for a, b in e if b == n), 3, I.BLAST_NODES)
+
+
+def test_a_walk_keeps_a_row_for_each_origin(spark, monkeypatch):
+    seen = counted(monkeypatch, G)
+    files, e, walk = shared_links()
+    got = G.walks(spark.createDataFrame(e, "src string, dst string"), spark.createDataFrame([(f,) for f in files], "origin string"), 3, I.BLAST_NODES)
+    assert {r["origin"]: [(x["node"], x["depth"], x["via"], x["place"]) for x in r["reached"]] for r in got.collect()} == {f: walk(f) for f in files}
+    assert max(seen) == len(files) and sum(len(walk(f)) for f in files) > 10 * len(files)
+
+
+def test_previews_move_each_walk_once_a_change(spark):
+    files, e, walk = shared_links()
+    r = random.Random(5)
+    changes = [(k, r.sample([*files, "gone.ts"], r.randrange(1, 6))) for k in range(80)] + [(90, []), (91, None), (92, ["gone.ts"]), (93, [files[3], files[3]]), (94, [*reversed(files)])]
+    d = I.change_preview(spark.createDataFrame(changes, "change int, paths array<string>"), spark.createDataFrame([(f,) for f in files], "path string"), spark.createDataFrame(e, "src string, dst string"))
+    want = set()
+    for c, paths in changes:
+        paths, met = list(dict.fromkeys(paths or [])), {}
+        for f in (f for f in paths[:50] if f in files):
+            for node, depth, *_ in walk(f):
+                met.setdefault(node, []).append(depth)
+        want |= {(c, n, min(x), len(x)) for n, x in met.items() if n not in paths}
+    got = [tuple(x) for x in d.collect()]
+    assert set(got) == want and len(got) == len(want) and max(x[3] for x in want) > 1
+    plan = d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("hashpartitioning(change") == 1 and "LeftAnti" not in plan
