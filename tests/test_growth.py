@@ -1,6 +1,7 @@
 """What operators keep and how they deal it out, where inputs have words, names and nodes that very many rows share."""
 
 import random
+import re
 
 from repolith.operators import graph as G
 from repolith.operators import intelligence as I
@@ -118,3 +119,27 @@ def test_previews_move_each_walk_once_a_change(spark):
     assert set(got) == want and len(got) == len(want) and max(x[3] for x in want) > 1
     plan = d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("hashpartitioning(change") == 1 and "LeftAnti" not in plan
+
+
+def test_reached_files_meet_what_they_have_in_one_join(spark, tmp_path):
+    files, e, walk = shared_links()
+    reached = [(f, n, k, via, place) for f in files for n, k, via, place in walk(f)]
+    spark.createDataFrame(reached, "origin string, node string, depth int, via string, place int").write.parquet(str(tmp_path / "reached"))
+    typed = [("exposes_api", files[k], f"api:GET /x{k % 4}") for k in range(0, 60, 3)] + [("exposes_api", files[0], "api:POST /y"), ("uses_database", files[5], "db:t"), ("uses_database", files[6], "db:t"), ("tests", files[-1], files[1])]
+    typed += [("tests", "tests/alone.test.ts", f) for f in files[:9]] + [("tests", f"tests/t{k}.test.ts", "lib/hub.ts") for k in range(3)]
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    d = I.affected(spark.read.parquet(str(tmp_path / "reached")), table([(f,) for f in [*files, files[0]]], "origin string"), table(typed, "type string, from_key string, to_key string"), table([(f,) for f in files], "path string"))
+    want, least = set(), {}
+    for o in files:
+        for n in [o, *(x[0] for x in walk(o))]:
+            own = n == o
+            want |= {(o, "route", b[4:], n, own) for k, a, b in typed if k == "exposes_api" and a == n} | {(o, "database", b[3:], n, own) for k, a, b in typed if k == "uses_database" and a == n}
+            several = [("test", a) for k, a, b in set(typed) if k == "tests" and b == n] + [("component", "root" if n.startswith("src") else {"lib/hub.ts": "root", "tests/alone.test.ts": "tests"}[n])]
+            for part, label in several:
+                least.setdefault((o, part, label), []).append((n, own))
+            if not n.startswith("tests/") and not any(k == "tests" and b == n for k, a, b in typed):
+                want.add((o, "untested", n, n, own))
+    want |= {(*key, min(n for n, _ in x), any(own for _, own in x)) for key, x in least.items()}
+    got = [tuple(r) for r in d.collect()]
+    assert set(got) == want and len(got) == len(want) and {x[1] for x in want} == {"route", "database", "test", "component", "untested"}
+    assert len(re.findall(r"Relation \[[^\]]*place", d._jdf.queryExecution().optimizedPlan().toString())) == 1
