@@ -37,6 +37,8 @@ _TABLE = _value(np.tile(np.arange(256), _PLACES), np.repeat(np.arange(_PLACES),
 _TABLE_FOLDED = _TABLE.reshape(_PLACES, 256)[:, _FOLD].ravel()
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_ALNUM = np.array([chr(c).isascii() and chr(c).isalnum() for c in range(256)])
+_MARK = np.array([0x20 < c < 0x7F and not chr(c).isalnum() for c in range(256)])
 _BASE = U(0x2545F4914F6CDD1D)
 _POWERS = np.ones(1, U)
 
@@ -98,6 +100,14 @@ def runs(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray
     return mix(out), begins
 
 
+def _marks_after_words(raw: np.ndarray) -> np.ndarray:
+    """Places of ASCII marks behind a letter up to U+00FF or an ASCII digit."""
+    at = np.flatnonzero(_MARK[raw[1:]]) + 1
+    before = raw[at - 1]
+    latin = (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (raw[at - 2] == 0xC3)  # without the signs of times and division
+    return at[_ALNUM[before] | latin]
+
+
 def _unit_begins(raw: np.ndarray) -> np.ndarray:
     begins = np.zeros(len(raw), bool)
     sep = _SEP[raw]
@@ -107,6 +117,17 @@ def _unit_begins(raw: np.ndarray) -> np.ndarray:
     return begins
 
 
+def is_space(byte: np.ndarray) -> np.ndarray:
+    """Whether bytes are a space or 0x09-0x0D."""
+    return _SEP[byte]
+
+
+def ends_solid(raw: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Whether the characters before ``stops`` are such that white space behind them begins a unit."""
+    last = raw[stops - 1]
+    return ((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & (raw[stops - 2] == 0xC3))
+
+
 def cuts(raw: np.ndarray, limit: int, forced: bool = False) -> list[int]:
     """Where a text falls into stretches of about ``limit`` bytes, its two ends included.
 
@@ -124,17 +145,20 @@ def cuts(raw: np.ndarray, limit: int, forced: bool = False) -> list[int]:
     return [*out, len(raw)]
 
 
-def units(raw: np.ndarray, offs: np.ndarray, longest: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def units(raw: np.ndarray, offs: np.ndarray, longest: int = 0, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and first bytes of all units, and where each row's units begin.
 
     A unit is a run of white space and what follows up to the next one, so units
     side by side are the text.  No unit begins where the byte before might belong to
     white space outside ASCII.  longest: a longer unit falls into units of so many bytes.
+    marks: units also begin at an ASCII mark behind a letter or digit.
     """
     if not len(raw):
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
     begins = _unit_begins(raw)
     begins[offs[:-1][offs[:-1] < len(raw)]] = True
+    if marks:
+        begins[_marks_after_words(raw)] = True
     starts = np.flatnonzero(begins)
     sizes = np.diff(np.append(starts, len(raw)))
     if longest and sizes.max() > longest:

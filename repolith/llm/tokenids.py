@@ -10,6 +10,7 @@ doc_id, and a table of part totals gives every document its global start.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,10 +30,13 @@ PLANES = 4
 #: A chunk ends after the document that brings it to so many ids.
 CHUNK = 1 << 18
 END = 2
-#: Units whose ids a worker remembers; forgotten all at once beyond that, which costs time only.
-REMEMBERED = 800_000
-#: Text bytes encoded at once; the larger, the more units are equal.
-SLICE = 1 << 22
+#: Units whose ids a worker remembers, and how many ids; forgotten all at once beyond either, which costs time only.
+REMEMBERED = 1_500_000
+REMEMBERED_IDS = 1 << 23
+#: Text bytes encoded at once.
+SLICE = 1 << 21
+#: Bytes of new units that the tokenizer gets as one text.
+JOINED = 1 << 17
 CHUNK_SCHEMA = "part int, seq int, first long, doc_ids array<long>, sizes array<long>, planes binary, plane_sizes array<int>"
 
 
@@ -50,32 +54,78 @@ def tokenizer(path: str):
 
 
 class Encoder:
-    """Ids of whole texts, unit by unit: white space and the word after it.
+    """Ids of whole texts, unit by unit: white space and the word after it, or marks after a word.
 
-    The vocabulary's splitting never joins a word to the white space behind it, so a
-    unit has the same ids alone as within its text; equal units are encoded once.
-    A row with an added token of the file in it is encoded whole.
+    The vocabulary's splitting never joins a word to the white space or marks behind it,
+    so a unit has the same ids alone as within its text; equal units are encoded once,
+    many of them in one call.  A row with an added token of the file in it is encoded whole.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = tokenizer(path), {}
+        self.tokenizer = tokenizer(path)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ids, self.begins, self.sizes, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
-
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        # the vocabulary writes each byte as one character; added tokens are as they stand
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.widths = np.zeros(max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1, np.int64)
+        self.widths[list(vocab.values())] = [len(x) for x in vocab]
+        for k, t in self.tokenizer.get_added_tokens_decoder().items():
+            self.widths[k] = len(t.content.encode())
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start with no unit: their hashes in order, where the ids of each begin, and how many it has."""
+        self.known, self.begins, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Where ``ids`` begin among those remembered, once they are added."""
+        at = self.used
+        while len(self.ids) < at + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    def _singly(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of units begin and how many each has: each unit is a text of its own."""
+        texts = [raw[a:b].tobytes().decode() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
         encoded = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        n, k = len(encoded), len(self.known)
-        while len(self.begins) < k + n:
-            self.begins, self.sizes = np.concatenate([self.begins, self.begins]), np.concatenate([self.sizes, self.sizes])
         sizes = np.array([len(x) for x in encoded], np.int64)
-        total = int(sizes.sum())
-        while len(self.ids) < self.used + total:
-            self.ids = np.concatenate([self.ids, self.ids])
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in encoded for i in x), np.uint32, total)
-        self.begins[k : k + n] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[k : k + n] = sizes
-        self.used += total
-        self.known.update(zip(hashes.tolist(), range(k, k + n), strict=True))
+        ids = np.fromiter((i for x in encoded for i in x), np.uint32, int(sizes.sum()))
+        return self._keep(ids) + np.cumsum(sizes) - sizes, sizes
+
+    def _joined(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``_singly`` of units whose last character is no white space, in one text.
+
+        A line break goes before a unit that does not begin with white space.  The
+        bytes of the ids tell which are whose; where a unit does not begin and end
+        with an id, the units are encoded singly.
+        """
+        sizes = stops - starts
+        ends = np.cumsum(sizes + ~hashing.is_space(raw[starts]))
+        text = np.full(int(ends[-1]), 0x0A, np.uint8)
+        text[np.arange(int(sizes.sum())) + np.repeat(ends - np.cumsum(sizes), sizes)] = hashing.gather(raw, starts, sizes)
+        [found] = self.tokenizer.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)
+        ids = np.array(found.ids, np.uint32)
+        places = np.concatenate([[0], np.cumsum(self.widths[ids])])
+        a, b = np.searchsorted(places, ends - sizes), np.searchsorted(places, ends)
+        if places[-1] != len(text) or (places[a] != ends - sizes).any() or (places[b] != ends).any():
+            return self._singly(raw, starts, stops)
+        return self._keep(ids) + a, b - a
+
+    def _learn(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of new units begin and how many each has."""
+        begins, sizes = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        solid = hashing.ends_solid(raw, stops)
+        rest = np.flatnonzero(~solid)
+        if len(rest):
+            begins[rest], sizes[rest] = self._singly(raw, starts[rest], stops[rest])
+        solid = np.flatnonzero(solid)
+        turns = np.cumsum(stops[solid] - starts[solid]) // JOINED
+        for k in np.split(solid, np.flatnonzero(np.diff(turns)) + 1):
+            if len(k):
+                begins[k], sizes[k] = self._joined(raw, starts[k], stops[k])
+        return begins, sizes
 
     def _with_added(self, data: bytes, offs: np.ndarray) -> list[int]:
         """Rows that hold an added token."""
@@ -111,25 +161,33 @@ class Encoder:
 
     def _by_units(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``encode`` of rows without added tokens."""
-        hashes, starts, rows = hashing.units(raw, offs)
+        hashes, starts, rows = hashing.units(raw, offs, marks=True)
         if not len(hashes):
             return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
         distinct, first, unit = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
-            self.known, self.used = {}, 0
-        slots = np.array([self.known.get(h, -1) for h in distinct.tolist()], np.int64)
-        new = np.flatnonzero(slots < 0)
-        if len(new):
-            stops = np.append(starts[1:], len(raw))
-            data, k = raw.tobytes(), len(self.known)
-            self._learn(distinct[new], [data[a:b].decode() for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)])
-            slots[new] = np.arange(k, k + len(new))
+        if len(self.known) > REMEMBERED or self.used > REMEMBERED_IDS:
+            self._forget()
+        slots = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), bool)
+        near = np.flatnonzero(slots < len(self.known))
+        new[near] = self.known[slots[near]] != distinct[near]
+        if new.any():
+            begins, sizes = self._learn(raw, starts[first[new]], np.append(starts[1:], len(raw))[first[new]])
+            known, begins, sizes = (np.insert(held, slots[new], x) for held, x in ((self.known, distinct[new]), (self.begins, begins), (self.sizes, sizes)))
+            self.known, self.begins, self.sizes = known, begins, sizes
+            slots += np.cumsum(new) - new
         at = slots[unit]
         sizes = self.sizes[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return hashing.gather(self.ids, self.begins[at], sizes), np.diff(ends[rows])
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, run: str) -> Encoder:
+    """A worker's encoder: what it has learned serves the tasks that follow in one run, and no other run."""
+    return Encoder(path)
+
+
 def pack(ids: np.ndarray) -> tuple[bytes, list[int]]:
     """Byte planes of blocks of ids, compressed, and the size of each plane."""
     press, out = zstandard.ZstdCompressor(level=1), []
@@ -158,9 +216,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
     """
     spark = docs.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    run = uuid.uuid4().hex
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, first = Encoder(path), TaskContext.get().partitionId(), 0, 0
+        encoder, part, seq, first = encoder_of(path, run), TaskContext.get().partitionId(), 0, 0
         keys: list = []
         counts: list[int] = []
         held: list[np.ndarray] = []
