@@ -121,6 +121,24 @@ def test_previews_move_each_walk_once_a_change(spark):
     assert plan.count("hashpartitioning(change") == 1 and "LeftAnti" not in plan
 
 
+def shuffled(spark):
+    """Bytes that all stages of the session have written to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_previews_do_not_move_names_to_each_change(spark):
+    r = random.Random(6)
+    name = lambda: f"{r.getrandbits(1200):x}/f.ts"
+    names, hubs = [name() for _ in range(100)], [name(), name()]
+    e = [(n, h) for n, h in zip(names, hubs * 50)]
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    before = shuffled(spark)
+    d = I.change_preview(table([(k, [hubs[k % 2]]) for k in range(400)], "change int, paths array<string>"), table([(n,) for n in [*names, *hubs]], "path string"), table(e, "src string, dst string"))
+    assert {tuple(x) for x in d.collect()} == {(k, n, 1, 1) for k in range(400) for n in names[k % 2 :: 2]}
+    assert shuffled(spark) - before < 400 * 50 * 300 / 4
+
+
 def test_reached_files_meet_what_they_have_in_one_join(spark, tmp_path):
     files, e, walk = shared_links()
     reached = [(f, n, k, via, place) for f in files for n, k, via, place in walk(f)]
