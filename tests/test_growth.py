@@ -34,6 +34,13 @@ def test_files_and_tests_of_one_name_are_paired_by_many_tasks(spark, monkeypatch
     assert len(shares) > 3 and max(r["count"] for r in shares) < 0.6 * 3000
 
 
+def test_blocks_of_tests_are_not_broadcast(spark):
+    import __spark_entry__ as entry
+
+    d = entry.queries()["covering_tests"](spark, "/root/testdata/sf0.01")
+    assert "BroadcastExchange" not in d._jdf.queryExecution().executedPlan().toString()
+
+
 def spark_partition():
     from pyspark.sql import functions as F
 
